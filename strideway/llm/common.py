@@ -64,3 +64,66 @@ def in_groups(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iter
 
 def table_batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+
+#: A key with more than this share of all rows is looked up by broadcast: there are at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1 / 1000
+#: Filter bits for each key; bits in a bitmap row; the largest filter that is broadcast, in bits (8 MB).
+BITS_EACH, BITMAP, MOST_BITS = 16, 32768, 1 << 26
+
+
+def marked(rows: DataFrame, keys: DataFrame, count: int, key: str) -> DataFrame:
+    """``rows`` with the column ``maybe``: false if ``key`` is surely none of the ``count`` rows of ``keys``.
+
+    The filter is a bitmap of hashed keys, broadcast in rows of 4 KB. Where it would be larger than ``MOST_BITS`` all
+    rows may match; the filter only spares work.
+    """
+    bits = BITMAP * -(-max(count, 1) * BITS_EACH // BITMAP)
+    if bits > MOST_BITS:
+        return rows.withColumn("maybe", F.lit(True))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    filters = keys.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / BITMAP).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_place") % BITMAP).alias("_bitmap"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast(_place % {BITMAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.expr("shiftright(_byte, cast(_place % 8 as int)) & 1") == 1
+    return (
+        rows.withColumn("_place", place)
+        .withColumn("_bucket", F.floor(F.col("_place") / BITMAP))
+        .join(F.broadcast(filters), "_bucket", "left")
+        .withColumn("_byte", byte)
+        .withColumn("maybe", F.coalesce(hit, F.lit(False)))
+        .drop("_place", "_bucket", "_bitmap", "_byte")
+    )
+
+
+def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:
+    """``rows`` joined with ``found``, which has a row for each ``key`` and the key's number of rows as ``group_size``.
+
+    Keys with more than HOT_SHARE of ``total`` rows go by broadcast (at most 1 / HOT_SHARE keys), the rest by shuffle.
+    """
+    hot = found.where(F.col("group_size") > total * HOT_SHARE)
+    others = found.where(F.col("group_size") <= total * HOT_SHARE)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(others, key, how))
+
+
+def sorted_groups(batches: Iterable[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The groups of rows with equal ``keys``, which stand together in the partition."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in keys]
+        new = pa.array([False] * (batch.num_rows - 1))
+        for c in columns:
+            new = pa.compute.or_(new, pa.compute.not_equal(c.slice(1), c.slice(0, batch.num_rows - 1)))
+        cuts = [0, *(pa.compute.indices_nonzero(new).to_numpy() + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            own = tuple(c[a].as_py() for c in columns)
+            if held and own != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = own
+    if held:
+        yield pa.Table.from_batches(held)

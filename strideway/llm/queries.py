@@ -6,16 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import bpe, fingerprints, language_id, packing, token_counts
+from strideway.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, packing, token_counts
 from strideway.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(read_table(spark, sf_dir, "pages"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.language_ids(read_table(spark, sf_dir, "documents"))
 
 
+def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -32,9 +40,13 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op2_language_id, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing]
+    found = [op1_html_extract, op2_language_id, op3_exact_dedup, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing, op9_minhash]
     return {f.__name__: f for f in found}
 
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
