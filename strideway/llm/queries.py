@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, packing, token_counts
+from strideway.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, packing, suffix_dedup, token_counts
 from strideway.llm.common import read_table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
 
@@ -45,8 +49,8 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    found = [op1_html_extract, op2_language_id, op3_exact_dedup, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing, op9_minhash]
+    found = [op1_html_extract, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing, op9_minhash]
     return {f.__name__: f for f in found}
 
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_suffix_dedup": suffix_dedup.ORACLE_SQL}
