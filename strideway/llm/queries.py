@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, packing, suffix_dedup, token_counts
-from strideway.llm.common import read_table
+from strideway.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, packing, suffix_dedup, token_counts, warc
+from strideway.llm.common import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -48,8 +48,14 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write_warc(read_table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path, payload=False, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_html_extract, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing, op9_minhash]
+    found = [op1_html_extract, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing, op9_minhash, op10_warc]
     return {f.__name__: f for f in found}
 
 
