@@ -140,13 +140,13 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> DataFrame:
-    """(doc_id, lang_pred, score) of every text. Map only."""
+    """(row, lang_pred, score) of every text; ``row`` is a struct of the columns of ``docs``. Map only."""
 
     def run(batches):
         weights = vectors.astype(np.float32).T
-        for group in in_groups(batches, "text", GROUP):
+        for group in in_groups(batches, "_text", GROUP):
             for rows in _blocks(group):
-                own, some = bundles(rows.column("text").to_pylist())
+                own, some = bundles(rows.column("_text").to_pylist())
                 some &= len(languages) > 0
                 best, score = np.zeros(len(own), np.int64), np.zeros(len(own))
                 if some.any():
@@ -154,12 +154,15 @@ def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> Data
                     best = cosine.argmax(axis=1)
                     score = np.clip((1 + cosine.max(axis=1).astype(np.float64)) / 2, 0, 1)
                 names = [languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist(), strict=True)]
-                yield from pa.Table.from_arrays([rows.column("doc_id"), pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))], names=["doc_id", "lang_pred", "score"]).to_batches()
+                yield from pa.Table.from_arrays([rows.column("row"), pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))], names=["row", "lang_pred", "score"]).to_batches()
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double")
 
 
 def language_ids(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score): learned from the texts that are not held out."""
     languages, vectors = prototypes(docs.where(~held_out()))
-    return identify(docs, languages, vectors).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    found = identify(docs.select("doc_id", "text"), languages, vectors)
+    return found.select("row.doc_id", "lang_pred", "score").select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
