@@ -1,0 +1,42 @@
+"""Area of two polygons' intersection, in batches."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def clipped_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float, x2: float, y2: float) -> float:
+    """Area of a ring within a triangle, by clipping at its three sides in turn."""
+    sign = 1.0 if (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0) >= 0 else -1.0
+    for ax, ay, bx, by in ((x0, y0, x1, y1), (x1, y1, x2, y2), (x2, y2, x0, y0)):
+        if not len(ring):
+            return 0.0
+        side = sign * ((bx - ax) * (ring[:, 1] - ay) - (by - ay) * (ring[:, 0] - ax))
+        following, after = np.roll(ring, -1, axis=0), np.roll(side, -1)
+        crossing = (side >= 0) != (after >= 0)
+        share = np.where(crossing, side / np.where(crossing, side - after, 1.0), 0.0)[:, None]
+        both = np.stack([ring, ring + (following - ring) * share], axis=1).reshape(-1, 2)
+        ring = both[np.stack([side >= 0, crossing], axis=1).ravel()]
+    x, y = ring[:, 0], ring[:, 1]
+    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2) if len(ring) > 2 else 0.0
+
+
+def star_overlap(centre: tuple[float, float], star: np.ndarray, ring: np.ndarray) -> float:
+    """Area of a ring within a region that is a fan of triangles around its centre."""
+    following = np.roll(star, -1, axis=0)
+    low, high = ring.min(axis=0), ring.max(axis=0)
+    total = 0.0
+    for a, b in zip(star, following, strict=True):
+        if max(centre[0], a[0], b[0]) >= low[0] and min(centre[0], a[0], b[0]) <= high[0] and max(centre[1], a[1], b[1]) >= low[1] and min(centre[1], a[1], b[1]) <= high[1]:
+            total += clipped_area(ring, *centre, *a, *b)
+    return total
+
+
+@F.pandas_udf(DoubleType())
+def isovist_overlap(mx: pd.Series, my: pd.Series, star: pd.Series, ring: pd.Series) -> pd.Series:
+    """Overlap of isovists (arrays of {x, y} around mx, my) with areas."""
+    points = lambda a: np.array([(p["x"], p["y"]) for p in a], float).reshape(-1, 2)
+    return pd.Series([star_overlap((x, y), points(s), points(r)) for x, y, s, r in zip(mx, my, star, ring, strict=True)], dtype="float64")

@@ -1 +1 @@
-
+"""Composed jobs and the registered queries."""
