@@ -1,42 +1,107 @@
-"""Area of two polygons' intersection, in batches."""
+"""What is seen from a point: distances along rays, and the area of polygons within the visible region, in batches."""
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
-
-
-def clipped_area(ring: np.ndarray, x0: float, y0: float, x1: float, y1: float, x2: float, y2: float) -> float:
-    """Area of a ring within a triangle, by clipping at its three sides in turn."""
-    sign = 1.0 if (x1 - x0) * (y2 - y0) - (x2 - x0) * (y1 - y0) >= 0 else -1.0
-    for ax, ay, bx, by in ((x0, y0, x1, y1), (x1, y1, x2, y2), (x2, y2, x0, y0)):
-        if not len(ring):
-            return 0.0
-        side = sign * ((bx - ax) * (ring[:, 1] - ay) - (by - ay) * (ring[:, 0] - ax))
-        following, after = np.roll(ring, -1, axis=0), np.roll(side, -1)
-        crossing = (side >= 0) != (after >= 0)
-        share = np.where(crossing, side / np.where(crossing, side - after, 1.0), 0.0)[:, None]
-        both = np.stack([ring, ring + (following - ring) * share], axis=1).reshape(-1, 2)
-        ring = both[np.stack([side >= 0, crossing], axis=1).ravel()]
-    x, y = ring[:, 0], ring[:, 1]
-    return float(abs((x * np.roll(y, -1) - y * np.roll(x, -1)).sum()) / 2) if len(ring) > 2 else 0.0
-
-
-def star_overlap(centre: tuple[float, float], star: np.ndarray, ring: np.ndarray) -> float:
-    """Area of a ring within a region that is a fan of triangles around its centre."""
-    following = np.roll(star, -1, axis=0)
-    low, high = ring.min(axis=0), ring.max(axis=0)
-    total = 0.0
-    for a, b in zip(star, following, strict=True):
-        if max(centre[0], a[0], b[0]) >= low[0] and min(centre[0], a[0], b[0]) <= high[0] and max(centre[1], a[1], b[1]) >= low[1] and min(centre[1], a[1], b[1]) <= high[1]:
-            total += clipped_area(ring, *centre, *a, *b)
-    return total
+from pyspark.sql.types import ArrayType, DoubleType
+
+RAYS = 72
+#: Wall sides, or polygon sides, that are worked on at once.
+AT_ONCE = 8192
+
+
+def ray_directions(rays: int = RAYS) -> tuple[np.ndarray, np.ndarray]:
+    angle = np.arange(rays) * (2 * math.pi / rays)
+    return np.cos(angle), np.sin(angle)
+
+
+def wall_hits(ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Distance along each ray from the origin to each segment (a row for each); inf where it isn't hit."""
+    rx, ry = ray_directions()
+    sx, sy = (bx - ax)[:, None], (by - ay)[:, None]
+    cross = rx * sy - ry * sx
+    apart = np.abs(cross) > 1e-12
+    cross = np.where(apart, cross, 1.0)
+    t = (ax[:, None] * sy - ay[:, None] * sx) / cross
+    u = (ax[:, None] * ry - ay[:, None] * rx) / cross
+    return np.where(apart & (t >= 0) & (u >= 0) & (u <= 1), t, np.inf)
+
+
+def star_overlaps(reach: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Signed area that each side's triangle with the origin shares with a star-shaped region around it.
+
+    ``reach``: for each side the region's distance along each ray. Summed over a polygon's sides the absolute value is
+    the common area. Each side is cut at the rays; between two rays both the side and the region's border are straight.
+    """
+    sign = np.sign(ax * by - ay * bx)
+    flip = sign < 0
+    ax, bx, ay, by = np.where(flip, bx, ax), np.where(flip, ax, bx), np.where(flip, by, ay), np.where(flip, ay, by)
+    cx, cy = ray_directions()
+    nx, ny = np.roll(cx, -1), np.roll(cy, -1)
+    far = np.roll(reach, -1, axis=1)
+    dx, dy = (bx - ax)[:, None], (by - ay)[:, None]
+    px, py = ax[:, None], ay[:, None]
+    left0, left1 = cx * py - cy * px, cx * dy - cy * dx  # left of the first ray: left0 + t left1 >= 0
+    right0, right1 = ny * px - nx * py, ny * dx - nx * dy  # right of the second
+    low, high = np.zeros(left0.shape), np.ones(left0.shape)
+    for base, slope in ((left0, left1), (right0, right1)):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            at = -base / slope
+        low = np.where(slope > 0, np.maximum(low, at), low)
+        high = np.where(slope < 0, np.minimum(high, at), high)
+        high = np.where((slope == 0) & (base < 0), -1.0, high)
+    open_ = high > low
+    low, high = np.where(open_, low, 0.0), np.where(open_, high, 0.0)
+    ux, uy, vx, vy = px + low * dx, py + low * dy, px + high * dx, py + high * dy
+    sx, sy, ex, ey = reach * cx, reach * cy, far * nx, far * ny
+    # inside of the border: g >= 0, with g0 at the origin
+    g0 = sx * ey - sy * ex
+    gu = (ex - sx) * (uy - sy) - (ey - sy) * (ux - sx)
+    gv = (ex - sx) * (vy - sy) - (ey - sy) * (vx - sx)
+    cut = lambda g: g0 / np.where(g0 - g > 0, g0 - g, 1.0)
+    su, sv = np.where(gu >= 0, 1.0, cut(gu)), np.where(gv >= 0, 1.0, cut(gv))
+    share = gu / np.where(gu != gv, gu - gv, 1.0)
+    mx, my = ux + share * (vx - ux), uy + share * (vy - uy)
+    crossed = (gu >= 0) != (gv >= 0)
+    tri = lambda ax, ay, bx, by: (ax * by - ay * bx) / 2
+    plain = tri(ux * su, uy * su, vx * sv, vy * sv)
+    bent = tri(ux * su, uy * su, mx, my) + tri(mx, my, vx * sv, vy * sv)
+    return sign * np.where(open_, np.maximum(np.where(crossed, bent, plain), 0.0), 0.0).sum(axis=1)
+
+
+def _flat(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    counts = np.fromiter((0 if r is None else len(r) for r in rows), np.int64, len(rows))
+    return (np.concatenate([r for r in rows if r is not None and len(r)]) if counts.sum() else np.zeros(0)), counts
+
+
+@F.pandas_udf(ArrayType(DoubleType()))
+def visible_reach(sides: pd.Series, radius: pd.Series) -> pd.Series:
+    """Per point how far each ray goes. ``sides``: ax, ay, bx, by of walls around it (relative), in a row."""
+    flat, counts = _flat(sides)
+    flat, counts = flat.reshape(-1, 4), counts // 4
+    reach = np.repeat(radius.to_numpy(float)[:, None], RAYS, axis=1)
+    owner = np.repeat(np.arange(len(counts)), counts)
+    for k in range(0, len(flat), AT_ONCE):
+        own = owner[k : k + AT_ONCE]
+        hits = wall_hits(*flat[k : k + AT_ONCE].T)
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        reach[own[starts]] = np.minimum(reach[own[starts]], np.minimum.reduceat(hits, starts, axis=0))
+    return pd.Series(list(reach))
 
 
 @F.pandas_udf(DoubleType())
-def isovist_overlap(mx: pd.Series, my: pd.Series, star: pd.Series, ring: pd.Series) -> pd.Series:
-    """Overlap of isovists (arrays of {x, y} around mx, my) with areas."""
-    points = lambda a: np.array([(p["x"], p["y"]) for p in a], float).reshape(-1, 2)
-    return pd.Series([star_overlap((x, y), points(s), points(r)) for x, y, s, r in zip(mx, my, star, ring, strict=True)], dtype="float64")
+def visible_area(reach: pd.Series, sides: pd.Series) -> pd.Series:
+    """Area of a polygon (ax, ay, bx, by of its sides, relative to the point, in a row) within the visible region."""
+    flat, counts = _flat(sides)
+    flat, counts = flat.reshape(-1, 4), counts // 4
+    reaches = np.stack(reach.to_list()) if len(reach) else np.zeros((0, RAYS))
+    owner = np.repeat(np.arange(len(counts)), counts)
+    total = np.zeros(len(counts))
+    for k in range(0, len(flat), AT_ONCE):
+        own = owner[k : k + AT_ONCE]
+        np.add.at(total, own, star_overlaps(reaches[own], *flat[k : k + AT_ONCE].T))
+    return pd.Series(np.abs(total))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions import cost, geo, tags, text
-from strideway.functions.area import isovist_overlap
+from strideway.functions.area import visible_area
 from strideway.operators import spatial
 
 EDGE = ["u", "v", "key"]
@@ -19,9 +19,21 @@ ATTRIBUTES = {"raw_green_cost": ("norm_green", False), "raw_water_cost": ("norm_
 UNBOUNDED = ["noise_factor", "slope_time_cost", "raw_social_cost"]
 
 
-def _joined(edges: DataFrame, found: DataFrame, column: Column) -> DataFrame:
-    drop = [c for c in found.columns if c not in EDGE]
-    return edges.join(found, EDGE, "left").withColumn("_value", column).drop(*drop)
+LINE = ["a", "b"]
+
+
+def lines(edges: DataFrame) -> DataFrame:
+    """(a, b, ux, uy, vx, vy, mx, my): one row for the straight line between two nodes, whatever edges run along it."""
+    turned = F.col("u") <= F.col("v")
+    ends = [F.when(turned, F.col(p)).otherwise(F.col(q)).alias(p) for p, q in (("ux", "vx"), ("uy", "vy"), ("vx", "ux"), ("vy", "uy"))]
+    return edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), *ends, "mx", "my").dropDuplicates(LINE)
+
+
+def _joined(edges: DataFrame, found: DataFrame, column: Column, name: str) -> DataFrame:
+    """Edges with ``column`` from what was found for their lines."""
+    keyed = edges.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")})
+    drop = [c for c in found.columns if c not in LINE]
+    return keyed.join(found, LINE, "left").withColumn(name, column).drop(*LINE, *drop)
 
 
 def add_quietness(edges: DataFrame) -> DataFrame:
@@ -30,25 +42,25 @@ def add_quietness(edges: DataFrame) -> DataFrame:
 
 def add_green_fast(edges: DataFrame, green: DataFrame) -> DataFrame:
     """1 less the green share of a disc around the midpoint. ``edges`` has endpoints."""
-    found = spatial.disc_share(edges, EDGE, green, GREEN_RADIUS)
-    return _joined(edges, found, 1 - F.coalesce("share", F.lit(0.0))).withColumnRenamed("_value", "raw_green_cost")
+    found = spatial.disc_share(lines(edges), LINE, green, GREEN_RADIUS)
+    return _joined(edges, found, 1 - F.coalesce("share", F.lit(0.0)), "raw_green_cost")
 
 
-def edge_samples(edges: DataFrame) -> DataFrame:
-    """(u, v, key, sample, mx, my): points each 20 m along the edge's straight line, ends included."""
+def edge_samples(edges: DataFrame, keys: list[str] = EDGE) -> DataFrame:
+    """(keys, sample, mx, my): points each 20 m along a straight line, ends included."""
     line = F.array(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")), F.struct(F.col("vx").alias("x"), F.col("vy").alias("y")))
     metres = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
-    return edges.select(*EDGE, F.posexplode(geo.sample_points(line, metres, SPACING)).alias("sample", "p")).select(*EDGE, "sample", F.col("p.x").alias("mx"), F.col("p.y").alias("my"))
+    return edges.select(*keys, F.posexplode(geo.sample_points(line, metres, SPACING)).alias("sample", "p")).select(*keys, "sample", F.col("p.x").alias("mx"), F.col("p.y").alias("my"))
 
 
 def add_green_sampled(edges: DataFrame, green: DataFrame) -> DataFrame:
     """1 less the mean green share of discs around samples of the edge."""
-    samples = edge_samples(edges)
-    shares = spatial.disc_share(samples, [*EDGE, "sample"], green, GREEN_RADIUS)
+    own = lines(edges)
+    shares = spatial.disc_share(edge_samples(own, LINE), [*LINE, "sample"], green, GREEN_RADIUS)
     metres = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
     count = F.greatest(F.lit(2), F.floor(metres / SPACING) + 1)
-    found = shares.groupBy(*EDGE).agg(F.sum("share").alias("total"))
-    return _joined(edges, found, 1 - F.coalesce(F.col("total") / count, F.lit(0.0))).withColumnRenamed("_value", "raw_green_cost")
+    found = shares.groupBy(*LINE).agg(F.sum("share").alias("total"))
+    return _joined(edges, found, 1 - F.coalesce(F.col("total") / count, F.lit(0.0)), "raw_green_cost")
 
 
 def add_green_visible(edges: DataFrame, green: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -59,15 +71,17 @@ def add_green_visible(edges: DataFrame, green: DataFrame, buildings: DataFrame)
     a, b = line[0], line[1]
     share = lambda k: F.when(n == 1, 0.5).otherwise(k / (n - 1))
     at = lambda k: F.struct((a["x"] + (b["x"] - a["x"]) * share(k)).alias("x"), (a["y"] + (b["y"] - a["y"]) * share(k)).alias("y"))
-    samples = edges.where(metres >= 1).select(*EDGE, n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("sample", "p"))
-    samples = samples.select(*EDGE, "n", "sample", F.col("p.x").alias("mx"), F.col("p.y").alias("my"))
-    keys = [*EDGE, "sample"]
+    samples = lines(edges).where(metres >= 1).select(*LINE, n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("sample", "p"))
+    samples = samples.select(*LINE, "n", "sample", F.col("p.x").alias("mx"), F.col("p.y").alias("my"))
+    keys = [*LINE, "sample"]
     near = spatial.candidates(samples, green.select("points"), SIGHT)
-    seen = spatial.isovists(spatial.occluded(near.select(*keys, "mx", "my").distinct(), keys, buildings, SIGHT), keys)
-    overlaps = near.select(*keys, "n", "points").join(seen, keys).select(*keys, "n", isovist_overlap("mx", "my", "ring", "points").alias("area"))
-    visible = overlaps.groupBy(*keys, "n").agg(F.least(F.sum("area") / (math.pi * SIGHT * SIGHT), F.lit(1.0)).alias("visible"))
-    found = visible.groupBy(*EDGE).agg((F.sum("visible") / F.first("n")).alias("mean"))
-    return _joined(edges, found, 1 - F.coalesce("mean", F.lit(0.0))).withColumnRenamed("_value", "raw_green_cost")
+    # only where there is green at all it matters what can be seen
+    seen = spatial.visible(near.select(*keys, "mx", "my").distinct(), keys, buildings, SIGHT)
+    sides = spatial.relative_sides(F.col("points"), F.col("mx"), F.col("my"))
+    overlaps = near.select(*keys, "n", sides.alias("sides")).join(seen.select(*keys, "reach"), keys).select(*keys, "n", visible_area("reach", "sides").alias("area"))
+    shares = overlaps.groupBy(*keys, "n").agg(F.least(F.sum("area") / (math.pi * SIGHT * SIGHT), F.lit(1.0)).alias("visible"))
+    found = shares.groupBy(*LINE).agg((F.sum("visible") / F.first("n")).alias("mean"))
+    return _joined(edges, found, 1 - F.coalesce("mean", F.lit(0.0)), "raw_green_cost")
 
 
 GreenProcessor = Callable[..., DataFrame]
@@ -92,14 +106,14 @@ def green_processor(mode: str) -> GreenProcessor:
 def add_water(edges: DataFrame, water: DataFrame) -> DataFrame:
     """Distance to water over 250 m, 1 beyond."""
     geometries = water.withColumn("margin", F.when(F.col("closed"), 0.0).otherwise(10.0))
-    found = spatial.nearest_within(edges, EDGE, geometries, WATER_REACH)
-    return _joined(edges, found, F.least(F.lit(1.0), F.coalesce(F.col("distance") / WATER_REACH, F.lit(1.0)))).withColumnRenamed("_value", "raw_water_cost")
+    found = spatial.nearest_within(lines(edges), LINE, geometries, WATER_REACH)
+    return _joined(edges, found, F.least(F.lit(1.0), F.coalesce(F.col("distance") / WATER_REACH, F.lit(1.0))), "raw_water_cost")
 
 
 def add_social(edges: DataFrame, pois: DataFrame) -> DataFrame:
     """Length for each point of interest around the midpoint."""
-    found = spatial.count_within(edges, EDGE, pois, POI_RADIUS)
-    return _joined(edges, found, F.col("length") / F.greatest(F.lit(0.1), F.coalesce("n", F.lit(0)).cast("double"))).withColumnRenamed("_value", "raw_social_cost")
+    found = spatial.count_within(lines(edges), LINE, pois, POI_RADIUS)
+    return _joined(edges, found, F.col("length") / F.greatest(F.lit(0.1), F.coalesce("n", F.lit(0)).cast("double")), "raw_social_cost")
 
 
 def way_matches(lights: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFrame:

@@ -18,7 +18,8 @@ def best_parallel(edges: DataFrame, by: str = "length", columns: list[str] | Non
     """Of the edges between two nodes the one with the least ``by`` (then key)."""
     rest = columns or [c for c in edges.columns if c not in ("u", "v")]
     names = [by, "key", *[c for c in rest if c not in (by, "key")]]
-    best = edges.groupBy("u", "v").agg(F.min_by(F.struct(*names), F.struct(by, "key")).alias("best"))
+    names = list(dict.fromkeys(names))
+    best = edges.groupBy("u", "v").agg(F.min_by(F.struct(*names), F.struct(F.col(by).alias("first"), F.col("key").alias("second"))).alias("best"))
     return best.select("u", "v", *[F.col(f"best.{c}").alias(c) for c in names])
 
 

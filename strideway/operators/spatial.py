@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions import geo
+from strideway.functions.area import visible_reach
 
 EDGE = ["u", "v", "key"]
 
@@ -93,7 +94,7 @@ def snapped(points: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFr
 
 
 def nearest_nodes(points: DataFrame, keys: list[str], nodes: DataFrame, k: int = 1, reach: float = 200.0) -> DataFrame:
-    """(keys, node_id, distance, place): the ``k`` nearest nodes of each point (lat, lon), in rings that double.
+    """(keys, node_id, distance, nth): the ``k`` nearest nodes of each point (lat, lon), in rings that double.
 
     A point is settled once its k-th node is nearer than the ring's reach; only open points go to the next ring. The
     last ring is larger than the earth.
@@ -110,7 +111,7 @@ def nearest_nodes(points: DataFrame, keys: list[str], nodes: DataFrame, k: int =
         wide = own.withColumn("cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("n_lat") / lat_size) + d)))
         wide = wide.withColumn("cx", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: scaled("n_lat", "n_lon") + d)))
         pairs = open_points.withColumns({"cx": scaled("lat", "lon"), "cy": F.floor(F.col("lat") / lat_size)}).join(wide, ["cx", "cy"])
-        ranked = pairs.withColumn("distance", far).withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select(*keys, "node_id", "distance", "place")
+        ranked = pairs.withColumn("distance", far).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select(*keys, "node_id", "distance", "nth")
         settled = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("furthest")).where((F.col("n") >= k) & (F.col("furthest") <= metres * 0.9)).select(*keys)
         part = ranked if last else ranked.join(settled, keys, "left_semi")
         found = part if found is None else found.union(part)
@@ -155,21 +156,14 @@ def sector_weights(starts: DataFrame, features: DataFrame, radius: float) -> Dat
     return near.select("request_id", sector.alias("sector"), (F.col("area") * (1 - F.col("far") / radius)).alias("w")).groupBy("request_id", "sector").agg(F.sum("w").alias("weight"))
 
 
-def occluded(samples: DataFrame, keys: list[str], buildings: DataFrame, radius: float = 100.0, rays: int = 72) -> DataFrame:
-    """(keys, mx, my, ray, reach): how far each ray of a point goes before it meets a building's wall."""
-    angle = F.col("ray") * (2 * math.pi / rays)
-    every = samples.withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
-    walls = buildings.select(F.explode(geo.ring_edges(F.col("points"))).alias("e")).select("e.a", "e.b").select(F.array("a", "b").alias("points"))
-    pairs = candidates(samples, walls, radius).withColumn("ray", F.explode(F.sequence(F.lit(0), F.lit(rays - 1))))
-    a, b = F.col("points")[0], F.col("points")[1]
-    hit = geo.ray_segment(F.col("mx"), F.col("my"), angle, a["x"], a["y"], b["x"], b["y"])
-    hits = pairs.withColumn("hit", hit).where(F.col("hit") <= radius).groupBy(*keys, "ray").agg(F.min("hit").alias("hit"))
-    return every.join(hits, [*keys, "ray"], "left").select(*keys, "mx", "my", "ray", F.coalesce("hit", F.lit(radius)).alias("reach"))
-
-
-def isovists(reaches: DataFrame, keys: list[str], rays: int = 72) -> DataFrame:
-    """(keys, mx, my, ring): the visible region of each point."""
-    step = 2 * math.pi / rays
-    flat = reaches.groupBy(*keys).agg(F.first("mx").alias("mx"), F.first("my").alias("my"), F.array_sort(F.collect_list(F.struct("ray", "reach"))).alias("rays"))
-    at = lambda r: F.struct((F.col("mx") + r["reach"] * F.cos(r["ray"] * step)).alias("x"), (F.col("my") + r["reach"] * F.sin(r["ray"] * step)).alias("y"))
-    return flat.select(*keys, "mx", "my", F.transform("rays", at).alias("ring"))
+def relative_sides(points: Column, x: Column, y: Column) -> Column:
+    """A ring's sides as numbers in a row: ax, ay, bx, by of each, relative to (x, y)."""
+    side = lambda e: F.array(e["a"]["x"] - x, e["a"]["y"] - y, e["b"]["x"] - x, e["b"]["y"] - y)
+    return F.flatten(F.transform(geo.ring_edges(points), side))
+
+
+def visible(samples: DataFrame, keys: list[str], buildings: DataFrame, radius: float = 100.0) -> DataFrame:
+    """(keys, mx, my, reach): how far 72 rays from each point go until they meet a building, at most ``radius``."""
+    walls = candidates(samples.select(*keys, "mx", "my"), buildings.select("points"), radius)
+    near = walls.groupBy(*keys).agg(F.flatten(F.collect_list(relative_sides(F.col("points"), F.col("mx"), F.col("my")))).alias("sides"))
+    return samples.join(near, keys, "left").select(*keys, "mx", "my", visible_reach("sides", F.lit(radius)).alias("reach"))

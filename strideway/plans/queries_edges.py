@@ -75,8 +75,8 @@ def green_fast(net) -> DataFrame:
 
 
 @query(
-    f"""WITH m AS (SELECT u, v, key, ux, uy, vx, vy, greatest(2, floor(sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) / 20) + 1)::BIGINT AS n FROM geo_edges), i AS (SELECT *, unnest(range(0, n)) AS k FROM m),
-    samples AS (SELECT u, v, key, k, n, ux + (vx - ux) * k / (n - 1) AS mx, uy + (vy - uy) * k / (n - 1) AS my FROM i), {_disc(50.0, 'samples', 'u, v, key, k, n')}, t AS (SELECT u, v, key, sum(share) / any_value(n) AS share FROM shares GROUP BY 1, 2, 3)
+    f"""WITH m AS (SELECT u, v, key, ux, uy, vx, vy, greatest(2, floor(sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) / 20) + 1)::BIGINT AS n FROM geo_edges), i AS (SELECT *, unnest(range(0, n)) AS i_ FROM m),
+    samples AS (SELECT u, v, key, i_, n, ux + (vx - ux) * i_ / (n - 1) AS mx, uy + (vy - uy) * i_ / (n - 1) AS my FROM i), {_disc(50.0, 'samples', 'u, v, key, i_, n')}, t AS (SELECT u, v, key, sum(share) / any_value(n) AS share FROM shares GROUP BY 1, 2, 3)
     SELECT e.u, e.v, e.key, round(1 - coalesce(share, 0), 4) AS raw_green_cost FROM edges e LEFT JOIN t USING (u, v, key)"""
 )
 def green_sampled(net) -> DataFrame:

@@ -1 +1,287 @@
-QUERIES = {}
+"""Queries over stored routes, path searches, network simplification and round trips."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strideway.functions import cost, text
+from strideway.operators import graphs, loops, paths, routes, spatial
+from strideway.operators.materialise import written
+from strideway.plans.net_sql import bearing, hav
+from strideway.plans.queries_edges import scored
+
+QUERIES: dict[str, tuple[Callable, str | None]] = {}
+
+
+def query(sql: str | None = None):
+    def add(function: Callable) -> Callable:
+        QUERIES[function.__name__] = (function, sql)
+        return function
+
+    return add
+
+
+def r(column, digits: int = 6):
+    return F.round(column, digits)
+
+
+def stepped(net) -> DataFrame:
+    return routes.walked(net.walks, net.edges, ["name", "highway", "way"])
+
+
+@query("SELECT route_id, pos::INTEGER AS pos, u, v, round(length, 4) AS length, highway FROM walked")
+def route_steps(net) -> DataFrame:
+    return stepped(net).select("route_id", "pos", "u", "v", r("length", 4).alias("length"), "highway")
+
+
+@query("SELECT route_id, count(length) AS n_edges, round(sum(length), 4) AS length, round(sum(length * 2), 4) AS cost, round(avg((way % 51) / 50.0::DOUBLE), 6) AS mean_water FROM walked GROUP BY 1")
+def route_totals(net) -> DataFrame:
+    out = routes.totals(stepped(net).withColumns({"cost": F.col("length") * 2, "norm_water": (F.col("way") % 51) / 50.0}))
+    return out.select("route_id", "n_edges", r("length", 4).alias("length"), r("cost", 4).alias("cost"), r("mean_water").alias("mean_water"))
+
+
+@query("SELECT route_id, round(coalesce(sum(length / (5000 / 60.0::DOUBLE) * coalesce(CASE WHEN way % 2 = 0 THEN 1.2::DOUBLE END, 1)), 0), 6) AS minutes FROM walked GROUP BY 1")
+def route_minutes(net) -> DataFrame:
+    slope = F.when(F.col("way") % 2 == 0, 1.2)
+    return routes.travel_minutes(stepped(net).withColumn("slope_time_cost", slope), 5.0).select("route_id", r("minutes").alias("minutes"))
+
+
+@query("SELECT route_id, pos::INTEGER AS pos, round(sum(length) OVER (PARTITION BY route_id ORDER BY pos), 4) AS walked FROM walked")
+def route_cumulative(net) -> DataFrame:
+    return routes.cumulative(stepped(net)).select("route_id", "pos", r("walked", 4).alias("walked"))
+
+
+@query(
+    """WITH l AS (SELECT route_id, pos, lat, lon, lag(lat) OVER w AS la, lag(lon) OVER w AS lo FROM places WINDOW w AS (PARTITION BY route_id ORDER BY pos)),
+    c AS (SELECT route_id, pos, CASE WHEN la IS NOT NULL THEN (degrees(atan2((lon - lo) * cos(radians((la + lat) / 2)), lat - la)) + 360) % 360 END AS course FROM l),
+    d AS (SELECT route_id, ((course - lag(course) OVER (PARTITION BY route_id ORDER BY pos) + 540) % 360) - 180 AS t FROM c)
+    SELECT route_id, count(*) FILTER (abs(t) > 60) AS sharp_turns, round(coalesce(sum(abs(t)) FILTER (abs(t) > 20), 0), 4) AS turned FROM d GROUP BY 1"""
+)
+def route_turns(net) -> DataFrame:
+    return routes.turns(routes.located(net.walks, net.nodes)).select("route_id", "sharp_turns", r("turned", 4).alias("turned"))
+
+
+@query("WITH c AS (SELECT route_id, lag(name) OVER w <> name AS a, lag(highway) OVER w <> highway AS b FROM walked WINDOW w AS (PARTITION BY route_id ORDER BY pos)) SELECT route_id, count(*) FILTER (a) AS name_changes, count(*) FILTER (b) AS type_changes FROM c GROUP BY 1")
+def route_changes(net) -> DataFrame:
+    return routes.changes(stepped(net))
+
+
+@query("WITH n AS (SELECT route_id, row_number() OVER (PARTITION BY route_id, least(u, v), greatest(u, v) ORDER BY pos) AS k FROM steps) SELECT route_id, round(avg((k > 1)::INTEGER), 6) AS retraced FROM n GROUP BY 1")
+def route_retraced(net) -> DataFrame:
+    return routes.retraced_share(routes.steps(net.walks)).select("route_id", r("retraced").alias("retraced"))
+
+
+_P = ("a.lat", "a.lon", "p.lat", "p.lon")
+
+
+@query(
+    f"""WITH d AS (SELECT p.route_id, p.pos, round({hav(*_P)}, 6) AS far, {bearing(*_P)} AS course FROM places p JOIN places a ON a.route_id = p.route_id AND a.pos = 0),
+    t AS (SELECT route_id, arg_max(far, (far, -pos)) AS far, arg_max(course, (far, -pos)) AS course FROM d GROUP BY 1) SELECT route_id, CASE WHEN far >= 10 THEN round(course, 5) END AS bearing FROM t"""
+)
+def route_main_bearing(net) -> DataFrame:
+    return routes.main_bearing(routes.located(net.walks, net.nodes)).select("route_id", r("bearing", 5).alias("bearing"))
+
+
+_SETS = "sets AS (SELECT request_id, route_id, len(route) AS n, list_distinct(list_transform(range(1, len(route)), lambda i: route[i] || '>' || route[i + 1])) AS s FROM walks)"
+_LIKE = "CASE WHEN a.n < 2 OR b.n < 2 THEN 0.0::DOUBLE ELSE len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s)))::DOUBLE END"
+
+
+@query(f"WITH {_SETS} SELECT a.request_id, a.route_id AS a, b.route_id AS b, round({_LIKE}, 6) AS similarity FROM sets a JOIN sets b ON a.request_id = b.request_id AND a.route_id < b.route_id")
+def route_similarity(net) -> DataFrame:
+    return routes.similar_pairs(net.walks).select("request_id", "a", "b", r("similarity").alias("similarity"))
+
+
+@query("SELECT route_id, len(list_distinct(list(floor(lat / 0.00045::DOUBLE) || ':' || floor(lon / 0.00045::DOUBLE)))) AS cells FROM places GROUP BY 1")
+def route_cells(net) -> DataFrame:
+    return routes.coordinates(net.walks, net.nodes).select("route_id", F.size(routes.fingerprint(F.col("points"))).cast("long").alias("cells"))
+
+
+@query()
+def route_distinct(net) -> DataFrame:
+    cells = routes.coordinates(net.walks, net.nodes).select("route_id", routes.fingerprint(F.col("points")).alias("cells"))
+    return routes.distinct_routes(net.walks.select("route_id", "request_id").join(cells, "route_id"), 0.5)
+
+
+@query("WITH q AS (SELECT *, round(abs(len - 600) / 600, 9) AS dev FROM (SELECT route_id, request_id, sum(length) AS len, sum(length * (way % 7)) AS scenic FROM walked JOIN walks USING (route_id) GROUP BY 1, 2)) SELECT route_id, row_number() OVER (PARTITION BY request_id ORDER BY round(scenic, 6), route_id) AS scenic_rank, round(0.6::DOUBLE * greatest(0, 1 - least(dev / 0.5, 1)) + 0.4::DOUBLE * greatest(0, 1 - scenic / max(scenic) OVER (PARTITION BY request_id)), 5) AS quality FROM q")
+def route_quality(net) -> DataFrame:
+    return _scored_walks(net).select("route_id", "scenic_rank", r("quality", 5).alias("quality"))
+
+
+def _scored_walks(net) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = stepped(net).groupBy("route_id").agg(F.sum("length").alias("length"), r(F.sum(F.col("length") * (F.col("way") % 7))).alias("scenic_cost"))
+    rows = rows.join(net.walks, "route_id").withColumn("deviation", F.abs(F.col("length") - 600) / 600)
+    worst = F.max("scenic_cost").over(Window.partitionBy("request_id"))
+    return routes.ranked(rows.withColumn("quality", routes.quality(F.col("deviation"), F.col("scenic_cost"), worst)))
+
+
+@query("SELECT route_id, (0.8::DOUBLE * CASE WHEN variant * 0.1 > 0.15 THEN greatest(0.1::DOUBLE, 1 - variant * 0.1::DOUBLE) ELSE 1 END * CASE WHEN variant = 0 THEN 1 ELSE 0.3::DOUBLE + 0.7::DOUBLE * (variant / 2.0::DOUBLE) END)::DECIMAL(9, 6)::DOUBLE AS score FROM walks")
+def route_penalties(net) -> DataFrame:
+    k = F.col("variant")
+    return net.walks.select("route_id", r(routes.penalised(F.lit(0.8), k * 0.1, F.when(k != 0, k / 2.0))).alias("score"))
+
+
+@query()
+def route_without_spurs(net) -> DataFrame:
+    return net.walks.select("route_id", routes.without_spurs(F.col("route")).alias("route"), routes.thinned(F.col("route"), 5).alias("thin"))
+
+
+@query("SELECT route_id, array_to_string(list_concat(route, list_reverse(route)[2:]), ',') AS tour FROM walks")
+def route_there_and_back(net) -> DataFrame:
+    return net.walks.select("route_id", F.concat_ws(",", routes.joined_paths(F.col("route"), F.reverse("route")).cast("array<string>")).alias("tour"))
+
+
+@query("SELECT s.route_id, pos::INTEGER AS pos, round(b.length, 2) AS length, b.highway AS highway, round(n.elevation, 1) AS u_elevation FROM steps s JOIN (SELECT u, v, arg_min(struct_pack(length := length, highway := highway), key) AS b FROM edges GROUP BY 1, 2) USING (u, v) JOIN nodes n ON n.node_id = s.u WHERE pos < 8")
+def route_edge_features(net) -> DataFrame:
+    return routes.edge_features(net.walks, scored(net), net.nodes, 8).select("route_id", "pos", "length", "highway", "u_elevation")
+
+
+@query()
+def route_diverse(net) -> DataFrame:
+    return routes.diverse(_scored_walks(net), 2)
+
+
+@query()
+def route_names(net) -> DataFrame:
+    rows = _scored_walks(net)
+    chosen = written(routes.diverse(rows, 3), "chosen").join(rows, ["request_id", "route_id"])
+    chosen = chosen.withColumns({"bearing": (F.col("route_id") * 40 % 360).cast("double"), "corners": F.col("variant") + 2, "kind": F.lit("polygon")})
+    return loops.named(chosen).select("request_id", "route_id", "place", "role", "scenic_rank", "of", "subtitle")
+
+
+@query(
+    """WITH l AS (SELECT request_id % 4 AS bias, route, (SELECT 600) AS target, len FROM walks JOIN (SELECT route_id, sum(length) AS len FROM walked GROUP BY 1) USING (route_id))
+    SELECT bias, count(*) AS attempts, round(avg((route[1] = route[-1])::INTEGER) * 100, 4) AS closed_pct, round(avg(abs(len - target) / target * 100), 4) AS mean_error_pct, round(avg((len(list_distinct(route)) < len(route) - 1)::INTEGER) * 100, 4) AS crossing_pct FROM l GROUP BY 1"""
+)
+def loop_batch_report(net) -> DataFrame:
+    lengths = stepped(net).groupBy("route_id").agg(F.sum("length").alias("length"))
+    rows = net.walks.join(lengths, "route_id").withColumns({"bias": F.col("request_id") % 4, "target_m": F.lit(600.0)})
+    return routes.loop_report(rows, ["bias"]).select("bias", "attempts", *[r(c, 4).alias(c) for c in ("closed_pct", "mean_error_pct", "crossing_pct")])
+
+
+@query("SELECT request_id, ['Northbound', 'North-east', 'Eastbound', 'South-east', 'Southbound', 'South-west', 'Westbound', 'North-west'][(floor(((request_id * 37) % 360 + 22.5) / 45)::INTEGER) % 8 + 1] AS direction, ['Loop', 'Triangle', 'Quadrilateral', 'Pentagon', 'Hexagon', 'Polygon'][request_id % 6 + 1] AS shape FROM requests")
+def shape_words(net) -> DataFrame:
+    k = F.col("request_id")
+    return net.requests.select("request_id", text.direction_word((k * 37 % 360).cast("double")).alias("direction"), text.shape_word(F.lit("polygon"), k % 6 + 2).alias("shape"))
+
+
+_S = ("start_lat", "start_lon", "nlat", "nlon")
+
+
+@query(f"SELECT request_id, (floor({bearing(*_S)} / 30)::INTEGER % 12) AS sector, round(sum(radius * (1 - {hav(*_S)} / 1500)), 3) AS weight FROM requests JOIN shapes ON kind = 'green' WHERE {hav(*_S)} <= 1500 GROUP BY ALL")
+def sector_weights(net) -> DataFrame:
+    return spatial.sector_weights(net.requests, _green_points(net), 1500.0).select("request_id", "sector", r("weight", 3).alias("weight"))
+
+
+def _green_points(net) -> DataFrame:
+    shapes = net.polygons.where("kind = 'green'")
+    sizes = net.table("part").select(F.col("p_partkey").alias("geom_id"), (F.col("p_size") * 3 + 5).alias("area"))
+    return shapes.join(sizes, "geom_id").select("lat", "lon", "area")
+
+
+@query()
+def loop_skeletons(net) -> DataFrame:
+    asked = _loop_requests(net)
+    sectors = spatial.sector_weights(asked, _green_points(net), 1500.0)
+    candidates = loops.skeletons(loops.bearings(asked, sectors, variety=1), 1)
+    return loops.waypoints(candidates).select("candidate_id", "place", r("lat", 7).alias("lat"), r("lon", 7).alias("lon"))
+
+
+def _loop_requests(net) -> DataFrame:
+    bias = F.when(F.col("request_id") % 3 == 0, "east").otherwise("none")
+    return net.requests.select("request_id", "start", "start_lat", "start_lon", F.lit(1500.0).alias("target_m"), bias.alias("bias"))
+
+
+@query(f"SELECT request_id, arg_min(node_id, (round({hav('start_lat + 0.0001::DOUBLE', 'start_lon + 0.0001::DOUBLE', 'lat', 'lon')}, 6), node_id)) AS node_id FROM requests, nodes WHERE abs(lat - start_lat) < 0.01 AND abs(lon - start_lon) < 0.01 GROUP BY 1")
+def nearest_node(net) -> DataFrame:
+    points = net.requests.select("request_id", (F.col("start_lat") + 0.0001).alias("lat"), (F.col("start_lon") + 0.0001).alias("lon"))
+    return spatial.nearest_nodes(points, ["request_id"], net.nodes).select("request_id", "node_id")
+
+
+@query()
+def paths_by_length(net) -> DataFrame:
+    return paths.least_length_paths(net.requests, net.edges).select("request_id", "route", r("cost", 4).alias("metres"))
+
+
+@query()
+def paths_by_preference(net) -> DataFrame:
+    edges = scored(net)
+    low, high = edges.where("length > 0").agg(F.min("length"), F.max("length")).first()
+    weights = cost.slider_weights({k: F.col(k) for k in cost.FEATURES})
+    asked = net.requests.select("request_id", "start", "end", *[w.alias(k) for k, w in weights.items()])
+    keep = ["u", "v", "key", "length", *cost.NORMS.values()]
+    step = lambda: cost.edge_cost(F.lit(low), F.lit(high), {k: F.col(k) for k in cost.FEATURES})
+    return paths.shortest_paths(asked, written(edges.select(keep), "edges"), step).select("request_id", "route", r("cost").alias("cost"))
+
+
+@query(
+    """SELECT request_id, scenario, CASE WHEN scenario = 'baseline' THEN 1.0::DOUBLE WHEN scenario = 'extremist' THEN 0.1::DOUBLE ELSE d END AS distance,
+    CASE scenario WHEN 'baseline' THEN 0.0::DOUBLE WHEN 'balanced' THEN greenness ELSE CASE WHEN greenness >= greatest(water, social, quietness, slope) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS greenness,
+    CASE scenario WHEN 'baseline' THEN 0.0::DOUBLE WHEN 'balanced' THEN slope ELSE CASE WHEN slope > greatest(greenness, water, social, quietness) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END END AS slope
+    FROM (SELECT *, coalesce(distance, 3.0::DOUBLE) AS d FROM requests), (SELECT unnest(['baseline', 'extremist', 'balanced']) AS scenario)"""
+)
+def route_scenarios(net) -> DataFrame:
+    rows = net.requests.withColumn("distance", F.coalesce("distance", F.lit(3.0)))
+    return paths.scenarios(rows).select("request_id", "scenario", "distance", "greenness", "slope")
+
+
+@query()
+def reachable_requests(net) -> DataFrame:
+    return paths.reachable(net.requests.select("request_id", "start", "end"), net.edges.where("highway <> 'construction'"))
+
+
+def _pruned_source(net) -> DataFrame:
+    return net.edges.where("highway not in ('motorway', 'construction', 'trunk', 'primary', 'secondary', 'tertiary', 'residential')")
+
+
+@query()
+def dead_ends_removed(net) -> DataFrame:
+    return graphs.without_dead_ends(_pruned_source(net)).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def dead_ends_removed_capped(net) -> DataFrame:
+    return graphs.without_dead_ends(_pruned_source(net), start=0, rounds=3).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def contracted_chains(net) -> DataFrame:
+    return graphs.chains(_pruned_source(net)).select("u", "v", r("length", 4).alias("length"), F.size("inner").alias("n_inner"))
+
+
+@query()
+def consolidated_nodes(net) -> DataFrame:
+    nodes = net.nodes.withColumn("x", F.col("x") / 4)
+    groups = graphs.merge_groups(nodes, 20.0, 0)
+    return graphs.consolidated(net.edges, written(groups, "groups")).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def route_gaps_restored(net) -> DataFrame:
+    gaps = graphs.gaps(routes.steps(net.walks.withColumn("route", routes.thinned(F.col("route"), 4))), net.nodes)
+    return graphs.restored(written(gaps, "gaps"), net.edges).select("route_id", "pos", "route")
+
+
+@query()
+def loops_geometric(net) -> DataFrame:
+    asked = _loop_requests(net).where("request_id % 4 = 0")
+    found = loops.loop_solver("geometric")(asked, written(net.nodes, "nodes"), written(scored(net), "edges"), candidates=2, rounds=2)
+    return found.select("candidate_id", "request_id", "kind", r("length", 3).alias("length"), "route")
+
+
+@query()
+def loops_random_walk(net) -> DataFrame:
+    placed = spatial.with_endpoints(net.edges, net.nodes)
+    from strideway.functions import geo
+
+    course = geo.bearing(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
+    edges = written(placed.select("u", "v", "length", (F.col("way") % 101 / 100.0).alias("cost"), course.alias("course")), "edges")
+    asked = net.requests.select("request_id", "start", F.lit(800.0).alias("target_m"), (F.col("request_id") * 40 % 360).cast("double").alias("bearing"))
+    walks = loops.random_walks(asked, edges, attempts=2)
+    return loops.closed_walks(walks, edges).select("request_id", "attempt", r("length", 3).alias("length"), "route")
+
+
