@@ -34,12 +34,12 @@ from strideway.llm.common import in_groups, scratch, sorted_groups, text_of
 from strideway.llm.segments import mix
 
 #: Bytes of a match and of an anchor, of a shard, and of the strings that get one suffix array.
-MATCH, ANCHOR, SHARD, BLOCK = 50, 16, 4 << 20, 2 << 20
+MATCH, ANCHOR, SHARD, BLOCK = 50, 16, 4 << 20, 1 << 20
 STEPS = MATCH - ANCHOR + 1
 #: Bytes of the longest string of windows with one anchor, in whole words of eight.
 WIDEST = (MATCH - 1 + STEPS + 7) // 8 * 8
 LAST = np.iinfo(np.int64).max
-ROWS_AT_ONCE = 1 << 16
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1 << 14, 1 << 19
 
 
 # --- anchors and strings of a shard -------------------------------------------------------------------------------
@@ -65,7 +65,18 @@ class Runs(NamedTuple):
 
 
 def window_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
-    """All runs of a shard's bytes; ``ends`` are the documents' ends."""
+    """All runs of a shard's bytes; ``ends`` are the documents' ends. Some documents are worked on at once."""
+    parts, doc, begin = [], 0, 0
+    while doc < len(ends):
+        last = max(doc + 1, int(np.searchsorted(ends, begin + BYTES_AT_ONCE, side="right")))
+        stop = int(ends[last - 1])
+        own = _window_runs(data[begin:stop], ends[doc:last] - begin)
+        parts.append(Runs(own.start + begin, own.count, own.hash, own.doc + doc))
+        doc, begin = last, stop
+    return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else _window_runs(data, ends)
+
+
+def _window_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
     n = len(data)
     empty = np.zeros(0, np.int64)
     if n < MATCH:
@@ -93,7 +104,8 @@ def window_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
     start = np.flatnonzero(first)
     doc = np.searchsorted(ends, start, side="right")
     stop = np.minimum(np.append(start[1:], n), ends[doc] - MATCH + 1)
-    return Runs(start, stop - start, hashes[anchor[start]], doc)
+    # least hashes are small numbers: mixed again, they spread over the buckets
+    return Runs(start, stop - start, mix(hashes[anchor[start]] ^ np.uint64(0xD6E8FEB86659FD93)), doc)
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
@@ -182,20 +194,20 @@ def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """
     n = len(data)
     keys = words_at(data, ">")
-    tail = np.maximum(8 - (n - np.arange(n)), 0)  # a missing byte is less than a zero byte
-    order = np.lexsort((-tail, keys)) if (data == 0).any() else np.argsort(keys)
+    tail = np.maximum(8 - n + np.arange(n, dtype=np.int32), 0).astype(np.int8)  # a missing byte is less than a zero byte
+    order = (np.lexsort((-tail, keys)) if (data == 0).any() else np.argsort(keys)).astype(np.int32)
     keys, tail = keys[order], tail[order]
     new = np.append(True, (keys[1:] != keys[:-1]) | (tail[1:] != tail[:-1]))[:n]
-    place = np.flatnonzero(new)
-    rank = np.empty(n, np.int64)
+    place = np.flatnonzero(new).astype(np.int32)
+    rank = np.empty(n, np.int32)
     rank[order] = np.repeat(place, np.diff(np.append(place, n)))
     unsorted = np.flatnonzero(~(new & np.append(new[1:], True)))
     depth = 8
     while len(unsorted):
         suffix = order[unsorted]
         group = rank[suffix]
-        far = suffix + depth
-        key = (group << 32) | np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
+        far = suffix.astype(np.int64) + depth
+        key = (group.astype(np.int64) << 32) | np.where(far < n, rank[np.minimum(far, n - 1)] + 1, 0)
         by = np.argsort(key)
         suffix, key = suffix[by], key[by]
         order[unsorted] = suffix
@@ -246,10 +258,10 @@ class Groups(NamedTuple):
 
 def window_groups(data: np.ndarray, start: np.ndarray, count: np.ndarray, doc: np.ndarray) -> Groups:
     order, _ = suffix_array(data)
-    string = np.full(len(data), -1, np.int64)
+    string = np.full(len(data), -1, np.int32)
     string[np.repeat(start, count) + np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)] = np.repeat(np.arange(len(start)), count)
     order = order[string[order] >= 0]
-    before = np.full(len(data), -1, np.int64)
+    before = np.full(len(data), -1, np.int32)
     before[order[1:]] = order[:-1]
     first = common_prefixes(data, before, start, count)[order] < MATCH
     heads = np.flatnonzero(first)
