@@ -67,20 +67,11 @@ def suffix_sums(histogram: DataFrame) -> DataFrame:
     )
 
 
-def totals_at(sums: DataFrame, limits: list[int]) -> DataFrame:
-    """(context_limit, docs_over, truncated_tokens) for any limits, from :func:`suffix_sums`."""
-    wanted = sums.sparkSession.createDataFrame([(int(x),) for x in limits], "wanted long")
-    joined = F.broadcast(wanted).join(sums, F.col("context_limit") >= F.col("wanted"), "left")
-    total = sums.agg(F.max("total_tokens").alias("all_tokens"))
-    return (
-        joined.groupBy("wanted")
-        .agg(F.min(F.struct("context_limit", "docs_at_least", "tokens_at_least")).alias("s"), F.sum(F.when(F.col("context_limit") > F.col("wanted"), F.col("n_docs"))).alias("over"))
-        .crossJoin(F.broadcast(total))
-        .select(
-            F.col("wanted").alias("context_limit"), F.coalesce("over", F.lit(0)).alias("docs_over"),
-            (F.coalesce("all_tokens", F.lit(0)) - F.coalesce("s.tokens_at_least", F.lit(0)) + F.coalesce("s.docs_at_least", F.lit(0)) * F.col("wanted")).alias("truncated_tokens"),
-        )
-    )
+def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
+    """(context_limit, docs_over, truncated_tokens) for any limits, from :func:`length_histogram`."""
+    rows = histogram.select("n_tokens", "n_docs", F.explode(F.array(*[F.lit(int(x)).cast("long") for x in limits])).alias("context_limit"))
+    over = F.when(F.col("n_tokens") > F.col("context_limit"), F.col("n_docs")).otherwise(0)
+    return rows.groupBy("context_limit").agg(F.sum(over).alias("docs_over"), F.sum(F.least("n_tokens", "context_limit") * F.col("n_docs")).alias("truncated_tokens"))
 
 
 def token_counts(docs: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFrame:
