@@ -25,7 +25,7 @@ def powers(n: int) -> np.ndarray:
     return np.cumprod(np.full(max(n, 1), 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
 
 
-def word_hashes(texts: list[bytes], chunk: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all texts in a row, and the number of words of each text.
 
     Words are maximal runs without tab, line feed, vertical tab, form feed, carriage return and blank; A-Z count as a-z.
