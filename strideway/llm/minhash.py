@@ -10,9 +10,10 @@ agree in a bin with the probability of their Jaccard similarity, with concentrat
 
 Banding: a band is ``ROWS`` coordinates; two documents at the threshold share none of ``BANDS`` with probability below
 3e-6. Within a band's bucket every member is verified against the bucket's smallest member, which settles groups of
-near copies in linear work. What then still lies in different components of a bucket is compared by sketches, the
-members outside the bucket's largest component with all, in blocks of bounded size; pairs whose estimate is not far
-below the threshold are verified too. Verification counts the common shingles of whole texts.
+near copies in linear work. Buckets whose members then still lie in different components form clusters; there the
+members outside the cluster's largest component are compared with all, in blocks of bounded size: first by sketches,
+then, where the estimate isn't far below the threshold, by exact counts of common shingles. A block tells only the links
+that join components, at most one for each member, so that no group is expanded into all its pairs.
 
 Rows with one doc_id are one node. A null doc_id is linked with nothing. Other columns are not read.
 """
@@ -20,8 +21,6 @@ Rows with one doc_id are one node. A null doc_id is linked with nothing. Other c
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,9 +35,9 @@ BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 #: Pairs are verified if their sketches' estimate is at least this; 5 standard deviations below the threshold.
 ESTIMATE = 0.60
-GROUP = 4 << 20
-#: Shingles of members verified in one group, and members of a bucket compared in one block.
-PART_SHINGLES, BLOCK = 500_000, 1024
+GROUP = 2 << 20
+#: Shingles and members of a part of a group, and shingles that are counted at once.
+PART_SHINGLES, BLOCK, WIDTH = 200_000, 1024, 2048
 UNSET = np.uint64(2**64 - 1)
 
 
@@ -138,23 +137,79 @@ def _could_match(n: str, m: str):
     return F.least(n, m) * DENOMINATOR >= F.greatest(n, m) * NUMERATOR
 
 
-def remaining_pairs(members: DataFrame, labels: DataFrame, briefs: DataFrame) -> DataFrame:
-    """(a, b): pairs of a bucket in different components whose sketches are similar.
-
-    ``members`` (band, rep, n_shingles), ``labels`` (id, component), ``briefs`` (doc_id, brief). Blocks hold at most
-    about 2 * BLOCK rows; members of a bucket's largest component only meet those outside of it.
+def common_counts(found: np.ndarray, counts: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """How many shingles the sets ``rows`` share with the sets ``columns``; sets lie in a row in ``found``."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    used = np.zeros(len(counts), bool)
+    used[rows] = used[columns] = True
+    kept = used[owner]
+    owner = owner[kept]
+    _, number, times = np.unique(found[kept], return_inverse=True, return_counts=True)
+    kept = times[number] > 1
+    owner, number = owner[kept], (np.cumsum(times > 1) - 1)[number[kept]]
+    order = np.argsort(number, kind="stable")
+    owner, number = owner[order], number[order]
+    row_of, column_of = (np.full(len(counts), -1) for _ in range(2))
+    row_of[rows], column_of[columns] = np.arange(len(rows)), np.arange(len(columns))
+    out = np.zeros((len(rows), len(columns)), np.float32)
+    for a in range(0, int(number[-1]) + 1 if len(number) else 0, WIDTH):
+        i, j = np.searchsorted(number, [a, a + WIDTH])
+        parts = []
+        for place, size in ((row_of, len(rows)), (column_of, len(columns))):
+            at = place[owner[i:j]]
+            part = np.zeros((size, WIDTH), np.float32)
+            part[at[at >= 0], number[i:j][at >= 0] - a] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def joining_links(rows: np.ndarray, columns: np.ndarray, ids: np.ndarray, component: np.ndarray) -> list[tuple[int, int]]:
+    """Of links between members (by index) those that join components that no earlier one joined."""
+    above: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    out = []
+    for i, j in zip(rows.tolist(), columns.tolist(), strict=True):
+        a, b = top(int(component[i])), top(int(component[j]))
+        if a != b:
+            above[max(a, b)] = min(a, b)
+            out.append((min(int(ids[i]), int(ids[j])), max(int(ids[i]), int(ids[j]))))
+    return out
+
+
+def remaining_links(members: DataFrame, labels: DataFrame, briefs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(a, b): exact links between components, for members of buckets that the first verification left apart.
+
+    ``members`` (band, pivot, rep, n_shingles), ``labels`` (id, component), ``briefs`` (doc_id, brief). Blocks hold at
+    most about 2 * BLOCK members and 2 * PART_SHINGLES shingles; members of a cluster's largest component only meet
+    those outside of it.
     """
     rows = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    shares = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
-    buckets = shares.groupBy("band").agg(F.sum("n").alias("group_size"), F.max(F.struct("n", "component")).alias("largest")).where("group_size > largest.n")
-    buckets = written(
-        buckets.select(
-            "band", "group_size", F.col("largest.component").alias("big"), F.ceil(F.col("largest.n") / BLOCK).cast("int").alias("big_blocks"),
-            F.ceil((F.col("group_size") - F.col("largest.n")) / BLOCK).cast("int").alias("odd_blocks"),
-        ), "buckets",
+    mixed = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("group_size")).where("low < high")
+    mixed = written(mixed.select("band", "group_size"), "mixed")
+    total = mixed.agg(F.sum("group_size")).first()[0] or 0
+    rows = written(looked_up(rows, mixed, "band", total, "inner").select("pivot", "rep", "component", "n_shingles").distinct(), "left")
+    # clusters connect components, not members: a large component is one node
+    own = labels.select(F.col("id").alias("pivot"), F.col("component").alias("a"))
+    edges = rows.select("pivot", "component").distinct().join(own, "pivot", "left").select(F.coalesce("a", "pivot").alias("a"), F.col("component").alias("b"))
+    clusters = connected_components(edges.where("a <> b").distinct())
+    rows = rows.select("rep", "component", "n_shingles").distinct().join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
+    rows = written(rows, "clustered")
+    shares = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = shares.groupBy("cluster").agg(F.sum("n").alias("group_size"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("big")).where("group_size > big.n")
+    parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / PART_SHINGLES)).cast("int")
+    sizes = sizes.select(
+        "cluster", "group_size", F.col("big.component").alias("big"), parts(F.col("big.n"), F.col("big.s")).alias("big_blocks"),
+        parts(F.col("group_size") - F.col("big.n"), F.col("s") - F.col("big.s")).alias("odd_blocks"),
     )
-    total = buckets.agg(F.sum("group_size")).first()[0] or 0
-    rows = looked_up(rows, buckets, "band", total, "inner")
+    sizes = written(sizes, "clusters")
+    rows = looked_up(rows, sizes, "cluster", rows.count(), "inner")
     odd = F.col("component") != F.col("big")
     own = F.pmod(F.xxhash64("rep"), F.when(odd, F.col("odd_blocks")).otherwise(F.col("big_blocks"))).cast("int")
     name = lambda kind, i, j: F.concat_ws(":", F.lit(kind), i.cast("string"), j.cast("string"))
@@ -162,28 +217,32 @@ def remaining_pairs(members: DataFrame, labels: DataFrame, briefs: DataFrame) ->
     odd_to = F.concat(F.transform(upto("odd_blocks"), lambda j: name("odd", F.least(F.col("own"), j), F.greatest(F.col("own"), j))), F.transform(upto("big_blocks"), lambda j: name("big", F.col("own"), j)))
     big_to = F.transform(upto("odd_blocks"), lambda i: name("big", i, F.col("own")))
     blocks = rows.withColumn("odd", odd).withColumn("own", own).withColumn("block", F.explode(F.when(F.col("odd"), odd_to).otherwise(big_to)))
-    blocks = blocks.join(briefs.withColumnRenamed("doc_id", "rep"), "rep").select("band", "block", "rep", "component", "n_shingles", "odd", "brief")
-    blocks = blocks.repartition("band", "block").sortWithinPartitions("band", "block", "rep")
+    needed = written(rows.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), needed, needed.count(), "doc_id").where("maybe").drop("maybe")
+    blocks = blocks.join(briefs.join(texts, "doc_id").withColumnRenamed("doc_id", "rep"), "rep").select("cluster", "block", "rep", "component", "n_shingles", "odd", "brief", "text")
+    blocks = blocks.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "rep")
 
     def run(batches):
-        for group in sorted_groups(batches, "band", "block"):
+        for group in sorted_groups(batches, "cluster", "block"):
             ids, component, size = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
             odd = np.array(group.column("odd").to_pylist(), bool)
             brief = np.frombuffer(b"".join(group.column("brief").to_pylist()), np.uint8).reshape(len(ids), -1)
-            apart = group.column("block")[0].as_py().startswith("big")
-            found: list[np.ndarray] = []
+            others = ~odd if group.column("block")[0].as_py().startswith("big") else odd
+            pairs = []
             for i in np.flatnonzero(odd).tolist():
-                other = (component != component[i]) & (np.minimum(size, size[i]) * DENOMINATOR >= np.maximum(size, size[i]) * NUMERATOR)
-                other &= ~odd if apart else odd
-                near = np.flatnonzero(other)
-                if len(near):
-                    near = near[(brief[near] == brief[i]).mean(axis=1) >= ESTIMATE]
-                    found.append(np.stack([np.minimum(ids[near], ids[i]), np.maximum(ids[near], ids[i])]))
-            if found:
-                pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                near = np.flatnonzero(others & (component != component[i]) & (np.minimum(size, size[i]) * DENOMINATOR >= np.maximum(size, size[i]) * NUMERATOR))
+                near = near[(brief[near] == brief[i]).mean(axis=1) >= ESTIMATE]
+                pairs.append(np.stack([np.full(len(near), i), near]))
+            i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+            if len(i):
+                found, counts = sets_of([t.encode() for t in group.column("text").to_pylist()])
+                own, other = np.unique(i), np.unique(j)
+                common = common_counts(found, counts, own, other)[np.searchsorted(own, i), np.searchsorted(other, j)].astype(np.int64)
+                good = DENOMINATOR * common >= NUMERATOR * (counts[i] + counts[j] - common)
+                links = joining_links(i[good], j[good], ids, component)
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    return blocks.mapInArrow(run, "a long, b long").distinct()
+    return written(blocks.mapInArrow(run, "a long, b long"), "more")
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -199,13 +258,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     buckets = written(buckets.where("last > pivot").select("band", "pivot", F.col("first.n_shingles").alias("pivot_size"), "group_size"), "buckets")
     members = written(looked_up(bands, buckets, "band", total * BANDS, "inner").select("band", "pivot", "pivot_size", "rep", "n_shingles"), "members")
     sizes = reps.select(F.col("rep").alias("doc_id"), "n_shingles")
-    first = members.where("rep <> pivot").where(_could_match("n_shingles", "pivot_size")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct()
-    links = [verified(first, sizes, docs)]
-    labels = connected_components(links[0])
-    more = written(remaining_pairs(members.select("band", "rep", "n_shingles"), labels, reps.select(F.col("rep").alias("doc_id"), "brief")), "more")
+    first = written(members.where("rep <> pivot").where(_could_match("n_shingles", "pivot_size")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "first")
+    links = verified(first, sizes, docs)
+    labels = connected_components(links)
+    more = remaining_links(members.select("band", "pivot", "rep", "n_shingles"), labels, reps.select(F.col("rep").alias("doc_id"), "brief"), docs)
     if not more.isEmpty():
-        links.append(verified(more, sizes, docs))
-        labels = connected_components(reduce(DataFrame.union, links))
+        labels = connected_components(links.union(more))
     groups = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "group_size", F.coalesce("component", "rep").alias("component"))
     light = table.select("doc_id", "n_shingles", "key")
     lone = light.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
