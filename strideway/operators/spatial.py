@@ -53,10 +53,21 @@ def candidates(points: DataFrame, geometries: DataFrame, radius: float, size: fl
 
 
 def nearest_within(points: DataFrame, keys: list[str], geometries: DataFrame, radius: float) -> DataFrame:
-    """(keys, distance): distance to the nearest geometry (points, closed, margin), for points that have one in reach."""
-    pairs = candidates(points.select(*keys, "mx", "my"), geometries.select("points", "closed", "margin"), radius + 10.0)
-    far = F.greatest(geo.geometry_distance(F.col("mx"), F.col("my"), F.col("points"), F.col("closed")) - F.col("margin"), F.lit(0.0))
-    return pairs.select(*keys, far.alias("distance")).where(F.col("distance") <= radius).groupBy(*keys).agg(F.min("distance").alias("distance"))
+    """(keys, distance): distance to the nearest geometry (points, closed, margin), for points that have one in reach.
+
+    Distances are to single sides, so that they are plain column arithmetic; only for points within an area's box it is
+    tested whether they are inside.
+    """
+    own = points.select(*keys, "mx", "my")
+    size = radius + 10.0
+    sides = geometries.select("margin", F.explode(F.when(F.col("closed"), geo.ring_edges(F.col("points"))).otherwise(geo.line_edges(F.col("points")))).alias("e"))
+    sides = sides.select("margin", *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
+    wide = spread(sides, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size, size)
+    pairs = own.withColumns({"cx": cell(F.col("mx"), size), "cy": cell(F.col("my"), size)}).join(wide, ["cx", "cy"])
+    far = geo.segment_distance(*(F.col(c) for c in ("mx", "my", "ax", "ay", "bx", "by")))
+    near = pairs.select(*keys, F.greatest(far - F.col("margin"), F.lit(0.0)).alias("distance")).where(F.col("distance") <= radius)
+    inside = candidates(own, geometries.where("closed").select("points"), 0.0, size).where(geo.point_in_ring(F.col("mx"), F.col("my"), F.col("points")))
+    return near.unionByName(inside.select(*keys, F.lit(0.0).alias("distance"))).groupBy(*keys).agg(F.min("distance").alias("distance"))
 
 
 def count_within(points: DataFrame, keys: list[str], others: DataFrame, radius: float) -> DataFrame:
