@@ -349,8 +349,17 @@ def cost_with_preferences(net) -> DataFrame:
 
 @query(f"SELECT u, v, key, 'night' AS context, {_CLASS.format(late=chr(39) + 'unlit' + chr(39))} AS lit_class, {_TIER} AS tier, {_TIER_FACTOR} AS factor FROM edges WHERE key = 2")
 def modifier_context(net) -> DataFrame:
+    return _at_night(net.edges.where("key = 2"))
+
+
+@query(f"SELECT u, v, key, 'night' AS context, {_CLASS.format(late=chr(39) + 'unlit' + chr(39))} AS lit_class, {_TIER} AS tier, {_TIER_FACTOR} AS factor FROM edges")
+def modifier_context_all(net) -> DataFrame:
+    return _at_night(net.edges)
+
+
+def _at_night(edges: DataFrame) -> DataFrame:
     night = F.lit("night")
-    return net.edges.where("key = 2").select(*EDGE, tags.lighting_context(night).alias("context"), tags.effective_lit_class(night).alias("lit_class"), tags.active_travel_tier().alias("tier"), cost.tier_multiplier().alias("factor"))
+    return edges.select(*EDGE, tags.lighting_context(night).alias("context"), tags.effective_lit_class(night).alias("lit_class"), tags.active_travel_tier().alias("tier"), cost.tier_multiplier().alias("factor"))
 
 
 _WALK = """NOT (highway IN ('motorway', 'construction') OR coalesce(area = 'yes', false)) AND NOT (highway IN ('cycleway', 'trunk') AND NOT (coalesce(foot IN ('yes', 'designated', 'permissive'), false) OR coalesce(designation = 'public_footpath', false)))

@@ -268,8 +268,7 @@ def route_gaps_restored(net) -> DataFrame:
 
 @query()
 def loops_geometric(net) -> DataFrame:
-    asked = _loop_requests(net).where("request_id % 4 = 0")
-    found = loops.loop_solver("geometric")(asked, written(net.nodes, "nodes"), written(scored(net), "edges"), candidates=2, rounds=2)
+    found = loops.loop_solver("geometric")(_loop_requests(net), written(net.nodes, "nodes"), written(scored(net), "edges"))
     return found.select("candidate_id", "request_id", "kind", r("length", 3).alias("length"), "route")
 
 

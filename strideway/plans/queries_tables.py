@@ -205,11 +205,23 @@ def grid_to_degrees(net) -> DataFrame:
     SELECT u, v, count(*) AS n, round(sum(sqrt(pow(ux + (vx - ux) * i / (n - 1) - ux, 2) + pow(uy + (vy - uy) * i / (n - 1) - uy, 2))), 3) AS reach FROM p GROUP BY 1, 2"""
 )
 def sampled_lines(net) -> DataFrame:
+    return _sampled(net, net.edges.where("key = 1"), ["u", "v"])
+
+
+@query(
+    """WITH s AS (SELECT u, v, key, sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) AS m, ux, uy, vx, vy FROM geo_edges), n AS (SELECT *, greatest(2, floor(m / 20) + 1)::BIGINT AS n FROM s), p AS (SELECT *, unnest(range(0, n)) AS i FROM n)
+    SELECT u, v, key, count(*) AS n, round(sum(sqrt(pow(ux + (vx - ux) * i / (n - 1) - ux, 2) + pow(uy + (vy - uy) * i / (n - 1) - uy, 2))), 3) AS reach FROM p GROUP BY 1, 2, 3"""
+)
+def sampled_lines_all(net) -> DataFrame:
+    return _sampled(net, net.edges, ["u", "v", "key"])
+
+
+def _sampled(net, edges: DataFrame, keys: list[str]) -> DataFrame:
     from strideway.operators import enrich
 
-    edges = spatial.with_endpoints(net.edges.where("key = 1"), net.nodes)
+    edges = spatial.with_endpoints(edges, net.nodes)
     rows = enrich.edge_samples(edges).join(edges.select("u", "v", "key", "ux", "uy"), ["u", "v", "key"])
-    return rows.groupBy("u", "v").agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.hypot(F.col("mx") - F.col("ux"), F.col("my") - F.col("uy"))), 3).alias("reach"))
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.hypot(F.col("mx") - F.col("ux"), F.col("my") - F.col("uy"))), 3).alias("reach"))
 
 
 @query("SELECT geom_id, round(abs(sum((ax - nx) * (\"by\" - ny) - (bx - nx) * (ay - ny))) / 2, 2) AS area FROM sides WHERE kind = 'green' GROUP BY 1")
@@ -244,6 +256,11 @@ def lights_in_bounds(net) -> DataFrame:
     return filters.in_padded_bounds(net.lights, edges, 15.0).select("light_id")
 
 
+@query("WITH b AS (SELECT min(least(ux, vx)) AS a, max(greatest(ux, vx)) AS b, min(least(uy, vy)) AS c, max(greatest(uy, vy)) AS d FROM geo_edges) SELECT light_id FROM lights, b WHERE x BETWEEN a - 15 AND b + 15 AND y BETWEEN c - 15 AND d + 15")
+def lights_in_bounds_all(net) -> DataFrame:
+    return filters.in_padded_bounds(net.lights, spatial.with_endpoints(net.edges, net.nodes), 15.0).select("light_id")
+
+
 @query("WITH k AS (SELECT * FROM edges WHERE NOT (coalesce(access = 'private', false) OR coalesce(service = 'driveway', false) OR coalesce(sidewalk = 'separate', false))) SELECT node_id FROM nodes WHERE node_id IN (SELECT u FROM k) OR node_id IN (SELECT v FROM k) OR node_id = 0")
 def quiet_network_nodes(net) -> DataFrame:
     footway = F.when(F.col("sidewalk") == "separate", "sidewalk")
@@ -283,9 +300,18 @@ def preference_validation(net) -> DataFrame:
 
 @query("SELECT u, v, key, (coalesce(lit = 'yes', false) AND NOT (key = 2)) AS prefer_lit, ((key = 3) AND NOT coalesce(surface = 'dirt', false)) AS prefer_dedicated_pavements FROM edges WHERE key <= 4")
 def canonical_preferences(net) -> DataFrame:
+    return _canonical(net.edges.where("key <= 4"))
+
+
+@query("SELECT u, v, key, (coalesce(lit = 'yes', false) AND NOT (key = 2)) AS prefer_lit, ((key = 3) AND NOT coalesce(surface = 'dirt', false)) AS prefer_dedicated_pavements FROM edges")
+def canonical_preferences_all(net) -> DataFrame:
+    return _canonical(net.edges)
+
+
+def _canonical(edges: DataFrame) -> DataFrame:
     flags = {"prefer_lit": F.col("lit") == "yes", "heavily_avoid_unlit": F.col("key") == 2, "prefer_pedestrian": F.col("key") == 3, "prefer_nature_trails": F.col("surface") == "dirt"}
     out = filters.canonical_options(flags)
-    return net.edges.where("key <= 4").select("u", "v", "key", out["prefer_lit"].alias("prefer_lit"), out["prefer_dedicated_pavements"].alias("prefer_dedicated_pavements"))
+    return edges.select("u", "v", "key", out["prefer_lit"].alias("prefer_lit"), out["prefer_dedicated_pavements"].alias("prefer_dedicated_pavements"))
 
 
 @query(
