@@ -35,3 +35,32 @@ def test_loops_are_asked_for_every_request(spark, monkeypatch):
     monkeypatch.setitem(loops._solvers, "GEOMETRIC", solver)
     __spark_entry__.queries()["loops_geometric"](spark, DATA).collect()
     assert seen["ids"] == {r.request_id for r in Network(spark, DATA).requests.collect()} and not {"candidates", "rounds"} & set(seen["more"])
+
+
+def _snapped(spark, places, links, points, **more):
+    """The nodes chosen for ``points`` of one loop from node 0; places in steps of 0.001 degrees, links both ways with a highway."""
+    nodes = spark.createDataFrame([(n, 51.0 + y * 0.001, 0.0 + x * 0.001) for n, (x, y) in places.items()], "node_id long, lat double, lon double")
+    edges = spark.createDataFrame([(a, b, h, 0.0) for u, v, h in links for a, b in ((u, v), (v, u))], "u long, v long, highway string, norm_green double")
+    loop = spark.createDataFrame([("c", len(points) + 1, 0, 51.0, 0.0)], "candidate_id string, corners int, start long, start_lat double, start_lon double")
+    rows = spark.createDataFrame([("c", i, 51.0 + y * 0.001, 0.0 + x * 0.001) for i, (x, y) in enumerate(points)], "candidate_id string, place int, lat double, lon double")
+    return [r.node_id for r in loops.snapped_waypoints(loop, rows, nodes, loops.snap_profile(nodes, edges), **more).orderBy("place").collect()]
+
+
+def test_snapping_goes_past_the_nearest(spark):
+    # 60 dead ends around the point; the fit nodes 1 and 2 are further off
+    places = {0: (0, 0), 1: (9, 0), 2: (9, 1), 3: (8, 0)} | {100 + i: (5 + i * 0.001, 0) for i in range(60)}
+    links = [(0, 1, "path"), (1, 2, "path"), (2, 3, "path"), (1, 3, "path"), *[(100 + i, 3, "motorway") for i in range(60)]]
+    assert _snapped(spark, places, links, [(5, 0)], flow=False)[0] in (1, 2, 3)
+    assert _snapped(spark, places, links, [(5, 0)], flow=False, most=50) == []
+
+
+def test_snapping_minds_turns_exits_and_secondary_roads(spark):
+    # both ends of the square are as good by distance; node 1 touches a secondary road
+    places = {0: (0, 0), 1: (4, 4), 2: (4, 5), 3: (4, 6), 4: (9, 9), 5: (3, 8)}
+    links = [(0, 1, "path"), (1, 2, "secondary"), (2, 3, "path"), (0, 3, "path"), (1, 5, "path"), (3, 5, "path"), (3, 4, "path"), (0, 5, "path")]
+    assert _snapped(spark, places, links, [(4, 4.2)], flow=False) == [3]
+    # node 1 is nearest to the point, but lies beyond it: one would turn right round there
+    places = {0: (0, 0), 1: (0, 9), 2: (4, 5), 3: (9, 0), 4: (0.1, 9.1), 5: (4.1, 5.1)}
+    links = [(a, b, "path") for a, b in ((0, 1), (1, 4), (1, 2), (0, 2), (2, 5), (2, 3), (0, 3), (3, 5))]
+    assert _snapped(spark, places, links, [(0.5, 8)], flow=False) == [1]
+    assert _snapped(spark, places, links, [(0.5, 8), (9, 0)])[0] == 5
