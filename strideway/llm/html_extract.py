@@ -44,9 +44,11 @@ ARTICLE_TAGS = frozenset(("article", "main"))
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Closed by the next block or item of the same sort.
 OPEN_ENDED = frozenset("p li dt dd tr td th option".split())
-#: Words in class, id or role that mark what is no article.
+#: Names in class, id or role that mark what is no article; a name counts if all its parts are such words.
 DROPPED_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert\w*|banner\w*|breadcrumb\w*|comment\w*|contentinfo|cookie\w*|consent|disqus|footer\w*|header|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|pager|pagination|popup|promo\w*|related|replies|respond|share\w*|sharing|sidebar\w*|social|sponsor\w*|subscribe|toolbar|widget\w*)(?:$|[\s_-])",
+    r"(?:^|\s)(?:W)(?:[_-]+(?:W))*(?:$|\s)".replace(
+        "W", r"ad|ads|adv|advert\w*|banner\w*|breadcrumb\w*|comment\w*|contentinfo|cookie\w*|consent|disqus|footer\w*|header|masthead|menu\w*|modal|nav|navbar|navigation|newsletter|notice\w*|pager|pagination|popup|promo\w*|related|replies|respond|share\w*|sharing|sidebar\w*|social|sponsor\w*|subscribe|toolbar|widget\w*"
+    ),
     re.I,
 )
 TOKEN = re.compile(
@@ -68,7 +70,7 @@ class Block(NamedTuple):
 
 def blocks(page: str) -> Iterator[Block]:
     """The blocks of a page that have text, in order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, article, dropped by more than a name
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
@@ -126,11 +128,14 @@ def blocks(page: str) -> Iterator[Block]:
             elif stack and stack[-1][0] == "p":
                 stack.pop()
             attributes = m[4] or m[7] or ""
-            out, inside = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-            if attributes and not out and tag not in ("body", "html", "article", "main"):
-                out = any(DROPPED_WORDS.search(x[0] or x[1] or x[2]) for x in MARKS.findall(attributes)) or bool(HIDDEN.search(attributes))
+            out, inside, hard = stack[-1][1:] if stack else (False, False, False)
+            if tag in ARTICLE_TAGS and not inside:  # names of what is around it say nothing about an article
+                out = hard
+            if attributes and not hard and tag not in ("body", "html", "article", "main"):
+                hard = bool(HIDDEN.search(attributes))
+                out = out or hard or any(DROPPED_WORDS.search(x[0] or x[1] or x[2]) for x in MARKS.findall(attributes))
             own = tag in DROPPED_TAGS and not (tag == "header" and inside)
-            stack.append((tag, out or own, (inside or tag in ARTICLE_TAGS)))
+            stack.append((tag, out or own, (inside or tag in ARTICLE_TAGS), hard or own))
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     if position < len(page):
@@ -140,7 +145,7 @@ def blocks(page: str) -> Iterator[Block]:
 
 
 def first_pass(block: Block) -> str:
-    """good, bad, near or short."""
+    """good, bad, near, short, or low: long with few stop words."""
     if block.dropped or block.link_chars > LINKS * len(block.text) and not block.heading:
         return "bad"
     if block.text.startswith("©") and not block.article:
@@ -151,7 +156,7 @@ def first_pass(block: Block) -> str:
     density = sum(w in ALL_STOP_WORDS for w in words) / max(len(words), 1)
     if density >= STOP_HIGH or density >= STOP_LOW and len(block.text) >= LONG:
         return "good"
-    return "near" if block.article or density >= STOP_LOW else "bad" if len(block.text) >= LONG else "near"
+    return "near" if block.article or density >= STOP_LOW else "low" if len(block.text) >= LONG else "near"
 
 
 def second_pass(found: list[Block]) -> list[bool]:
@@ -160,6 +165,8 @@ def second_pass(found: list[Block]) -> list[bool]:
     has_article = any(b.article and not b.dropped for b in found)
     if has_article:
         labels = [x if b.article else "bad" for x, b in zip(labels, found, strict=True)]
+    # on a page without a good block, long ones are of a language without a list
+    labels = [("bad" if "good" in labels else "good") if x == "low" else x for x in labels]
     decided = ("good", "bad")
     before: list[int | None] = []
     last = None
