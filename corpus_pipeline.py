@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 from strideway.llm import exact_dedup, language_id, minhash, packing, suffix_dedup
 from strideway.llm.common import marked, read_table, text_of, written
 
-#: A document goes if no language is nearer to it than a random vector would be.
-LEAST_SCORE = 0.5
+#: A document goes if its greatest cosine with a language's profile is less than this part of what is usual (the median of
+#: all labelled training documents) at its length. Random letters have about a sixth at 500 characters.
+LEAST_SCORE = 0.25
 
 
 def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
@@ -26,10 +27,18 @@ def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or like no language, go; a missing lang is filled in."""
-    languages, vectors = language_id.prototypes(docs.where(~language_id.held_out()))
-    found = language_id.identify(docs, languages, vectors)
-    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)) if languages else found.where("false")
+    """Documents without letters, or like no language, go; a missing lang is filled in.
+
+    Where nothing was learned, as no text has a label, no text can be said to be like no language: all with letters stay,
+    with a null lang.
+    """
+    training = docs.where(~language_id.held_out())
+    languages, plain = language_id.profiles(training)
+    if not languages:
+        return docs.where(text_of().rlike(r"\p{L}"))
+    found = language_id.identify(docs, languages, language_id.centred(plain), plain)
+    least = F.array(*[F.lit(LEAST_SCORE * m) for m in language_id.usual_likeness(training, languages, plain)])
+    kept = found.where((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("likeness") >= F.get(least, F.col("length_class"))))
     lang = F.coalesce("row.lang", "lang_pred").alias("lang")
     return kept.select([lang if c == "lang" else F.col(f"row.`{c}`") for c in docs.columns])
 

@@ -26,7 +26,7 @@ from strideway.llm.common import in_groups
 LETTERS, DIMENSIONS, SEED = 64, 1024, 20240229
 #: Texts counted together (by code points), n-grams bundled together, and the most languages that are compared.
 GROUP, BUNDLE, LANGUAGES = 2 << 20, 8192, 1000
-UNKNOWN = "und"
+UNKNOWN, CLASSES = "und", 32
 
 
 def held_out() -> Column:
@@ -111,8 +111,8 @@ def ngram_counts(docs: DataFrame) -> DataFrame:
     return learned.groupBy("lang", "code").agg(F.sum("n").alias("n"))
 
 
-def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """Languages and their prototypes from labelled texts.
+def profiles(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and their profiles of one length, not centred, from labelled texts.
 
     A language's n-grams are at most LETTERS ** 3 rows, whatever the size of the corpus; a vector for each language,
     and no more than ``LANGUAGES`` of them, comes to the driver.
@@ -133,14 +133,26 @@ def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     found = sorted(found, key=lambda r: r.lang)
     vectors = np.array([r.vector for r in found]).reshape(-1, DIMENSIONS)
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
-    if len(found) > 1:
-        vectors = vectors - vectors.mean(axis=0)
-    vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
     return [r.lang for r in found], vectors
 
 
-def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> DataFrame:
-    """(row, lang_pred, score) of every text; ``row`` is a struct of the columns of ``docs``. Map only."""
+def centred(vectors: np.ndarray) -> np.ndarray:
+    if len(vectors) > 1:
+        vectors = vectors - vectors.mean(axis=0)
+    return vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-9)
+
+
+def prototypes(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+    """Languages and their prototypes from labelled texts."""
+    languages, vectors = profiles(docs)
+    return languages, centred(vectors)
+
+
+def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray, plain: np.ndarray | None = None) -> DataFrame:
+    """(row, lang_pred, score) of every text; ``row`` is a struct of the columns of ``docs``. Map only.
+
+    With ``plain`` profiles also likeness, the greatest cosine with one of them, and length_class, by powers of two.
+    """
 
     def run(batches):
         weights = vectors.astype(np.float32).T
@@ -148,17 +160,30 @@ def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray) -> Data
             for rows in _blocks(group):
                 own, some = bundles(rows.column("_text").to_pylist())
                 some &= len(languages) > 0
-                best, score = np.zeros(len(own), np.int64), np.zeros(len(own))
+                best, score, likeness = np.zeros(len(own), np.int64), np.zeros(len(own)), np.zeros(len(own))
                 if some.any():
                     cosine = (own @ weights) / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
                     best = cosine.argmax(axis=1)
                     score = np.clip((1 + cosine.max(axis=1).astype(np.float64)) / 2, 0, 1)
                 names = [languages[k] if s else UNKNOWN for k, s in zip(best.tolist(), some.tolist(), strict=True)]
-                yield from pa.Table.from_arrays([rows.column("row"), pa.array(names, pa.string()), pa.array(np.where(some, score, 0.0))], names=["row", "lang_pred", "score"]).to_batches()
+                out = {"row": rows.column("row"), "lang_pred": pa.array(names, pa.string()), "score": pa.array(np.where(some, score, 0.0))}
+                if plain is not None:
+                    if some.any():
+                        likeness = ((own @ plain.astype(np.float32).T) / np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)).max(axis=1).astype(np.float64)
+                    sizes = [min(len(t).bit_length(), CLASSES - 1) for t in rows.column("_text").to_pylist()]
+                    out |= {"likeness": pa.array(np.where(some, likeness, 0.0)), "length_class": pa.array(sizes, pa.int32())}
+                yield from pa.table(out).to_batches()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double" + ", likeness double, length_class int" * (plain is not None))
+
+
+def usual_likeness(docs: DataFrame, languages: list[str], plain: np.ndarray) -> list[float]:
+    """For each class of length the median likeness of the labelled texts in it, or of the next class that has some."""
+    found = identify(docs.where("lang is not null").select("text"), languages, centred(plain), plain).where(F.col("lang_pred") != UNKNOWN)
+    medians = {r.length_class: r.m for r in found.groupBy("length_class").agg(F.percentile_approx("likeness", 0.5, 10_000).alias("m")).collect()}
+    return [medians[min(medians, key=lambda k: abs(k - c))] if medians else 0.0 for c in range(CLASSES)]
 
 
 def language_ids(docs: DataFrame) -> DataFrame:
