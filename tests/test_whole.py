@@ -64,3 +64,12 @@ def test_snapping_minds_turns_exits_and_secondary_roads(spark):
     links = [(a, b, "path") for a, b in ((0, 1), (1, 4), (1, 2), (0, 2), (2, 5), (2, 3), (0, 3), (3, 5))]
     assert _snapped(spark, places, links, [(0.5, 8)], flow=False) == [1]
     assert _snapped(spark, places, links, [(0.5, 8), (9, 0)])[0] == 5
+
+
+def test_random_walks_try_as_often_as_the_reference(spark):
+    edges = spark.createDataFrame([(i, i + 1, 1000.0, 0.0, 0.0) for i in range(40)], "u long, v long, length double, cost double, course double")
+    asked = spark.createDataFrame([(1, 0, 5_000.0, 0.0), (2, 0, 10_001.0, 0.0), (3, 0, 20_001.0, 0.0)], "request_id long, start long, target_m double, bearing double")
+    walks = loops.random_walks(asked, edges).collect()
+    assert {k: sorted(r.attempt for r in walks if r.request_id == k) for k in (1, 2, 3)} == {1: [*range(1, 21)], 2: [*range(1, 41)], 3: [*range(1, 61)]}
+    # outward the walk ends with the first step that reaches its share
+    assert {r.attempt: r.length for r in walks if r.request_id == 3 and r.attempt <= 6} == {1: 9000, 2: 10000, 3: 11000, 4: 12000, 5: 13000, 6: 9000}
