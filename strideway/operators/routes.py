@@ -201,10 +201,11 @@ def penalised(score: Column, overlap: Column, direction: Column) -> Column:
     return once * F.coalesce(direction * 0.7 + 0.3, F.lit(1.0))
 
 
-def edge_features(routes: DataFrame, edges: DataFrame, nodes: DataFrame, most: int = 500) -> DataFrame:
-    """Attributes of each of a route's first steps, of the first parallel edge, rounded as they are shown."""
+def edge_features(routes: DataFrame, edges: DataFrame, nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Attributes of each of a route's steps (of its first ``most``), of the first parallel edge, rounded as they are shown."""
     own = first_parallel(edges)
-    out = steps(routes).where(F.col("pos") < most).join(own, ["u", "v"])
+    out = steps(routes)
+    out = (out if most is None else out.where(F.col("pos") < most)).join(own, ["u", "v"])
     for end in "uv":
         out = out.join(nodes.select(F.col("node_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"), F.round("elevation", 1).alias(f"{end}_elevation")), end)
     shown = [F.round(c, 4).alias(c) for c in ("norm_green", "norm_water", "norm_social", "norm_quiet", "norm_slope") if c in out.columns]

@@ -137,9 +137,15 @@ def route_there_and_back(net) -> DataFrame:
 
 @query("SELECT s.route_id, pos::INTEGER AS pos, round(b.length, 2) AS length, b.highway AS highway, round(n.elevation, 1) AS u_elevation FROM steps s JOIN (SELECT u, v, arg_min(struct_pack(length := length, highway := highway), key) AS b FROM edges GROUP BY 1, 2) USING (u, v) JOIN nodes n ON n.node_id = s.u WHERE pos < 8")
 def route_edge_features(net) -> DataFrame:
+    """The first steps only, as its SQL has them."""
     return routes.edge_features(net.walks, scored(net), net.nodes, 8).select("route_id", "pos", "length", "highway", "u_elevation")
 
 
+@query("SELECT s.route_id, pos::INTEGER AS pos, round(b.length, 2) AS length, b.highway AS highway, round(n.elevation, 1) AS u_elevation FROM steps s JOIN (SELECT u, v, arg_min(struct_pack(length := length, highway := highway), key) AS b FROM edges GROUP BY 1, 2) USING (u, v) JOIN nodes n ON n.node_id = s.u")
+def route_edge_features_all(net) -> DataFrame:
+    return routes.edge_features(net.walks, scored(net), net.nodes).select("route_id", "pos", "length", "highway", "u_elevation")
+
+
 @query()
 def route_diverse(net) -> DataFrame:
     return routes.diverse(_scored_walks(net), 2)
