@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideway.functions import tags
@@ -183,3 +183,47 @@ def edge_cost(
     if prefer_pedestrian or prefer_dedicated_pavements or prefer_paved or avoid_unsafe_roads:
         cost = cost * tier_multiplier()
     return cost
+
+
+def compared_factors(length_low: Column, length_high: Column, context: Column | None = None) -> dict[str, Column]:
+    """What compared_cost needs of an edge: its length's share of the weighted sum, alone, and the multiplier of each toggle."""
+    night = F.lit("night") if context is None else context
+    only_length = {k: F.lit(1.0 if k == "distance" else 0.0) for k in FEATURES}
+    return {
+        "f_length": edge_cost(length_low, length_high, only_length), "f_prefer_lit": lit_multiplier(night), "f_heavily_avoid_unlit": lit_multiplier(night, True), "f_prefer_pedestrian": pedestrian_multiplier(),
+        "f_prefer_dedicated_pavements": dedicated_multiplier(), "f_prefer_nature_trails": trail_multiplier(), "f_prefer_paved": surface_multiplier(), "f_avoid_unsafe_roads": unsafe_multiplier(), "f_tier": tier_multiplier(),
+    }
+
+
+def compared_cost(scenario: Column, toggles: dict[str, Column]) -> Column:
+    """The metres of an edge with compared_factors for the baseline; else its cost with the multipliers that are switched on."""
+    on = lambda name: F.coalesce(toggles[name], F.lit(False))
+    out = F.col("f_length") * F.when(on("heavily_avoid_unlit"), F.col("f_heavily_avoid_unlit")).when(on("prefer_lit"), F.col("f_prefer_lit")).otherwise(1.0)
+    for name in ("prefer_pedestrian", "prefer_dedicated_pavements", "prefer_nature_trails", "prefer_paved", "avoid_unsafe_roads"):
+        out = out * F.when(on(name), F.col(f"f_{name}")).otherwise(1.0)
+    tiered = on("prefer_pedestrian") | on("prefer_dedicated_pavements") | on("prefer_paved") | on("avoid_unsafe_roads")
+    return F.when(scenario == "baseline", F.col("length")).otherwise(out * F.when(tiered, F.col("f_tier")).otherwise(1.0))
+
+
+# Penalties of the former loop solver; the value for other and for missing tags comes last.
+LEGACY = {
+    "highway": ({1.0: ["footway", "path", "pedestrian", "cycleway", "track", "bridleway", "steps"], 1.2: ["residential", "living_street", "service"], 1.5: ["unclassified", "tertiary", "tertiary_link"],
+                 2.0: ["secondary", "secondary_link"], 2.5: ["primary", "primary_link"], 3.0: ["trunk", "trunk_link", "motorway", "motorway_link"]}, 1.5),
+    "surface": ({1.0: ["paved", "asphalt", "concrete", "concrete:plates", "concrete:lanes", "paving_stones"], 1.1: ["sett", "cobblestone", "cobblestone:flattened", "metal", "wood"],
+                 1.3: ["compacted", "fine_gravel", "gravel"], 2.0: ["dirt", "earth", "ground", "mud", "sand", "grass", "grass_paver", "woodchips"]}, 1.2),
+    "lit": ({0.85: ["yes", "automatic", "24/7"], 1.3: ["limited", "disused"], 1.8: ["no"]}, 1.2),
+}
+LEGACY_UNSAFE = ["primary", "primary_link", "secondary", "secondary_link", "tertiary", "tertiary_link"]
+
+
+def legacy_penalties(edges: DataFrame) -> DataFrame:
+    """(u, v, road, surface, lit, unsafe): the least penalty of the parallel edges that have the tag; for safety, of the first that is a road without room for walkers."""
+    out = []
+    for name, (table, other) in LEGACY.items():
+        penalty = F.lit(other)
+        for factor, values in table.items():
+            penalty = F.when(F.lower(name).isin(values), factor).otherwise(penalty)
+        out.append(F.coalesce(F.min(F.when(F.col(name).isNotNull(), penalty)), F.lit(other)).alias("road" if name == "highway" else name))
+    safe = F.coalesce(F.lower("sidewalk").isin("both", "left", "right", "yes", "separate"), F.lit(False)) | F.coalesce(F.lower("foot").isin("yes", "designated"), F.lit(False))
+    unsafe = F.min(F.when(F.lower("highway").isin(LEGACY_UNSAFE), F.struct("key", F.when(safe, 1.0).otherwise(3.5).alias("factor"))))
+    return edges.groupBy("u", "v").agg(*out, F.coalesce(unsafe["factor"], F.lit(1.0)).alias("unsafe"))

@@ -380,6 +380,11 @@ def flagship_cost_by_highway(net) -> DataFrame:
     return priced.groupBy("highway").agg(F.count(F.lit(1)).alias("n_edges"), r(F.avg("cost"), 5).alias("mean_cost"))
 
 
+@query()
+def legacy_loop_penalties(net) -> DataFrame:
+    return cost.legacy_penalties(net.edges)
+
+
 @query()
 def full_build(net) -> DataFrame:
     edges = build.build(net.nodes, net.edges, build.layers_of(net))

@@ -235,6 +235,19 @@ def route_scenarios(net) -> DataFrame:
     return paths.scenarios(rows).select("request_id", "scenario", "distance", "greenness", "slope")
 
 
+@query()
+def paths_compared(net) -> DataFrame:
+    k = F.col("request_id")
+    toggles = {t: k % (i + 2) == 0 for i, t in enumerate(paths.TOGGLES)}
+    asked = paths.advanced_compare(net.requests.select("request_id", "start", "end", (k % 4 == 1).alias("sliders"), *[c.alias(t) for t, c in toggles.items()]))
+    asked = written(asked.withColumn("request_id", F.concat_ws(":", k.cast("string"), "scenario")), "asked")
+    edges = scored(net)
+    low, high = edges.where("length > 0").agg(F.min("length"), F.max("length")).first()
+    step = lambda: cost.compared_cost(F.col("scenario"), {t: F.col(t) for t in paths.TOGGLES})
+    found = paths.shortest_paths(asked, written(edges.select("u", "v", "length", *[c.alias(n) for n, c in cost.compared_factors(F.lit(low), F.lit(high)).items()]), "edges"), step)
+    return found.select(F.split("request_id", ":")[0].cast("long").alias("request_id"), F.split("request_id", ":")[1].alias("scenario"), "route", r("cost").alias("cost"))
+
+
 @query()
 def reachable_requests(net) -> DataFrame:
     return paths.reachable(net.requests.select("request_id", "start", "end"), net.edges.where("highway <> 'construction'"))
