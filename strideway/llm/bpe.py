@@ -5,26 +5,29 @@ words are spread back over the documents. Distinct words are encoded together by
 pair of symbols is mapped to all its positions; the ranks that occur are applied in ascending order, each to all its
 positions at once, and only the lists of the pairs beside a merge are changed.
 
-Null text counts as empty and has no ids. The string of a special token inside a text becomes that token's id.
+Null text counts as empty and has no ids; an empty table has no rows; repeated rows are encoded each time. Texts of any
+length are whole: long ones are worked on in pieces that are cut where a word begins. No column but doc_id and text is
+read. The string of a special token inside a text becomes that token's id.
 """
 
 from __future__ import annotations
 
 import functools
+import hashlib
 import heapq
 import json
+import re
 import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
 from strideway.llm.common import in_groups, text_of
+from strideway.llm.segments import lane_hashes, lanes
 
 DEFAULT_TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: Texts are cut into words in chunks of about so many bytes, and encoded together in groups of so many.
@@ -165,28 +168,6 @@ def pair_index_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, n
     return lambda words: PairIndex(vocab, words).merge()
 
 
-@functools.lru_cache(maxsize=4)
-def _pieces(path: str):
-    """A compiled encoder of single words with the vocabulary of ``path``."""
-    import tiktoken
-
-    vocab = vocabulary(path)
-    ranks = {x: i for i, x in enumerate(vocab.bytes_of) if i not in set(vocab.special.values())}
-    return tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-
-
-def library_encoder(path: str) -> Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]:
-    """Encodes words one by one with an installed library; its ids are those of :func:`pair_index_encoder`."""
-    one = _pieces(path).encode_single_token, _pieces(path)._encode_single_piece
-
-    def encode(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        ids = list(map(one[1], words))
-        counts = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum())), counts
-
-    return encode
-
-
 def word_starts(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
     """Where the words of byte-level pre-tokenization start, in code points of joined non-empty documents.
 
@@ -237,7 +218,7 @@ def word_starts(chars: np.ndarray, doc_starts: np.ndarray) -> np.ndarray:
 
 
 class WordTable:
-    """The distinct words that a task has met, with the ids of each."""
+    """The distinct words that a task has met, with the ids of each. Words are found by a hash and told apart by their bytes."""
 
     def __init__(self, encode: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]]):
         self.encode = encode
@@ -246,18 +227,25 @@ class WordTable:
     def _clear(self) -> None:
         self.hashes, self.numbers = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.ids, self.starts, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.lanes, self.lane_starts, self.sizes = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.clashes: dict[bytes, int] = {}
         self.waiting: list[bytes] = []
 
-    def numbers_of(self, joined: str, chars: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """The number of each word; new words wait until :meth:`resolve`."""
-        lengths = np.diff(np.append(starts, len(chars)))
-        power = np.cumprod(np.full(int(lengths.max(initial=1)), 0x9E3779B97F4A7C15 | 1, np.uint64), dtype=np.uint64)
-        place = np.arange(len(chars), dtype=np.int32) - np.repeat(starts, lengths).astype(np.int32)
-        values = (chars.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)) * power[place]
-        hashes = np.add.reduceat(values, starts) if len(starts) else np.zeros(0, np.uint64)
-        hashes ^= hashes >> np.uint64(29)
-        hashes = (hashes + lengths.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-        own, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    def _add(self, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Numbers for new words, which wait until :meth:`resolve`."""
+        values, begins, _ = lanes(data, starts, sizes)
+        self.lane_starts = np.concatenate([self.lane_starts, begins + len(self.lanes)])
+        self.lanes = np.concatenate([self.lanes, values])
+        self.sizes = np.concatenate([self.sizes, sizes])
+        whole = data.tobytes()
+        self.waiting += [whole[a : a + n] for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+        return np.arange(len(self.sizes) - len(sizes), len(self.sizes), dtype=np.int32)
+
+    def numbers_of(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """The number of each word of ``data``, UTF-8 bytes that are cut at ``starts``."""
+        sizes = np.diff(np.append(starts, len(data)))
+        values, begins, place = lanes(data, starts, sizes)
+        own, first, inverse = np.unique(lane_hashes(values, begins, place, sizes), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, own)
         found = np.zeros(len(own), bool)
         inside = at < len(self.hashes)
@@ -265,13 +253,20 @@ class WordTable:
         numbers = np.empty(len(own), np.int32)
         numbers[found] = self.numbers[at[found]]
         new = ~found
-        total = len(self.numbers)
-        numbers[new] = np.arange(total, total + int(new.sum()), dtype=np.int32)
-        begin = starts[first[new]]
-        self.waiting += [joined[a:b].encode() for a, b in zip(begin.tolist(), (begin + lengths[first[new]]).tolist(), strict=True)]
+        numbers[new] = self._add(data, starts[first[new]], sizes[first[new]])
         self.hashes = np.insert(self.hashes, at[new], own[new])
         self.numbers = np.insert(self.numbers, at[new], numbers[new])
-        return numbers[inverse]
+        numbers = numbers[inverse]
+        if len(begins):  # words with one hash may still differ
+            known = self.lane_starts[numbers]
+            other = np.minimum(np.repeat(known - begins, np.diff(np.append(begins, len(values)))) + np.arange(len(values)), len(self.lanes) - 1)
+            same = np.logical_and.reduceat(self.lanes[other] == values, begins) & (self.sizes[numbers] == sizes)
+            for i in np.flatnonzero(~same).tolist():
+                word = data[starts[i] : starts[i] + sizes[i]].tobytes()
+                if word not in self.clashes:
+                    self.clashes[word] = int(self._add(data, starts[i : i + 1], sizes[i : i + 1])[0])
+                numbers[i] = self.clashes[word]
+        return numbers
 
     def resolve(self) -> None:
         if self.waiting:
@@ -290,24 +285,40 @@ class WordTable:
         return self.ids[np.repeat(shift, counts) + np.arange(total)], counts
 
     def forget(self, most: int = KNOWN_WORDS) -> None:
-        if len(self.hashes) > most:
+        if len(self.sizes) > most or len(self.lanes) > 4 * most:
             self._clear()
 
 
-def _segments(texts: list[str], special: dict[str, int]) -> tuple[list[str], list[int], list[int]]:
-    """Texts cut at special tokens: the segments, the document of each, and the id that follows each (-1: none)."""
-    if not any(s in t for s in special for t in texts):
+#: Where a long text can be cut: a lone blank always begins a word.
+SAFE = re.compile(r"(?<=\S) (?=\S)")
+
+
+def _segments(texts: list[str], special: dict[str, int], chunk: int = CHUNK) -> tuple[list[str], list[int], list[int]]:
+    """Texts cut at special tokens, and long ones at blanks: the segments, the document of each, and the id that follows
+    each (-1: none)."""
+    some = any(s in t for s in special for t in texts)
+    if not some and max(map(len, texts), default=0) <= 2 * chunk:
         return texts, list(range(len(texts))), [-1] * len(texts)
+    marks = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True))) or r"(?!)")
     pieces, docs, then = [], [], []
-    for i, rest in enumerate(texts):
-        while found := min(((rest.find(s), -len(s), s) for s in special if s in rest), default=None):
-            pieces.append(rest[: found[0]])
+
+    def add(i: int, piece: str, mark: int) -> None:
+        at = 0
+        while len(piece) - at > 2 * chunk and (found := SAFE.search(piece, at + chunk)):
+            pieces.append(piece[at : found.start()])
             docs.append(i)
-            then.append(special[found[2]])
-            rest = rest[found[0] + len(found[2]) :]
-        pieces.append(rest)
+            then.append(-1)
+            at = found.start()
+        pieces.append(piece[at:])
         docs.append(i)
-        then.append(-1)
+        then.append(mark)
+
+    for i, text in enumerate(texts):
+        at = 0
+        for m in marks.finditer(text):
+            add(i, text[at : m.start()], special[m[0]])
+            at = m.end()
+        add(i, text[at:], -1)
     return pieces, docs, then
 
 
@@ -322,7 +333,11 @@ def _cut(texts: list[str], table: WordTable) -> tuple[np.ndarray, np.ndarray]:
     begins = np.cumsum(sizes) - sizes
     starts = word_starts(chars, begins[sizes > 0])
     counts = np.searchsorted(starts, begins + sizes) - np.searchsorted(starts, begins)
-    return table.numbers_of(joined, chars, starts), counts
+    data = np.frombuffer(joined.encode(), np.uint8)
+    if len(data) > len(chars):
+        width = 1 + (chars >= 0x80).astype(np.int8) + (chars >= 0x800) + (chars >= 0x10000)
+        starts = (np.cumsum(width, dtype=np.int64) - width)[starts]
+    return table.numbers_of(data, starts), counts
 
 
 def encode_texts(texts: list[str], table: WordTable, special: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -353,9 +368,9 @@ def encode_texts(texts: list[str], table: WordTable, special: dict[str, int]) ->
     return flat, np.bincount(np.array(docs, np.int64), weights=counts, minlength=len(texts)).astype(np.int64)
 
 
-def encoded_groups(batches: Iterable[pa.RecordBatch], path: str, encode, group: int = GROUP) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+def encoded_groups(batches: Iterable[pa.RecordBatch], path: str, group: int = GROUP) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
     """The tables of a partition with the ids of the column ``text`` in a row and their number for each row."""
-    table = WordTable(encode)
+    table = WordTable(pair_index_encoder(path))
     for rows in in_groups(batches, "text", group):
         texts = [x or "" for x in rows.column("text").to_pylist()]
         yield rows, *encode_texts(texts, table, vocabulary(path).special)
@@ -371,7 +386,7 @@ def encode_documents(docs: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFram
 
     def run(batches):
         vocab = vocabulary(path)
-        for rows, flat, counts in encoded_groups(batches, path, pair_index_encoder(path)):
+        for rows, flat, counts in encoded_groups(batches, path):
             ends = np.cumsum(counts)
             texts = [decode(flat[e - n : e].tolist(), vocab) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat.astype(np.int32)))
@@ -386,7 +401,7 @@ def bpe_digests(docs: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFrame:
     def run(batches):
         vocab = vocabulary(path)
         sha = hashlib.sha256
-        for rows, flat, counts in encoded_groups(batches, path, pair_index_encoder(path)):
+        for rows, flat, counts in encoded_groups(batches, path):
             coded, decoded, end = [], [], 0
             for n in counts.tolist():
                 ids = flat[end : end + n].tolist()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -22,12 +23,52 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder for intermediate tables below the folder that all executors share.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is unset (as in tests) a local one is made.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only in a local session, as in tests, a local one is made;
+    on a cluster without that setting there is an error.
     """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
-    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
+    path = f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders that :func:`scratch` has named and :func:`release` has not removed, oldest first.
+_made: list[str] = []
+
+
+def release(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Remove scratch folders, from number ``since`` of those that are left on, but for those that ``keep`` reads.
+
+    Results are lazy: call this when all that was computed from them is written elsewhere.
+    """
+    kept = {f.rpartition("/")[0].rpartition(":")[2].lstrip("/") for f in keep.inputFiles()} if keep is not None else set()
+    for path in _made[since:]:
+        if path.rpartition(":")[2].lstrip("/") in kept:
+            continue
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
+
+
+def made() -> int:
+    return len(_made)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names like ``names`` that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -42,57 +83,48 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
 
-def in_groups(batches: Iterable[pa.RecordBatch], column: str, most: int) -> Iterator[pa.Table]:
-    """Arrow batches cut and joined into tables of about ``most`` bytes of ``column`` (a row is never cut)."""
+def in_groups(batches: Iterable[pa.RecordBatch], column: str, most: int, rows: int = 1 << 17) -> Iterator[pa.Table]:
+    """Arrow batches cut and joined into tables of about ``most`` bytes of ``column`` and ``rows`` rows at most (a row is
+    never cut)."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size = count = 0
     for batch in batches:
         lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         start = 0
         for i, length in enumerate(lengths):
-            if size and size + length > most:
+            if size and size + length > most or count == rows:
                 if i > start:
                     held.append(batch.slice(start, i - start))
                 yield pa.Table.from_batches(held)
-                held, size, start = [], 0, i
+                held, size, count, start = [], 0, 0, i
             size += int(length)
+            count += 1
         if len(lengths) > start:
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
 
 
-def table_batches(columns: dict[str, pa.Array]) -> Iterator[pa.RecordBatch]:
-    yield pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
-
-
 #: A key with more than this share of all rows is looked up by broadcast: there are at most 1 / HOT_SHARE of them.
 HOT_SHARE = 1 / 1000
-#: Filter bits for each key; bits in a bitmap row; the largest filter that is broadcast, in bits (8 MB).
-BITS_EACH, BITMAP, MOST_BITS = 16, 32768, 1 << 26
+#: Filter bits for each key; bits in a bitmap row; the most bits of a filter (16 MB), which is broadcast.
+BITS_EACH, BITMAP, MOST_BITS = 16, 32768, 1 << 27
 
 
-def marked(rows: DataFrame, keys: DataFrame, count: int, key: str) -> DataFrame:
-    """``rows`` with the column ``maybe``: false if ``key`` is surely none of the ``count`` rows of ``keys``.
+def marked(rows: DataFrame, keys: DataFrame, count: int, key: str, flag: str) -> DataFrame:
+    """``rows`` with the column ``flag``: false if ``key`` is surely none of the ``count`` rows of ``keys``.
 
-    The filter is a bitmap of hashed keys, broadcast in rows of 4 KB. Where it would be larger than ``MOST_BITS`` all
-    rows may match; the filter only spares work.
+    The filter is a bitmap of hashed keys, broadcast in rows of 4 KB, of ``BITS_EACH`` bits a key and ``MOST_BITS`` at
+    most. With more keys it fills up, and spares less work; results don't depend on it. ``flag`` must be no column yet.
     """
-    bits = BITMAP * -(-max(count, 1) * BITS_EACH // BITMAP)
-    if bits > MOST_BITS:
-        return rows.withColumn("maybe", F.lit(True))
-    place = F.pmod(F.xxhash64(key), F.lit(bits))
-    filters = keys.select(place.alias("_place")).groupBy(F.floor(F.col("_place") / BITMAP).alias("_bucket")).agg(F.bitmap_construct_agg(F.col("_place") % BITMAP).alias("_bitmap"))
-    byte = F.conv(F.hex(F.expr(f"substring(_bitmap, cast(_place % {BITMAP} div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.expr("shiftright(_byte, cast(_place % 8 as int)) & 1") == 1
-    return (
-        rows.withColumn("_place", place)
-        .withColumn("_bucket", F.floor(F.col("_place") / BITMAP))
-        .join(F.broadcast(filters), "_bucket", "left")
-        .withColumn("_byte", byte)
-        .withColumn("maybe", F.coalesce(hit, F.lit(False)))
-        .drop("_place", "_bucket", "_bitmap", "_byte")
-    )
+    bits = min(BITMAP * -(-max(count, 1) * BITS_EACH // BITMAP), MOST_BITS)
+    at, bucket, bitmap = unused(rows, "_place", "_bucket", "_bitmap")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    filters = keys.select(place(key).alias(at)).groupBy(F.floor(F.col(at) / BITMAP).alias(bucket)).agg(F.bitmap_construct_agg(F.col(at) % BITMAP).alias(bitmap))
+    byte = f"cast(conv(hex(substring({bitmap}, cast({at} % {BITMAP} div 8 as int) + 1, 1)), 16, 10) as int)"
+    hit = F.expr(f"shiftright({byte}, cast({at} % 8 as int)) & 1") == 1
+    placed = rows.withColumn(at, place(key)).withColumn(bucket, F.floor(F.col(at) / BITMAP)).join(F.broadcast(filters), bucket, "left")
+    return placed.select(*[F.col(f"`{c}`") for c in rows.columns], F.coalesce(hit, F.lit(False)).alias(flag))
 
 
 def looked_up(rows: DataFrame, found: DataFrame, key: str, total: int, how: str = "left") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import functools
+import re
 
 import numpy as np
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Where a long text may be cut without cutting a word.
+BREAK = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -16,50 +18,73 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@functools.cache
-def byte_values() -> np.ndarray:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+#: Masks for the first so many bytes of a lane.
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    return np.cumprod(np.full(max(n, 1), 0xD1342543DE82EF95, np.uint64), dtype=np.uint64)
+def lanes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of each word as numbers of eight bytes, zero-filled; where each word's lanes begin; each lane's place in
+    its word. A word has one lane at least."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+    count = np.maximum((sizes + 7) // 8, 1)
+    begins = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(begins, count)
+    left = np.clip(np.repeat(sizes, count) - 8 * place, 0, 8)
+    return eights[np.minimum(np.repeat(starts, count) + 8 * place, len(data))] & MASKS[left], begins, place
+
+
+def lane_hashes(values: np.ndarray, begins: np.ndarray, place: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A hash of each word. Each lane is mixed with its place before the sum, so that no two places weigh alike."""
+    if not len(begins):
+        return np.zeros(0, np.uint64)
+    mixed = mix(values + mix(place.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)))
+    return mix(np.add.reduceat(mixed, begins) + mix(sizes.astype(np.uint64)))
 
 
 def word_hashes(texts: list[bytes], chunk: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash of each word of all texts in a row, and the number of words of each text.
 
     Words are maximal runs without tab, line feed, vertical tab, form feed, carriage return and blank; A-Z count as a-z.
+    Long texts are cut at white space, so that about ``chunk`` bytes are worked on at once.
     """
-    hashes, counts, at, size = [], [], 0, 0
+    hashes, counts, owner, waiting, size = [], [], [], [], 0
+
+    def flush() -> None:
+        nonlocal size
+        found = _word_hashes(waiting)
+        hashes.append(found[0])
+        counts.append(found[1])
+        waiting.clear()
+        size = 0
+
     for i, text in enumerate(texts):
-        size += len(text) + 1
-        if size >= chunk or i == len(texts) - 1:
-            found = _word_hashes(texts[at : i + 1])
-            hashes.append(found[0])
-            counts.append(found[1])
-            at, size = i + 1, 0
+        at = 0
+        while at < len(text) or not len(text):
+            cut = BREAK.search(text, at + chunk) if len(text) - at > 2 * chunk else None
+            end = cut.start() if cut else len(text)
+            waiting.append(text[at:end])
+            owner.append(i)
+            size += end - at + 1
+            at = end
+            if size >= chunk:
+                flush()
+            if not len(text):
+                break
+    if waiting:
+        flush()
     if not hashes:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(counts)
+    return np.concatenate(hashes), np.bincount(owner, weights=np.concatenate(counts), minlength=len(texts)).astype(np.int64)
 
 
 def _word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     data = np.frombuffer(b" ".join(texts).translate(LOWER), np.uint8)
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
     word = (data != 32) & ((data < 9) | (data > 13))
-    first = word.copy()
-    first[1:] &= ~word[:-1]
-    starts = np.flatnonzero(first)
-    counts = np.diff(np.searchsorted(starts, begins))
-    if not len(starts):
-        return np.zeros(0, np.uint64), counts
-    data, word = data[starts[0] :], word[starts[0] :]
-    starts = starts - starts[0]
-    spans = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data), dtype=np.int32) - np.repeat(starts.astype(np.int32), spans)
-    values = byte_values()[data] * powers(int(spans.max()))[place]
-    values[~word] = 0
-    return mix(np.add.reduceat(values, starts)), counts
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], word, [False]]).astype(np.int8)))
+    starts, sizes = edges[::2], edges[1::2] - edges[::2]
+    return lane_hashes(*lanes(data, starts, sizes), sizes), np.diff(np.searchsorted(starts, begins))
 
 
 def shingles(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
