@@ -7,11 +7,13 @@ open sequence is filled and what is left goes on. The group's sequences have as
 ones, and powers of two for what remains, as those are not padded. So no sequence has padding.
 
 Groups lie within a partition: nothing is shuffled. Null text counts as empty (one id, the final 0). Equal lengths go
-in the order of the rows; repeated rows are packed each time.
+in the order of the rows; repeated rows are packed each time; an empty table has no pieces. No column but doc_id and text is
+read. A very long document fills sequences of its own, of which only the rest is packed with others.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from strideway.llm.bpe import DEFAULT_TOKENIZER, encoded_groups, library_encoder
+from strideway.llm.bpe import DEFAULT_TOKENIZER, encoded_groups
 from strideway.llm.common import text_of
 
 CAPACITY = 1024
@@ -38,21 +40,32 @@ def open_sequences(total: int, capacity: int = CAPACITY) -> np.ndarray:
 
 
 def pack_rests(rests: np.ndarray, capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
-    """Pieces (index in ``rests``, start in it, length, sequence, offset in it) of lengths below ``capacity``."""
-    room = open_sequences(int(rests.sum()), capacity)
-    size, cost = room.copy(), np.zeros(len(room))
+    """Pieces (index in ``rests``, start in it, length, sequence, offset in it) of lengths below ``capacity``.
+
+    Open sequences wait in a heap by cost for each room, so that a rest looks at no more than ``capacity`` of them. Of
+    sequences with one cost that with the least room is taken, then the first.
+    """
+    size = open_sequences(int(rests.sum()), capacity)
+    heaps: list[list[tuple[float, int]]] = [[] for _ in range(capacity + 1)]
+    for k, room in enumerate(size.tolist()):
+        heaps[room].append((0.0, k))  # equal costs: already a heap
+    least = np.array([h[0][0] if h else np.inf for h in heaps])
+    least[0] = np.inf
     out = []
     for i in np.argsort(-rests, kind="stable").tolist():
         start, left = 0, int(rests[i])
         while left:
-            fits = room >= left
-            if not fits.any():
-                fits = room > 0
-            k = int(np.argmin(np.where(fits, cost, np.inf)))
-            n = min(left, int(room[k]))
-            out.append((i, start, n, k, int(size[k] - room[k])))
-            room[k] -= n
-            cost[k] += LINEAR * n + QUADRATIC * n * n
+            room = left + int(np.argmin(least[left:]))
+            if least[room] == np.inf:  # no room for all of it: the cheapest open sequence is filled
+                room = int(np.argmin(least))
+            cost, k = heapq.heappop(heaps[room])
+            least[room] = heaps[room][0][0] if heaps[room] else np.inf
+            n = min(left, room)
+            out.append((i, start, n, k, int(size[k]) - room))
+            if room > n:
+                cost += LINEAR * n + QUADRATIC * n * n
+                heapq.heappush(heaps[room - n], (cost, k))
+                least[room - n] = heaps[room - n][0][0]
             start, left = start + n, left - n
     return out
 
@@ -62,7 +75,7 @@ def pack_documents(docs: DataFrame, path: str = DEFAULT_TOKENIZER, capacity: int
 
     def run(batches):
         sequence = TaskContext.get().partitionId() << 40
-        for rows, flat, counts in encoded_groups(batches, path, library_encoder(path), group):
+        for rows, flat, counts in encoded_groups(batches, path, group):
             ids = np.insert(flat, np.cumsum(counts), 0).astype("<u4")
             lengths = counts + 1
             begins = np.cumsum(lengths) - lengths
