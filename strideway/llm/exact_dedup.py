@@ -1,14 +1,16 @@
-"""Exact deduplication with a log-structured index of digests.
+"""Exact deduplication with a log-structured merge index of digests.
 
-Every task is a memtable: it sorts the digests of its rows and flushes them as a run, a Parquet file with a Bloom
-filter on the digest, without a shuffle. Compaction merges all runs to a row for each digest that occurs more than
-once: the row that stays (most code points in the original text, then smallest doc_id) and the number of copies. A
-bitmap filter over those digests tells which rows can be copies; only their texts are read again and verified byte by
-byte. Should different texts share a digest, their rows are grouped by the texts themselves.
+Every task is a memtable: it sorts the digests of its rows and flushes them as runs of at most ``RUN`` rows, Parquet
+files with a Bloom filter on the digest, without a shuffle. Compaction merges the runs that were flushed since the last
+one with the level that it made: a row for each digest, with the row that stays (most code points in the original text,
+then smallest doc_id) and the number of copies, in sorted runs again. A bitmap filter over the level's repeated digests
+tells which rows can be copies; only their texts are read again and verified byte by byte. Should different texts share
+a digest, their rows are grouped by the texts themselves.
 
 Texts are equal when identical without tab, line feed, vertical tab, form feed, carriage return and blank; null counts
-as empty. Rows with equal doc_id and text all stay if one does. A null doc_id stays only if no row with an id can.
-Other columns are not read. An empty table gives an empty result.
+as empty. Rows with equal doc_id and text all stay if one does. A null doc_id stays only if no row with an id can. A
+very long text is hashed whole; if it has copies, two texts of a digest are held by a task at a time. Other columns are
+not read, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,35 +30,51 @@ def digest_of(text: Column, bits: int = 256) -> Column:
     return F.substring(F.sha2(text, 256), 1, bits // 4)
 
 
+#: Rows of a run, at most.
+RUN = 4_000_000
+LEVEL = "digest string, n_chars long, keep_id long, group_size long"
+
+
 class DigestIndex:
-    """Runs of (digest, doc_id, n_chars) in a shared folder."""
+    """Runs of (text_sha256, doc_id, n_chars) and the level that compaction makes of them, in a shared folder."""
 
     def __init__(self, spark: SparkSession, path: str | None = None, bits: int = 256):
         self.spark, self.path, self.bits = spark, path or scratch(spark, "digests"), bits
+        self.flushed, self.merged = 0, 0
+
+    def _write(self, rows: DataFrame, key: str, folder: str) -> None:
+        writer = rows.sortWithinPartitions(key).write.option(f"parquet.bloom.filter.enabled#{key}", "true").option("maxRecordsPerFile", RUN)
+        writer.option("compression", "zstd").parquet(f"{self.path}/{folder}")
 
     def flush(self, docs: DataFrame) -> None:
-        """Add the rows of ``docs``: each task writes a sorted run with a filter."""
-        rows = docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).cast("long").alias("n_chars"),
-            digest_of(normalised(), self.bits).alias("digest"), F.sha2(normalised(), 256).alias("text_sha256"),
-        )
-        rows = rows.sortWithinPartitions("digest")
-        rows.write.mode("append").option("parquet.bloom.filter.enabled#digest", "true").option("compression", "zstd").parquet(f"{self.path}/runs")
+        """Add the rows of ``docs``: each task writes sorted runs with filters."""
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).cast("long").alias("n_chars"), F.sha2(normalised(), 256).alias("text_sha256"))
+        self._write(rows, "text_sha256", f"runs-{self.flushed}")
+        self.flushed += 1
+
+    def runs(self, since: int = 0) -> DataFrame:
+        """(doc_id, n_chars, text_sha256, digest) of the rows flushed, from flush number ``since`` on."""
+        paths = [f"{self.path}/runs-{k}" for k in range(since, self.flushed)]
+        found = self.spark.read.schema("doc_id long, n_chars long, text_sha256 string").parquet(*paths)
+        return found.withColumn("digest", F.substring("text_sha256", 1, self.bits // 4))
 
-    def runs(self) -> DataFrame:
-        return self.spark.read.schema("doc_id long, n_chars long, digest string, text_sha256 string").parquet(f"{self.path}/runs")
+    def level(self) -> DataFrame:
+        return self.spark.read.schema(LEVEL).parquet(f"{self.path}/level-{self.merged}")
 
     def contains(self, digest: str) -> bool:
-        """Whether a run has the digest; Parquet's filters skip the other runs."""
-        return not self.runs().where(F.col("digest") == digest).isEmpty()
+        """Whether the level has the digest; filters spare the other runs."""
+        return not self.level().where(F.col("digest") == digest).isEmpty()
 
     def compact(self) -> DataFrame:
-        """(digest, keep_id, group_size) of the digests that occur more than once."""
-        best = F.max(F.struct("n_chars", (-F.col("doc_id")).alias("order")))
-        rows = self.runs().groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
-        path = f"{self.path}/compacted"
-        rows.select("digest", (-F.col("best.order")).alias("keep_id"), "group_size").sortWithinPartitions("digest").write.mode("overwrite").option("parquet.bloom.filter.enabled#digest", "true").parquet(path)
-        return self.spark.read.schema("digest string, keep_id long, group_size long").parquet(path)
+        """Merge all runs since the last compaction with its level; returns the new one."""
+        rows = self.runs(self.merged).select("digest", "n_chars", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+        if self.merged:
+            rows = rows.unionByName(self.level())
+        best = F.max(F.struct("n_chars", (-F.col("keep_id")).alias("order")))
+        rows = rows.groupBy("digest").agg(best.alias("best"), F.sum("group_size").alias("group_size"))
+        self._write(rows.select("digest", "best.n_chars", (-F.col("best.order")).alias("keep_id"), "group_size"), "digest", f"level-{self.flushed}")
+        self.merged = self.flushed
+        return self.level()
 
 
 def exact_dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
@@ -65,16 +83,16 @@ def exact_dedup(docs: DataFrame, bits: int = 256) -> DataFrame:
     index.flush(docs)
     runs = index.runs()
     total = runs.count()
-    repeated = index.compact()
+    repeated = index.compact().where("group_size > 1").select("digest", "keep_id", "group_size")
     count = repeated.count()
     # byte verification: the texts under a digest are equal if the least and the greatest are
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text_of()).cast("long").alias("n_chars"), normalised().alias("normal"), digest_of(normalised(), bits).alias("digest"))
-    texts = marked(texts, repeated, count, "digest").where("maybe").drop("maybe")
+    texts = marked(texts, repeated, count, "digest", "maybe").where("maybe").drop("maybe")
     checked = texts.groupBy("digest").agg(F.min("normal").alias("least"), F.max("normal").alias("greatest"))
     path = f"{index.path}/collided"
     checked.where("least <> greatest").select("digest").write.parquet(path)
     collided = docs.sparkSession.read.schema("digest string").parquet(path)
-    flagged = marked(runs, repeated, count, "digest")
+    flagged = marked(runs, repeated, count, "digest", "maybe")
     out = [F.col("doc_id"), F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).alias("group_size"), F.col("text_sha256")]
     single = flagged.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     if collided.isEmpty():
