@@ -10,20 +10,25 @@ agree in a bin with the probability of their Jaccard similarity, with concentrat
 
 Banding: a band is ``ROWS`` coordinates; two documents at the threshold share none of ``BANDS`` with probability below
 3e-6. Within a band's bucket every member is verified against the bucket's smallest member, which settles groups of
-near copies in linear work. Buckets whose members then still lie in different components form clusters; there the
-members outside the cluster's largest component are compared with all, in blocks of bounded size: first by sketches,
-then, where the estimate isn't far below the threshold, by exact counts of common shingles. A block tells only the links
-that join components, at most one for each member, so that no group is expanded into all its pairs.
-
-Rows with one doc_id are one node. A null doc_id is linked with nothing. Other columns are not read.
+near copies in linear work. In buckets whose members then still lie in different components the members outside the
+bucket's largest component are compared with all, in blocks of bounded size: first by sketches and only where two share
+no earlier band, then, where the estimate isn't far below the threshold, by exact counts of common shingles. A block
+tells only the links that join components, at most one for each member, so that no group is expanded into all its pairs.
+
+Documents are told apart by doc_id and word sequence: rows that agree in both are one node, and rows with one doc_id and
+unlike texts are nodes of their own. A null doc_id is linked
+with nothing. A very long text is worked on in pieces. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
+import string
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideway.llm.common import in_groups, looked_up, marked, sorted_groups, text_of, written
@@ -92,8 +97,12 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             columns = [rows.column("doc_id"), pa.array(sizes.astype(np.int64)), pa.array(keys, pa.binary()), bands, brief]
             yield from pa.Table.from_arrays(columns, names=["doc_id", "n_shingles", "key", "bands", "brief"]).to_batches()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, brief binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, key binary, bands array<long>, brief binary")
+
+
+def texts_of(docs: DataFrame, needed: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in ``needed`` (doc_id) and maybe of some others; only those are moved."""
+    return marked(docs, needed, needed.count(), "doc_id", "maybe").where("maybe").drop("maybe")
 
 
 def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -105,8 +114,7 @@ def verified(pairs: DataFrame, sizes: DataFrame, docs: DataFrame) -> DataFrame:
     weights = pairs.groupBy("a").agg(F.ceil(F.sum("n_shingles") / PART_SHINGLES).cast("int").alias("parts"))
     parted = pairs.join(weights, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    count = needed.count()
-    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), needed, count, "doc_id").where("maybe").drop("maybe")
+    texts = texts_of(docs, needed)
     heads = weights.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts").cast("long") - 1)).alias("part"), F.col("a").alias("doc_id"), F.lit(0).alias("role"))
     rows = heads.union(parted.select("a", "part", F.col("b").alias("doc_id"), F.lit(1).alias("role")))
     rows = rows.join(texts, "doc_id").repartition("a", "part").sortWithinPartitions("a", "part", "role")
@@ -183,75 +191,105 @@ def joining_links(rows: np.ndarray, columns: np.ndarray, ids: np.ndarray, compon
     return out
 
 
+class Block(NamedTuple):
+    """Members of one band's bucket that meet: by index their ids, components, set sizes, sketches and keys of all bands."""
+
+    ids: np.ndarray
+    component: np.ndarray
+    size: np.ndarray
+    odd: np.ndarray
+    with_big: bool
+    brief: np.ndarray
+    bands: np.ndarray
+    own: int  # the number of the bucket's band
+
+
+def block_of(group: pa.Table) -> Block:
+    ids, component, size = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
+    brief = np.frombuffer(b"".join(group.column("brief").to_pylist()), np.uint8).reshape(len(ids), -1)
+    bands = np.concatenate([x.flatten().to_numpy() for x in group.column("bands").chunks]).reshape(len(ids), -1)
+    own = int(np.flatnonzero((bands == group.column("band")[0].as_py()).all(axis=0))[0])
+    return Block(ids, component, size, np.array(group.column("odd").to_pylist(), bool), group.column("block")[0].as_py().startswith("big"), brief, bands, own)
+
+
+def likely_pairs(b: Block) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a block (by index; the first is odd) in different components that may reach the threshold, by size and by
+    sketch, and share no earlier band, where they meet already."""
+    others = np.flatnonzero(~b.odd if b.with_big else b.odd)
+    pairs = [np.zeros((2, 0), np.int64)]
+    for i in np.flatnonzero(b.odd).tolist():
+        near = others if b.with_big else others[others > i]
+        near = near[(b.component[near] != b.component[i]) & (np.minimum(b.size[near], b.size[i]) * DENOMINATOR >= np.maximum(b.size[near], b.size[i]) * NUMERATOR)]
+        near = near[(b.brief[near] == b.brief[i]).mean(axis=1) >= ESTIMATE]
+        near = near[~(b.bands[near, : b.own] == b.bands[i, : b.own]).any(axis=1)]
+        pairs.append(np.stack([np.full(len(near), i), near]))
+    i, j = np.concatenate(pairs, axis=1)
+    return i, j
+
+
 def remaining_links(members: DataFrame, labels: DataFrame, briefs: DataFrame, docs: DataFrame) -> DataFrame:
     """(a, b): exact links between components, for members of buckets that the first verification left apart.
 
-    ``members`` (band, pivot, rep, n_shingles), ``labels`` (id, component), ``briefs`` (doc_id, brief). Blocks hold at
-    most about 2 * BLOCK members and 2 * PART_SHINGLES shingles; members of a cluster's largest component only meet
-    those outside of it.
+    ``members`` (band, rep, n_shingles), ``labels`` (id, component), ``briefs`` (doc_id, brief, bands). In a bucket the
+    members of its largest component only meet those outside of it, the odd ones. Blocks hold at most about 2 * BLOCK
+    members and 2 * PART_SHINGLES shingles. First sketches alone are dealt to the blocks; then texts, of those members
+    only that have a likely partner there.
     """
     rows = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("group_size")).where("low < high")
     mixed = written(mixed.select("band", "group_size"), "mixed")
     total = mixed.agg(F.sum("group_size")).first()[0] or 0
-    rows = written(looked_up(rows, mixed, "band", total, "inner").select("pivot", "rep", "component", "n_shingles").distinct(), "left")
-    # clusters connect components, not members: a large component is one node
-    own = labels.select(F.col("id").alias("pivot"), F.col("component").alias("a"))
-    edges = rows.select("pivot", "component").distinct().join(own, "pivot", "left").select(F.coalesce("a", "pivot").alias("a"), F.col("component").alias("b"))
-    clusters = connected_components(edges.where("a <> b").distinct())
-    rows = rows.select("rep", "component", "n_shingles").distinct().join(clusters.select(F.col("id").alias("component"), F.col("component").alias("cluster")), "component")
-    rows = written(rows, "clustered")
-    shares = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    sizes = shares.groupBy("cluster").agg(F.sum("n").alias("group_size"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("big")).where("group_size > big.n")
+    rows = written(looked_up(rows, mixed, "band", total, "inner").select("band", "rep", "component", "n_shingles"), "left")
+    shares = rows.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
+    sizes = shares.groupBy("band").agg(F.sum("n").alias("group_size"), F.sum("s").alias("s"), F.max(F.struct("n", "component", "s")).alias("big"))
     parts = lambda n, s: F.ceil(F.greatest(n / BLOCK, s / PART_SHINGLES)).cast("int")
     sizes = sizes.select(
-        "cluster", "group_size", F.col("big.component").alias("big"), parts(F.col("big.n"), F.col("big.s")).alias("big_blocks"),
+        "band", "group_size", F.col("big.component").alias("big"), parts(F.col("big.n"), F.col("big.s")).alias("big_blocks"),
         parts(F.col("group_size") - F.col("big.n"), F.col("s") - F.col("big.s")).alias("odd_blocks"),
     )
-    sizes = written(sizes, "clusters")
-    rows = looked_up(rows, sizes, "cluster", rows.count(), "inner")
+    rows = looked_up(rows, written(sizes, "sizes"), "band", total, "inner")
     odd = F.col("component") != F.col("big")
     own = F.pmod(F.xxhash64("rep"), F.when(odd, F.col("odd_blocks")).otherwise(F.col("big_blocks"))).cast("int")
     name = lambda kind, i, j: F.concat_ws(":", F.lit(kind), i.cast("string"), j.cast("string"))
     upto = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     odd_to = F.concat(F.transform(upto("odd_blocks"), lambda j: name("odd", F.least(F.col("own"), j), F.greatest(F.col("own"), j))), F.transform(upto("big_blocks"), lambda j: name("big", F.col("own"), j)))
     big_to = F.transform(upto("odd_blocks"), lambda i: name("big", i, F.col("own")))
-    blocks = rows.withColumn("odd", odd).withColumn("own", own).withColumn("block", F.explode(F.when(F.col("odd"), odd_to).otherwise(big_to)))
-    needed = written(rows.select(F.col("rep").alias("doc_id")).distinct(), "needed")
-    texts = marked(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), needed, needed.count(), "doc_id").where("maybe").drop("maybe")
-    blocks = blocks.join(briefs.join(texts, "doc_id").withColumnRenamed("doc_id", "rep"), "rep").select("cluster", "block", "rep", "component", "n_shingles", "odd", "brief", "text")
-    blocks = blocks.repartition("cluster", "block").sortWithinPartitions("cluster", "block", "rep")
+    rows = rows.join(briefs.withColumnRenamed("doc_id", "rep"), "rep").withColumn("odd", odd).withColumn("own", own)
+    columns = ["band", "block", "rep", "component", "n_shingles", "odd", "brief", "bands"]
+    blocks = rows.withColumn("block", F.explode(F.when(F.col("odd"), odd_to).otherwise(big_to))).select(columns)
+    blocks = blocks.repartition("band", "block").sortWithinPartitions("band", "block", "rep")
+
+    def likely(batches):
+        for group in sorted_groups(batches, "band", "block"):
+            i, j = likely_pairs(block_of(group))
+            if len(i):
+                yield from group.take(pa.array(np.union1d(i, j))).to_batches()
 
-    def run(batches):
-        for group in sorted_groups(batches, "cluster", "block"):
-            ids, component, size = (group.column(c).to_numpy() for c in ("rep", "component", "n_shingles"))
-            odd = np.array(group.column("odd").to_pylist(), bool)
-            brief = np.frombuffer(b"".join(group.column("brief").to_pylist()), np.uint8).reshape(len(ids), -1)
-            others = ~odd if group.column("block")[0].as_py().startswith("big") else odd
-            pairs = []
-            for i in np.flatnonzero(odd).tolist():
-                near = np.flatnonzero(others & (component != component[i]) & (np.minimum(size, size[i]) * DENOMINATOR >= np.maximum(size, size[i]) * NUMERATOR))
-                near = near[(brief[near] == brief[i]).mean(axis=1) >= ESTIMATE]
-                pairs.append(np.stack([np.full(len(near), i), near]))
-            i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+    def linked(batches):
+        for group in sorted_groups(batches, "band", "block"):
+            block = block_of(group)
+            i, j = likely_pairs(block)
             if len(i):
                 found, counts = sets_of([t.encode() for t in group.column("text").to_pylist()])
-                own, other = np.unique(i), np.unique(j)
-                common = common_counts(found, counts, own, other)[np.searchsorted(own, i), np.searchsorted(other, j)].astype(np.int64)
+                mine, other = np.unique(i), np.unique(j)
+                common = common_counts(found, counts, mine, other)[np.searchsorted(mine, i), np.searchsorted(other, j)].astype(np.int64)
                 good = DENOMINATOR * common >= NUMERATOR * (counts[i] + counts[j] - common)
-                links = joining_links(i[good], j[good], ids, component)
+                links = joining_links(i[good], j[good], block.ids, block.component)
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], names=["a", "b"])
 
-    return written(blocks.mapInArrow(run, "a long, b long"), "more")
+    near = written(blocks.mapInArrow(likely, blocks.schema), "likely")
+    needed = written(near.select(F.col("rep").alias("doc_id")).distinct(), "needed")
+    texts = texts_of(docs, needed).withColumnRenamed("doc_id", "rep")
+    near = near.join(texts, "rep").select(*columns, "text").repartition("band", "block").sortWithinPartitions("band", "block", "rep")
+    return written(near.mapInArrow(linked, "a long, b long"), "more")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row."""
-    table = written(sketch_table(docs), "sketches")
+def _near_dedup(table: DataFrame, docs: DataFrame) -> DataFrame:
+    """:func:`near_dedup` for the written sketches of ``docs``, whose doc_ids have one word sequence each."""
     total = table.count()
     filled = table.where("key is not null and doc_id is not null")
     classes = written(filled.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("group_size")), "classes")
-    own = filled.select(F.col("doc_id").alias("rep"), "key", "n_shingles", "bands", "brief")
+    own = filled.select(F.col("doc_id").alias("rep"), "key", "n_shingles", "bands", "brief").dropDuplicates(["rep"])
     reps = own.join(classes.select("rep", "key"), ["rep", "key"])
     bands = written(reps.select("rep", "n_shingles", F.explode("bands").alias("band")), "bands")
     buckets = bands.groupBy("band").agg(F.min("rep").alias("pivot"), F.min(F.struct("rep", "n_shingles")).alias("first"), F.max("rep").alias("last"), F.count(F.lit(1)).alias("group_size"))
@@ -261,11 +299,40 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     first = written(members.where("rep <> pivot").where(_could_match("n_shingles", "pivot_size")).select(F.col("pivot").alias("a"), F.col("rep").alias("b")).distinct(), "first")
     links = verified(first, sizes, docs)
     labels = connected_components(links)
-    more = remaining_links(members.select("band", "pivot", "rep", "n_shingles"), labels, reps.select(F.col("rep").alias("doc_id"), "brief"), docs)
+    more = remaining_links(members.select("band", "rep", "n_shingles"), labels, reps.select(F.col("rep").alias("doc_id"), "brief", "bands"), docs)
     if not more.isEmpty():
         labels = connected_components(links.union(more))
     groups = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "group_size", F.coalesce("component", "rep").alias("component"))
     light = table.select("doc_id", "n_shingles", "key")
-    lone = light.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    found = looked_up(light.where("key is not null and doc_id is not null"), groups, "key", total).select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    return found.union(lone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    lone = light.where("key is null or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key")
+    found = looked_up(light.where("key is not null and doc_id is not null"), groups, "key", total).select("doc_id", "n_shingles", F.col("component").alias("component_id"), "key")
+    return found.union(lone)
+
+
+def words_sha256(text: Column) -> Column:
+    """What :func:`near_dedup` gives as words_sha256, for a text that has words."""
+    lowered = F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+    return F.sha2(F.trim(F.regexp_replace(lowered, r"[\x20\x09-\x0D]+", " ")), 256)
+
+
+def near_dedup(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept, words_sha256) of every row; the last is null without words."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    table = written(sketch_table(docs), "sketches")
+    torn = table.where("doc_id is not null and key is not null").groupBy("doc_id").agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    torn = written(torn.where("low <> high").select("doc_id"), "torn")
+    if torn.isEmpty():
+        found = _near_dedup(table, docs)
+    else:  # rows of a doc_id with several texts get ids of their own for the time being
+        flagged = marked(docs, torn, torn.count(), "doc_id", "maybe")
+        least = docs.agg(F.min("doc_id")).first()[0]
+        node = F.lit(least - 1) - F.monotonically_increasing_id()
+        odd = written(flagged.where("maybe").join(torn, "doc_id", "left_semi").select("doc_id", "text", node.alias("node")), "odd")
+        rest = flagged.where("maybe").join(torn, "doc_id", "left_anti").select("doc_id", "text").union(flagged.where("not maybe").select("doc_id", "text"))
+        rows = written(rest.union(odd.select(F.col("node").alias("doc_id"), "text")), "rows")
+        found = _near_dedup(written(sketch_table(rows), "sketches"), rows).withColumnRenamed("doc_id", "node")
+        found = written(found.join(odd.select("node", "doc_id"), "node", "left").withColumn("doc_id", F.coalesce("doc_id", "node")), "nodes")
+        names = found.groupBy("component_id").agg(F.min("doc_id").alias("name"))
+        found = found.join(names, "component_id", "left").select("doc_id", "n_shingles", F.col("name").alias("component_id"), "key")
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
+    return found.select("doc_id", "n_shingles", "component_id", kept.alias("kept"), F.lower(F.hex("key")).alias("words_sha256"))
