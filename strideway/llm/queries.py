@@ -49,9 +49,12 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Responses are read with their payloads, which are verified; of revisits only the headers are read."""
     path = scratch(spark, "warc")
     warc.write_warc(read_table(spark, sf_dir, "pages"), path)
-    return warc.read_warc(spark, path, payload=False, verify=True).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    responses = warc.read_warc(spark, path, payload=False, verify=True).where("record_type = 'response'")
+    revisits = warc.read_warc(spark, path, payload=False).where("record_type = 'revisit'")
+    return responses.union(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict[str, Query]:

@@ -7,7 +7,10 @@ range and null predicates on header columns and on the record type are decided f
 decoded. With the option ``payload=false`` no payload is decoded; with ``verify=true`` each payload's length and SHA-1 are
 held against its headers.
 
-A null payload is empty. Null urls and ids have no header and come back null. Repeated pages get a record each.
+A null payload is empty. Null urls and ids have no header and come back null. Repeated pages get a record each; of
+repeated rows with one payload and the largest page_id all are responses. An empty table makes an archive without files,
+which is read as an empty table. Columns but page_id, url and html are not read. A record is held whole by a task, as a
+payload is one value; members of 4 GiB and more have no skip length. A file that ends within a record is an error.
 """
 
 from __future__ import annotations
@@ -77,7 +80,9 @@ def member(data: bytes, level: int = 4) -> bytes:
     deflate = zlib.compressobj(level, zlib.DEFLATED, -15)
     body = deflate.compress(data) + deflate.flush()
     size = 10 + 2 + 12 + len(body) + 8
-    extra = b"sl" + struct.pack("<HII", 8, size, len(data) & 0xFFFFFFFF)
+    if max(size, len(data)) >= 1 << 32:  # beyond the field's numbers: readers inflate such a member
+        return b"\x1f\x8b\x08\0\0\0\0\0\0\xff" + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
+    extra = b"sl" + struct.pack("<HII", 8, size, len(data))
     return b"\x1f\x8b\x08\x04\0\0\0\0\0\xff" + struct.pack("<H", len(extra)) + extra + body + struct.pack("<II", zlib.crc32(data), len(data) & 0xFFFFFFFF)
 
 
@@ -250,6 +255,12 @@ def _skip_length(extra: bytes) -> int:
     return 0
 
 
+def _more(data: bytes) -> bytes:
+    if not data:
+        raise ValueError("the archive is cut off")
+    return data
+
+
 def records(f, tests: list, payload: bool) -> Iterator[dict]:
     """The records of an open file that pass ``tests``; bodies are inflated only for those, if at all."""
     at, size = 0, f.size()
@@ -262,7 +273,7 @@ def records(f, tests: list, payload: bool) -> Iterator[dict]:
             inflate = zlib.decompressobj(31)
             text = inflate.decompress(head, PEEK)
             while BREAK not in text and not inflate.eof:
-                text += inflate.decompress(inflate.unconsumed_tail or f.read(PEEK), PEEK)
+                text += inflate.decompress(_more(inflate.unconsumed_tail or f.read(PEEK)), PEEK)
             row = parse_headers(text.partition(BREAK)[0])
             wanted = all(_matches(row, t) for t in tests)
             if skip and not (wanted and payload):
@@ -270,24 +281,26 @@ def records(f, tests: list, payload: bool) -> Iterator[dict]:
             else:
                 parts = [text]
                 while not inflate.eof:
-                    more = inflate.unconsumed_tail or f.read(1 << 16)
-                    if not more:
-                        raise ValueError("the archive is cut off")
-                    parts.append(inflate.decompress(more))
+                    parts.append(inflate.decompress(_more(inflate.unconsumed_tail or f.read(1 << 16))))
                 at = f.tell() - len(inflate.unused_data)
                 if wanted and payload:
                     row["payload"] = _payload(row, b"".join(parts).partition(BREAK)[2][: row["length"]])
         else:
             while BREAK not in head and len(head) < size - at:
-                head += f.read(PEEK)
+                head += _more(f.read(PEEK))
             start = head.find(BREAK) + len(BREAK)
             if start < len(BREAK):
+                if head.strip():
+                    _more(b"")
                 return
             row = parse_headers(head[: start - len(BREAK)].lstrip())
             wanted = all(_matches(row, t) for t in tests)
             if wanted and payload:
                 f.seek(at + start)
-                row["payload"] = _payload(row, f.read(row["length"]))
+                block = f.read(row["length"])
+                if len(block) < row["length"]:
+                    _more(b"")
+                row["payload"] = _payload(row, block)
             at += start + row["length"] + len(BREAK)
         if wanted:
             del row["length"]
@@ -321,7 +334,7 @@ def plan_records(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     rows = rows.withColumn("payload_bytes", F.octet_length("payload").cast("long")).withColumn("key", F.concat_ws(":", F.sha2("payload", 256), "payload_bytes"))
     same = rows.where(F.col("payload_bytes") >= min_bytes).groupBy("key").agg(F.max("page_id").alias("response_id"), F.count(F.lit(1)).alias("group_size"))
     repeated = written(same.where("group_size > 1"), "payloads")
-    flagged = marked(rows, repeated, repeated.count(), "key")
+    flagged = marked(rows, repeated, repeated.count(), "key", "maybe")
     found = looked_up(flagged.where("maybe").drop("maybe"), repeated, "key", pages.count())
     single = flagged.where("not maybe").drop("maybe").withColumn("response_id", F.lit(None).cast("long"))
     every = single.unionByName(found.drop("group_size"))
