@@ -14,7 +14,11 @@ A byte goes if a string of 50 bytes that covers it also starts in a document wit
 4. Each shard gets, for its strings, the smallest doc_id of each window, and cuts its documents.
 
 Only one row for each shard goes to a bucket for any string, however many documents hold it. A null text is empty. A
-null doc_id counts as larger than any. Rows with one doc_id don't touch each other. Documents under 50 bytes stay.
+null doc_id counts as larger than any. Rows with one doc_id don't touch each other. Documents under 50 bytes stay. A very long text is a shard of its own, whose
+windows are worked on in sections. Columns but doc_id and text are carried along as asked. An empty table stays empty.
+
+Suffix arrays are built for shards of candidate strings, not of documents: whole documents' sorted windows would have to
+be sent at 50 bytes each to be merged, some fifteen times the input.
 """
 
 from __future__ import annotations
@@ -29,6 +33,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strideway.llm.common import in_groups, scratch, sorted_groups, text_of
 from strideway.llm.segments import mix
@@ -70,8 +75,14 @@ def window_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
     while doc < len(ends):
         last = max(doc + 1, int(np.searchsorted(ends, begin + BYTES_AT_ONCE, side="right")))
         stop = int(ends[last - 1])
-        own = _window_runs(data[begin:stop], ends[doc:last] - begin)
-        parts.append(Runs(own.start + begin, own.count, own.hash, own.doc + doc))
+        if last == doc + 1:  # a long document goes in sections, each with the windows that begin in it
+            for at in range(begin, max(stop - MATCH + 1, begin + 1), BYTES_AT_ONCE):
+                piece = data[at : min(at + BYTES_AT_ONCE + MATCH - 1, stop)]
+                own = _window_runs(piece, np.array([len(piece)]))
+                parts.append(Runs(own.start + at, own.count, own.hash, own.doc + doc))
+        else:
+            own = _window_runs(data[begin:stop], ends[doc:last] - begin)
+            parts.append(Runs(own.start + begin, own.count, own.hash, own.doc + doc))
         doc, begin = last, stop
     return Runs(*(np.concatenate(x) for x in zip(*parts, strict=True))) if parts else _window_runs(data, ends)
 
@@ -109,7 +120,7 @@ def _window_runs(data: np.ndarray, ends: np.ndarray) -> Runs:
 
 
 def bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(48)) * np.uint64(buckets) >> np.uint64(16)).astype(np.int32)
+    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
 
 
 def shard_anchors(runs: Runs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,14 +340,16 @@ def packed(docs: DataFrame, extra: list[str]) -> DataFrame:
             number += 1
 
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[F.col(c).alias(f"extra_{c}") for c in extra])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), *[F.col(f"`{c}`").alias(f"extra_{i}") for i, c in enumerate(extra)])
     shards = rows.mapInArrow(run, "shard long, ids binary, sizes binary, bytes binary, rest binary")
     count = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"shards_{uuid.uuid4().hex}"
     writer = shards.write.format("parquet").option("path", scratch(spark, "shards")).option("compression", "zstd")
     writer = writer.option("parquet.block.size", 4 * SHARD).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1)
     writer.bucketBy(count, "shard").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the catalog forgets it; the files stay, and the plan knows them and their buckets
+    return table
 
 
 def _shards(batches) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, dict]]:
@@ -502,31 +515,36 @@ def _rows(row: dict) -> pa.Table:
     return pa.ipc.open_stream(row["rest"].as_py()).read_all()
 
 
-def remove_repeats(docs: DataFrame, extra: list[str] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, extra: list[str] = (), spans: str | None = "spans") -> DataFrame:
     """(doc_id, text, spans, and the columns ``extra``): what is left of each text, and the removed byte ranges.
 
-    Where a cut leaves part of a character, that part goes as well.
+    Where a cut leaves part of a character, that part goes as well. ``spans`` names the column of ranges (None: no such
+    column).
     """
     extra = list(extra)
+    if spans in ("doc_id", "text", *extra):
+        raise ValueError(f"the column {spans} is there already")
     shards, buckets = _answered(docs, extra)
+    names = ["doc_id", "text", *([spans] if spans else []), *extra]
 
     def run(batches):
         for _, data, ends, ids, row in _shards(batches):
             gone = removed_bytes(data, ends, ids, row, buckets)
-            texts, spans, begin = [], [], 0
+            texts, found, begin = [], [], 0
             for end in ends.tolist():
                 own = gone[begin:end]
                 edges = np.flatnonzero(np.diff(np.concatenate([[False], own, [False]]).astype(np.int8)))
                 texts.append(data[begin:end][~own].tobytes().decode("utf-8", "ignore"))
-                spans.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
+                found.append([{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()])
                 begin = end
             rest = _rows(row)
             kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-            columns = [rest.column("doc_id"), pa.array(texts, pa.string()), pa.array(spans, kind), *[rest.column(f"extra_{c}") for c in extra]]
-            yield from pa.Table.from_arrays(columns, names=["doc_id", "text", "spans", *extra]).to_batches()
+            ranges = [pa.array(found, kind)] if spans else []
+            columns = [rest.column("doc_id"), pa.array(texts, pa.string()), *ranges, *[rest.column(f"extra_{i}") for i in range(len(extra))]]
+            yield from pa.Table.from_arrays(columns, names=names).to_batches()
 
-    kinds = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in extra)
-    return shards.mapInArrow(run, f"doc_id long, text string, spans array<struct<start: long, end: long>>{kinds}")
+    own = StructType.fromDDL("doc_id long, text string" + f", `{spans}` array<struct<start: long, end: long>>" * bool(spans))
+    return shards.mapInArrow(run, StructType([*own, *(docs.schema[c] for c in extra)]))
 
 
 def repeat_digests(docs: DataFrame) -> DataFrame:
