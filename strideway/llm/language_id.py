@@ -8,7 +8,9 @@ vector; the score is (1 + cosine) / 2.
 
 Text is lower-cased; letters beyond the first ``LETTERS`` classes share classes by their code point; any run of other
 characters is one gap. A text that is null or has no letter is `und` with score 0. Texts with null `lang` teach nothing.
-If nothing was learned, all texts are `und`. Repeated rows count each time. Ties go to the first language by name.
+If nothing was learned, all texts are `und`. Repeated rows count each time. Ties go to the first language by name. An
+empty table gives an empty result. More than ``LANGUAGES`` languages are an error, as a vector for each is held by the
+driver and every task. A text of any length is read whole.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strideway.llm.bpe import LETTER, char_classes
 from strideway.llm.common import in_groups
@@ -175,8 +178,8 @@ def identify(docs: DataFrame, languages: list[str], vectors: np.ndarray, plain:
                 yield from pa.table(out).to_batches()
 
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row {kind}, lang_pred string, score double" + ", likeness double, length_class int" * (plain is not None))
+    own = StructType.fromDDL("lang_pred string, score double" + ", likeness double, length_class int" * (plain is not None))
+    return rows.mapInArrow(run, StructType([rows.schema["row"], *own]))
 
 
 def usual_likeness(docs: DataFrame, languages: list[str], plain: np.ndarray) -> list[float]:
