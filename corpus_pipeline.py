@@ -2,28 +2,37 @@
 
 Each stage takes (spark, docs, sf_dir), works on all documents that its predecessor kept, and returns a DataFrame that
 is written and read again as the next stage's documents. All but the last return the columns of documents; columns
-beyond those are carried along.
+beyond those are carried along, whatever their names. Null texts count as empty, and go in the first stage like all
+without a letter. A null doc_id is kept apart from all others. Rows that share a doc_id but not their text are documents
+of their own. Very long texts are whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideway.llm import exact_dedup, language_id, minhash, packing, suffix_dedup
-from strideway.llm.common import marked, read_table, text_of, written
+from strideway.llm.common import made, marked, read_table, release, text_of, unused, written
 
 #: A document goes if its greatest cosine with a language's profile is less than this part of what is usual (the median of
 #: all labelled training documents) at its length. Random letters have about a sixth at 500 characters.
 LEAST_SCORE = 0.25
 
 
-def _without(docs: DataFrame, dropped: DataFrame, keys: list[str]) -> DataFrame:
-    """``docs`` without the rows whose ``keys`` are in ``dropped``; only rows that may be are moved."""
-    dropped = written(dropped.select(keys).distinct(), "dropped")
-    flagged = marked(docs, dropped, dropped.count(), keys[0])
-    rest = flagged.where("maybe").drop("maybe").join(dropped, keys, "left_anti")
-    return flagged.where("not maybe").drop("maybe").unionByName(rest.select(docs.columns))
+def columns_of(docs: DataFrame) -> list[Column]:
+    return [F.col(f"`{c}`") for c in docs.columns]
+
+
+def _without(docs: DataFrame, dropped: DataFrame, digest: Column) -> DataFrame:
+    """``docs`` without the rows whose doc_id and ``digest`` are in ``dropped`` (doc_id, digest); only rows that may be
+    are moved."""
+    dropped = written(dropped.select("doc_id", "digest").distinct(), "dropped")
+    maybe, key = unused(docs, "maybe", "key")
+    flagged = marked(docs, dropped.select("doc_id"), dropped.count(), "doc_id", maybe)
+    rest = flagged.where(maybe).withColumn(key, digest)
+    same = rest["doc_id"].eqNullSafe(dropped["doc_id"]) & (rest[key] == dropped["digest"])
+    return flagged.where(f"not {maybe}").select(columns_of(docs)).union(rest.join(dropped, same, "left_anti").select(columns_of(docs)))
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,30 +53,32 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays; of repeated rows of that document one."""
+    """Of equal texts one document stays; of repeated rows of that document one. Null texts are empty ones, of which one
+    stays; of rows without a doc_id all stay whose text no row with one has."""
     found = written(exact_dedup.exact_dedup(docs), "exact")
-    keyed = docs.withColumn("text_sha256", F.sha2(exact_dedup.normalised(), 256))
-    once = _without(keyed, found.where("not kept"), ["doc_id", "text_sha256"])
-    twice = written(found.where("kept").groupBy("doc_id").count().where("count > 1").select("doc_id"), "twice")
+    digest = F.sha2(exact_dedup.normalised(), 256)
+    once = _without(docs, found.where("not kept").select("doc_id", F.col("text_sha256").alias("digest")), digest)
+    twice = written(found.where("kept and doc_id is not null").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id").distinct(), "twice")
     if twice.isEmpty():
-        return once.select(docs.columns)
-    repeated = once.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text_sha256"])
-    return once.join(twice, "doc_id", "left_anti").unionByName(repeated.select(once.columns)).select(docs.columns)
+        return once
+    (key,) = unused(docs, "key")
+    repeated = once.join(twice, "doc_id", "left_semi").withColumn(key, digest).dropDuplicates(["doc_id", key])
+    return once.join(twice, "doc_id", "left_anti").select(columns_of(docs)).union(repeated.select(columns_of(docs)))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = minhash.near_dedup(docs)
-    return _without(docs, found.where("not kept"), ["doc_id"])
+    """Of each group of near-duplicates the document with the smallest doc_id stays; of rows with one doc_id those go
+    whose own text has a near-duplicate with a smaller one."""
+    found = minhash.near_dedup(docs).where("not kept").select("doc_id", F.col("words_sha256").alias("digest"))
+    return _without(docs, found, minhash.words_sha256(text_of()))
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes that repeat what an earlier document has are cut out; documents of which nothing is left go."""
-    extra = [c for c in docs.columns if c not in ("doc_id", "text")]
-    cut = suffix_dedup.remove_repeats(docs, extra).drop("spans")
+    cut = suffix_dedup.remove_repeats(docs, [c for c in docs.columns if c not in ("doc_id", "text")], spans=None)
     if "n_chars" in docs.columns:
         cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return cut.where(F.length(F.trim(text_of())) > 0).select(docs.columns)
+    return cut.where(F.length(F.trim(text_of())) > 0).select(columns_of(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -84,9 +95,12 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What all stages leave, packed. What a stage wrote for itself is removed once its result is written."""
     docs = read_table(spark, sf_dir, "documents")
+    since = made()
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark, since, keep=docs)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
