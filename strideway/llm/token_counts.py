@@ -3,7 +3,7 @@
 Documents are aggregated by encoded length; suffix sums over the histogram then answer, for any limit, how many
 documents reach it, the tokens they hold, and the total when every document is cut there. The histogram has a row for
 each length that occurs, however many documents there are. Null text counts as empty (length 0); an empty table has
-an empty histogram; repeated rows count each time.
+an empty histogram; repeated rows count each time. Lengths that tie share a row. Only the column text is read.
 """
 
 from __future__ import annotations
@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.bpe import DEFAULT_TOKENIZER, encoded_groups, library_encoder
-from strideway.llm.common import text_of
+from strideway.llm.bpe import DEFAULT_TOKENIZER, encoded_groups
+from strideway.llm.common import text_of, written
 
 #: Lengths are summed in blocks of this width first, so that no task sees more of the histogram than a block.
 BLOCK = 4096
@@ -23,7 +23,7 @@ def document_lengths(docs: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFram
     """(n_tokens) of each document. Map only."""
 
     def run(batches):
-        for _, _, counts in encoded_groups(batches, path, library_encoder(path)):
+        for _, _, counts in encoded_groups(batches, path):
             yield pa.RecordBatch.from_arrays([pa.array(counts)], names=["n_tokens"])
 
     return docs.select(text_of().alias("text")).mapInArrow(run, "n_tokens long")
@@ -75,4 +75,5 @@ def totals_at(histogram: DataFrame, limits: list[int]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, path: str = DEFAULT_TOKENIZER) -> DataFrame:
-    return suffix_sums(length_histogram(document_lengths(docs, path)))
+    """:func:`suffix_sums` of all documents. The histogram is written once, as it is read twice: each text is encoded once."""
+    return suffix_sums(written(length_histogram(document_lengths(docs, path)), "lengths"))
