@@ -152,15 +152,6 @@ def segment_distance(px: Column, py: Column, ax: Column, ay: Column, bx: Column,
     return F.hypot(px - ax - t * dx, py - ay - t * dy)
 
 
-def ray_segment(px: Column, py: Column, angle: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
-    """Distance along a ray (angle in radians from the x axis) to a segment; null if it isn't hit."""
-    rx, ry, sx, sy = F.cos(angle), F.sin(angle), bx - ax, by - ay
-    cross = rx * sy - ry * sx
-    t = ((ax - px) * sy - (ay - py) * sx) / cross
-    u = ((ax - px) * ry - (ay - py) * rx) / cross
-    return F.when((F.abs(cross) > 1e-12) & (t >= 0) & (u >= 0) & (u <= 1), t)
-
-
 def ring_edges(ring: Column) -> Column:
     """The edges of a ring of points {x, y}: an array of {a, b}; the last point is joined to the first."""
     shifted = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
@@ -182,41 +173,35 @@ def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
     return F.size(F.filter(ring_edges(ring), crosses)) % 2 == 1
 
 
-def geometry_distance(px: Column, py: Column, points: Column, closed: Column) -> Column:
-    """Distance of a point from a line, or from an area (0 inside) where ``closed``."""
-    far = lambda e: segment_distance(px, py, e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])
-    edges = F.when(closed, ring_edges(points)).otherwise(line_edges(points))
-    return F.when(closed & point_in_ring(px, py, points), 0.0).otherwise(F.array_min(F.transform(edges, far)))
+def signed_ring_area(ring: Column) -> Column:
+    """Area of a ring by the shoelace formula, negative if its points go clockwise."""
+    cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
+    return F.aggregate(F.transform(ring_edges(ring), cross), F.lit(0.0), lambda s, x: s + x) / 2
 
 
 def ring_area(ring: Column) -> Column:
-    """Area of a ring by the shoelace formula."""
-    cross = lambda e: e["a"]["x"] * e["b"]["y"] - e["b"]["x"] * e["a"]["y"]
-    return F.abs(F.aggregate(F.transform(ring_edges(ring), cross), F.lit(0.0), lambda s, x: s + x)) / 2
+    return F.abs(signed_ring_area(ring))
 
 
-def disc_ring_area(cx: Column, cy: Column, radius: float, ring: Column) -> Column:
-    """Area of the part of a ring within ``radius`` of a point: exact, a circular sector or triangle for each edge."""
+def disc_side_area(cx: Column, cy: Column, radius: float, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Signed area between a point and one side of a ring, within ``radius`` of the point: exact, as sectors and a
+    triangle. Over all sides of a ring that goes anticlockwise they add up to its part of the disc."""
     r2 = radius * radius
 
     def sector(ux: Column, uy: Column, vx: Column, vy: Column) -> Column:
         return F.atan2(ux * vy - uy * vx, ux * vx + uy * vy) * (r2 / 2)
 
-    def part(e: Column) -> Column:
-        ax, ay = e["a"]["x"] - cx, e["a"]["y"] - cy
-        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
-        bx, by = ax + dx, ay + dy
-        square = dx * dx + dy * dy
-        along = ax * dx + ay * dy
-        root = along * along - square * (ax * ax + ay * ay - r2)
-        far = F.sqrt(F.greatest(root, F.lit(0.0)))
-        t1 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-along - far) / square))
-        t2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (far - along) / square))
-        px, py, qx, qy = ax + t1 * dx, ay + t1 * dy, ax + t2 * dx, ay + t2 * dy
-        cut = sector(ax, ay, px, py) + (px * qy - py * qx) / 2 + sector(qx, qy, bx, by)
-        return F.when(square == 0, 0.0).when((root <= 0) | (t1 >= t2), sector(ax, ay, bx, by)).otherwise(cut)
-
-    return F.abs(F.aggregate(F.transform(ring_edges(ring), part), F.lit(0.0), lambda s, x: s + x))
+    dx, dy = bx - ax, by - ay
+    ax, ay, bx, by = ax - cx, ay - cy, bx - cx, by - cy
+    square = dx * dx + dy * dy
+    along = ax * dx + ay * dy
+    root = along * along - square * (ax * ax + ay * ay - r2)
+    far = F.sqrt(F.greatest(root, F.lit(0.0)))
+    t1 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (-along - far) / square))
+    t2 = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (far - along) / square))
+    px, py, qx, qy = ax + t1 * dx, ay + t1 * dy, ax + t2 * dx, ay + t2 * dy
+    cut = sector(ax, ay, px, py) + (px * qy - py * qx) / 2 + sector(qx, qy, bx, by)
+    return F.when(square == 0, 0.0).when((root <= 0) | (t1 >= t2), sector(ax, ay, bx, by)).otherwise(cut)
 
 
 def sample_points(line: Column, length: Column, spacing: float, least: int = 2) -> Column:

@@ -125,25 +125,36 @@ def way_matches(lights: DataFrame, edges: DataFrame, radius: float = 15.0) -> Da
     return spread.union(hit.select("light_id", *EDGE)).distinct()
 
 
+LAMP = ["lit", "source", "type", "regime", "text"]
+
+
+def _last(column: str) -> Column:
+    return F.max(column).alias(column)
+
+
 def add_lights(edges: DataFrame, lights: DataFrame, radius: float = 15.0) -> DataFrame:
-    """Lamps overwrite lit and its source, the last lamp winning; regime, text and type only where a lamp says any."""
-    told = way_matches(lights, edges, radius).join(
-        lights.select(
-            "light_id", "source", text.lowered_or(F.col("lit"), "yes").alias("lamp_lit"), text.cleaned(F.col("lit_tag_type")).alias("lamp_type"),
-            text.regime_name(F.col("lighting_regime")).alias("lamp_regime"), text.cleaned(F.col("lighting_regime_text")).alias("lamp_text"),
-        ), "light_id",
-    )
-    last = lambda c, when: F.max(F.when(when, F.struct("light_id", F.col(c).alias("value"))))["value"]
-    some = lambda c: F.col(c).isNotNull()
-    found = told.groupBy(*EDGE).agg(
-        last("lamp_lit", F.lit(True)).alias("lamp_lit"), last("source", F.lit(True)).alias("lamp_source"), last("lamp_type", some("lamp_type")).alias("lamp_type"),
-        last("lamp_regime", F.col("lamp_regime") != "unknown").alias("lamp_regime"), last("lamp_text", some("lamp_text")).alias("lamp_text"),
-    )
+    """Lamps overwrite lit and its source, the last lamp winning; regime, text and type only where a lamp says any.
+
+    A lamp speaks for the edge it is nearest to and for all that share a way id with it. Each way keeps its last lamp for
+    each column before edges ask their ways, so that a long way with many lamps is no product of both.
+    """
+    said = {
+        "lit": text.lowered_or(F.col("lit"), "yes"), "source": F.col("source"), "type": text.cleaned(F.col("lit_tag_type")), "regime": F.nullif(text.regime_name(F.col("lighting_regime")), F.lit("unknown")),
+        "text": text.cleaned(F.col("lighting_regime_text")),
+    }
+    word = lambda c: F.when((said[c].isNotNull() if c not in ("lit", "source") else F.lit(True)), F.struct("light_id", said[c].alias("value"))).alias(c)
+    hit = spatial.snapped(lights, edges, radius).select(*EDGE, *[word(c) for c in LAMP])
+    own = hit.groupBy(*EDGE).agg(*[_last(c) for c in LAMP])
+    ways = edges.select(*EDGE, F.explode("way_ids").alias("way")).select(*EDGE, text.canonical_id(F.col("way")).alias("way")).where("way is not null")
+    by_way = own.join(ways, EDGE).groupBy("way").agg(*[_last(c) for c in LAMP])
+    told = ways.join(by_way, "way").select(*EDGE, *LAMP).union(own.select(*EDGE, *LAMP))
+    found = told.groupBy(*EDGE).agg(*[F.max(c).alias(f"lamp_{c}") for c in LAMP])
     out = edges.join(found, EDGE, "left")
+    value = lambda c: F.col(f"lamp_{c}.value")
     return out.withColumns({
-        "lit": F.coalesce("lamp_lit", "lit"), "lit_source": F.when(F.col("lamp_lit").isNotNull(), "council"), "lit_source_detail": F.col("lamp_source"), "lit_tag_type": F.col("lamp_type"),
-        "lighting_regime": F.coalesce("lamp_regime", "lighting_regime"), "lighting_regime_text": F.col("lamp_text"),
-    }).drop("lamp_lit", "lamp_source", "lamp_type", "lamp_regime", "lamp_text")
+        "lit": F.coalesce(value("lit"), "lit"), "lit_source": F.when(F.col("lamp_lit").isNotNull(), "council"), "lit_source_detail": value("source"), "lit_tag_type": value("type"),
+        "lighting_regime": F.coalesce(value("regime"), "lighting_regime"), "lighting_regime_text": value("text"),
+    }).drop(*[f"lamp_{c}" for c in LAMP])
 
 
 def matching_report(lights: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFrame:
@@ -204,7 +215,8 @@ def _norms(edges: DataFrame, low: Callable[[str], Column], high: Callable[[str],
 def normalise(edges: DataFrame, mode: str = "DYNAMIC", by: list[str] = ()) -> DataFrame:
     """norm_* columns over the whole table, or within each group (tile) of ``by``.
 
-    Ranges are one row (for each tile one): the table is read twice, but nothing of its size is sorted or moved.
+    Ranges are one row (for each tile one): the table is read twice, but nothing of its size is sorted or moved. What is
+    costly to compute is written first, see :func:`strideway.plans.build.build`.
     """
     ranges = attribute_ranges(edges, list(by))
     joined = edges.join(ranges, list(by)) if by else edges.crossJoin(F.broadcast(ranges))

@@ -79,11 +79,18 @@ def count_within(points: DataFrame, keys: list[str], others: DataFrame, radius:
 
 
 def disc_share(points: DataFrame, keys: list[str], areas: DataFrame, radius: float) -> DataFrame:
-    """(keys, share): the part of each point's disc that areas cover, overlaps counted up to the whole disc."""
-    pairs = candidates(points.select(*keys, "mx", "my"), areas.select("points"), radius)
-    covered = geo.disc_ring_area(F.col("mx"), F.col("my"), radius, F.col("points"))
+    """(keys, share): the part of each point's disc that areas cover, overlaps counted up to the whole disc.
+
+    Rings are turned one way round first, so that the signed parts of all sides of all areas add up in one aggregation of
+    plain column arithmetic.
+    """
+    ring = geo.ring_edges(F.col("points"))
+    turn = F.signum(geo.signed_ring_area(F.col("points")))
+    pairs = candidates(points.select(*keys, "mx", "my"), areas.select("points", ring.alias("ring"), turn.alias("turn")), radius)
+    sides = pairs.select(*keys, "mx", "my", "turn", F.explode("ring").alias("e"))
+    part = F.col("turn") * geo.disc_side_area(F.col("mx"), F.col("my"), radius, *(F.col(f"e.{p}.{c}") for p in "ab" for c in "xy"))
     disc = math.pi * radius * radius
-    return pairs.select(*keys, covered.alias("area")).where("area > 0").groupBy(*keys).agg(F.least(F.sum("area") / disc, F.lit(1.0)).alias("share"))
+    return sides.select(*keys, part.alias("part")).groupBy(*keys).agg(F.greatest(F.least(F.sum("part") / disc, F.lit(1.0)), F.lit(0.0)).alias("share"))
 
 
 def near_edges(points: DataFrame, edges: DataFrame, radius: float, px: str = "x", py: str = "y") -> DataFrame:
