@@ -204,6 +204,12 @@ def disc_side_area(cx: Column, cy: Column, radius: float, ax: Column, ay: Column
     return F.when(square == 0, 0.0).when((root <= 0) | (t1 >= t2), sector(ax, ay, bx, by)).otherwise(cut)
 
 
+def disc_ring_area(cx: Column, cy: Column, radius: float, ring: Column) -> Column:
+    """Area of the part of a ring within ``radius`` of a point, by :func:`disc_side_area`."""
+    part = lambda e: disc_side_area(cx, cy, radius, *(e[p][c] for p in "ab" for c in "xy"))
+    return F.abs(F.aggregate(F.transform(ring_edges(ring), part), F.lit(0.0), lambda s, x: s + x))
+
+
 def sample_points(line: Column, length: Column, spacing: float, least: int = 2) -> Column:
     """Evenly spaced points of a straight line {x, y} from its first to its last point, ends included."""
     n = F.greatest(F.lit(least), (F.floor(length / spacing) + 1).cast("int"))

@@ -128,7 +128,10 @@ def with_ctes(sql: str) -> str:
 
     visit(sql)
     body = ", ".join(f"{k} AS ({v})" for k, v in CTES.items() if k in needed)
-    own = sql.strip()
+    own = " ".join(sql.split())
     if not body:
         return own
-    return f"WITH {body}, {own[5:]}" if own.upper().startswith("WITH ") else f"WITH {body} {own}"
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if own.upper().startswith(head):
+            return f"{head}{body}, {own[len(head):]}"
+    return f"WITH {body} {own}"

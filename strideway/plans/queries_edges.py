@@ -51,7 +51,11 @@ def water(net) -> DataFrame:
     return enrich.add_water(placed(net), build.layers_of(net).water).select(*EDGE, r("raw_water_cost").alias("raw_water_cost"))
 
 
-@query("WITH c AS (SELECT e.u, e.v, e.key, count(*) AS n FROM geo_edges e JOIN pois p ON abs(p.x - mx) <= 50 AND abs(p.y - my) <= 50 AND sqrt(pow(p.x - mx, 2) + pow(p.y - my, 2)) <= 50 GROUP BY 1, 2, 3) SELECT e.u, e.v, e.key, round(length / greatest(0.1::DOUBLE, coalesce(n, 0)), 4) AS raw_social_cost FROM edges e LEFT JOIN c USING (u, v, key)")
+_NEAR_POIS = """SELECT e.u, e.v, e.key, count(*) AS n FROM geo_edges e JOIN (SELECT *, unnest([-1, 0, 1]) AS i FROM (SELECT *, unnest([-1, 0, 1]) AS j FROM pois)) p
+ON floor(mx / 50) = floor(p.x / 50) + i AND floor(my / 50) = floor(p.y / 50) + j WHERE sqrt(pow(p.x - mx, 2) + pow(p.y - my, 2)) <= 50 GROUP BY 1, 2, 3"""
+
+
+@query(f"WITH c AS ({_NEAR_POIS}) SELECT e.u, e.v, e.key, round(length / greatest(0.1::DOUBLE, coalesce(n, 0)), 4) AS raw_social_cost FROM edges e LEFT JOIN c USING (u, v, key)")
 def social(net) -> DataFrame:
     return enrich.add_social(placed(net), net.pois).select(*EDGE, r("raw_social_cost", 4).alias("raw_social_cost"))
 
@@ -74,11 +78,11 @@ def green_fast(net) -> DataFrame:
     return enrich.green_processor("fast")(placed(net), build.layers_of(net).green).select(*EDGE, r("raw_green_cost", 4).alias("raw_green_cost"))
 
 
-@query(
-    f"""WITH m AS (SELECT u, v, key, ux, uy, vx, vy, greatest(2, floor(sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) / 20) + 1)::BIGINT AS n FROM geo_edges), i AS (SELECT *, unnest(range(0, n)) AS i_ FROM m),
-    samples AS (SELECT u, v, key, i_, n, ux + (vx - ux) * i_ / (n - 1) AS mx, uy + (vy - uy) * i_ / (n - 1) AS my FROM i), {_disc(50.0, 'samples', 'u, v, key, i_, n')}, t AS (SELECT u, v, key, sum(share) / any_value(n) AS share FROM shares GROUP BY 1, 2, 3)
-    SELECT e.u, e.v, e.key, round(1 - coalesce(share, 0), 4) AS raw_green_cost FROM edges e LEFT JOIN t USING (u, v, key)"""
-)
+_SAMPLED = f"""m AS (SELECT u, v, key, ux, uy, vx, vy, greatest(2, floor(sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) / 20) + 1)::BIGINT AS n FROM geo_edges), i AS (SELECT *, unnest(range(0, n)) AS i_ FROM m),
+    samples AS (SELECT u, v, key, i_, n, ux + (vx - ux) * i_ / (n - 1) AS mx, uy + (vy - uy) * i_ / (n - 1) AS my FROM i), {_disc(50.0, 'samples', 'u, v, key, i_, n')}, t AS (SELECT u, v, key, sum(share) / any_value(n) AS share FROM shares GROUP BY 1, 2, 3)"""
+
+
+@query(f"WITH {_SAMPLED} SELECT e.u, e.v, e.key, round(1 - coalesce(share, 0), 4) AS raw_green_cost FROM edges e LEFT JOIN t USING (u, v, key)")
 def green_sampled(net) -> DataFrame:
     return enrich.green_processor("edge_sampling")(placed(net), build.layers_of(net).green).select(*EDGE, r("raw_green_cost", 4).alias("raw_green_cost"))
 
@@ -385,7 +389,18 @@ def legacy_loop_penalties(net) -> DataFrame:
     return cost.legacy_penalties(net.edges)
 
 
-@query()
+def _norm(c: str, invert: bool = False) -> str:
+    low, high = f"min({c}) OVER ()", f"max({c}) OVER ()"
+    share = f"({high} - {c}) / ({high} - {low})" if invert else f"({c} - {low}) / ({high} - {low})"
+    return f"round(coalesce(CASE WHEN {high} = {low} THEN 0.0::DOUBLE ELSE {share} END, 0.5::DOUBLE), 5)"
+
+
+@query(
+    f"""WITH {_SAMPLED}, w AS ({_WATER}), c AS ({_NEAR_POIS}), {_DEM}, k AS (SELECT e.u, e.v, e.key, 1 - coalesce(t.share, 0) AS g, least(1.0::DOUBLE, coalesce(w.d / 250, 1.0::DOUBLE)) AS w, length / greatest(0.1::DOUBLE, coalesce(c.n, 0)) AS s,
+    {_NOISE} AS q, {_SLOPE.format(g='((hb.value - ha.value) / length)')} AS e FROM edges e LEFT JOIN t USING (u, v, key) LEFT JOIN w USING (u, v, key) LEFT JOIN c USING (u, v, key) LEFT JOIN hts ha ON ha.node_id = e.u LEFT JOIN hts hb ON hb.node_id = e.v
+    WHERE {_WALK} AND e.u NOT IN {_GATES} AND e.v NOT IN {_GATES}) SELECT u, v, key, """
+    + ", ".join(f"{_norm(c, i)} AS {n}" for n, c, i in _NORMS) + " FROM k"
+)
 def full_build(net) -> DataFrame:
     edges = build.build(net.nodes, net.edges, build.layers_of(net))
     return edges.select(*EDGE, *[r(n, 5).alias(n) for n, _, _ in _NORMS])

@@ -99,7 +99,12 @@ def route_cells(net) -> DataFrame:
     return routes.coordinates(net.walks, net.nodes).select("route_id", F.size(routes.fingerprint(F.col("points"))).cast("long").alias("cells"))
 
 
-@query()
+@query(
+    """WITH c AS (SELECT w.request_id, w.route_id, w.variant, list_distinct(list(floor(lat / 0.00045::DOUBLE) || ':' || floor(lon / 0.00045::DOUBLE))) AS s FROM places JOIN walks w USING (route_id) GROUP BY 1, 2, 3),
+    p AS (SELECT a.request_id, a.variant AS x, b.variant AS y, len(list_intersect(a.s, b.s)) / greatest(len(list_distinct(list_concat(a.s, b.s))), 1)::DOUBLE > 0.5 AS alike FROM c a JOIN c b ON a.request_id = b.request_id AND a.variant < b.variant),
+    k AS (SELECT request_id, bool_or(alike) FILTER (x = 0 AND y = 1) AS c01, bool_or(alike) FILTER (x = 0 AND y = 2) AS c02, bool_or(alike) FILTER (x = 1) AS c12 FROM p GROUP BY 1)
+    SELECT request_id, route_id FROM c JOIN k USING (request_id) WHERE variant = 0 OR (variant = 1 AND NOT c01) OR (variant = 2 AND NOT c02 AND (c01 OR NOT c12))"""
+)
 def route_distinct(net) -> DataFrame:
     cells = routes.coordinates(net.walks, net.nodes).select("route_id", routes.fingerprint(F.col("points")).alias("cells"))
     return routes.distinct_routes(net.walks.select("route_id", "request_id").join(cells, "route_id"), 0.5)
@@ -125,9 +130,13 @@ def route_penalties(net) -> DataFrame:
     return net.walks.select("route_id", r(routes.penalised(F.lit(0.8), k * 0.1, F.when(k != 0, k / 2.0))).alias("score"))
 
 
-@query()
+@query(
+    """SELECT route_id, array_to_string(list_reduce(list_transform(route, lambda x: [x]), lambda s, x: CASE WHEN len(s) >= 2 AND s[-2] = x[1] THEN s[1:len(s) - 1] ELSE list_concat(s, x) END), ',') AS route,
+    array_to_string(list_filter(route, lambda x, i: (i - 1) % ceil(len(route) / 5.0)::BIGINT = 0 OR i = len(route)), ',') AS thin FROM walks"""
+)
 def route_without_spurs(net) -> DataFrame:
-    return net.walks.select("route_id", routes.without_spurs(F.col("route")).alias("route"), routes.thinned(F.col("route"), 5).alias("thin"))
+    rows = net.walks.select("route_id", routes.without_spurs(F.col("route")).alias("clean"), routes.thinned(F.col("route"), 5).alias("few"))
+    return rows.select("route_id", *[F.concat_ws(",", F.transform(c, lambda n: n.cast("string"))).alias(name) for c, name in (("clean", "route"), ("few", "thin"))])
 
 
 @query("SELECT route_id, array_to_string(list_concat(route, list_reverse(route)[2:]), ',') AS tour FROM walks")
@@ -146,7 +155,12 @@ def route_edge_features_all(net) -> DataFrame:
     return routes.edge_features(net.walks, scored(net), net.nodes).select("route_id", "pos", "length", "highway", "u_elevation")
 
 
-@query()
+@query(
+    f"""WITH {_SETS}, l AS (SELECT route_id, w.request_id, round(abs(sum(length) - 600) / 600, 9) AS dev, round(sum(length * (way % 7)), 6) AS scenic FROM walked JOIN walks w USING (route_id) GROUP BY 1, 2),
+    q AS (SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY round(0.6::DOUBLE * greatest(0, 1 - least(dev / 0.5, 1)) + 0.4::DOUBLE * greatest(0, 1 - scenic / m), 9) DESC, route_id) AS turn FROM (SELECT *, max(scenic) OVER (PARTITION BY request_id) AS m FROM l)),
+    u AS (SELECT q.request_id, q.route_id, row_number() OVER (PARTITION BY q.request_id ORDER BY {_LIKE}, q.turn) AS n FROM q JOIN q f ON f.request_id = q.request_id AND f.turn = 1 AND q.turn > 1 JOIN sets a ON a.route_id = f.route_id JOIN sets b ON b.route_id = q.route_id)
+    SELECT request_id, route_id, 1 AS place FROM q WHERE turn = 1 UNION ALL SELECT request_id, route_id, 2 FROM u WHERE n = 1"""
+)
 def route_diverse(net) -> DataFrame:
     return routes.diverse(_scored_walks(net), 2)
 
@@ -213,6 +227,35 @@ def paths_by_length(net) -> DataFrame:
     return paths.least_length_paths(net.requests, net.edges).select("request_id", "route", r("cost", 4).alias("metres"))
 
 
+_METRES = f"""WITH RECURSIVE st AS MATERIALIZED (SELECT u, v, min(length) AS c FROM edges GROUP BY 1, 2),
+    r AS MATERIALIZED (SELECT request_id, s, e, 3 * {hav('start_lat', 'start_lon', 'end_lat', 'end_lon')} AS most FROM requests),
+    t(request_id, node, g) USING KEY (request_id, node) AS (
+      SELECT request_id, s, 0.0::DOUBLE FROM r UNION
+      SELECT n.request_id, n.v, n.g FROM (SELECT t.request_id, st.v, min(t.g + st.c) AS g FROM t JOIN st ON st.u = t.node JOIN r ON r.request_id = t.request_id WHERE t.g + st.c <= r.most GROUP BY 1, 2) n
+      LEFT JOIN recurring.t o ON o.request_id = n.request_id AND o.node = n.v WHERE o.g IS NULL OR n.g < o.g
+    ) SELECT t.request_id, round(g, 4) AS metres FROM t JOIN r ON r.request_id = t.request_id AND node = e"""
+
+
+@query(_METRES)
+def path_metres(net) -> DataFrame:
+    """Lengths only, as equally long paths may differ; the SQL follows paths up to three times the distance."""
+    return paths.least_length_paths(net.requests, net.edges).select("request_id", r("cost", 4).alias("metres"))
+
+
+@query()
+def paths_by_scenario(net) -> DataFrame:
+    """The baseline, extremist and balanced path of each request."""
+    edges = scored(net)
+    low, high = edges.where("length > 0").agg(F.min("length"), F.max("length")).first()
+    wanted = paths.scenarios(net.requests.withColumn("distance", F.coalesce("distance", F.lit(3.0))))
+    weights = cost.slider_weights({k: F.col(k) for k in cost.FEATURES})
+    label = F.concat_ws(":", F.col("request_id").cast("string"), "scenario")
+    asked = written(wanted.select(label.alias("request_id"), "start", "end", *[w.alias(k) for k, w in weights.items()]), "asked")
+    step = lambda: cost.edge_cost(F.lit(low), F.lit(high), {k: F.col(k) for k in cost.FEATURES})
+    found = paths.shortest_paths(asked, written(edges.select("u", "v", "key", "length", *cost.NORMS.values()), "edges"), step)
+    return found.select(F.split("request_id", ":")[0].cast("long").alias("request_id"), F.split("request_id", ":")[1].alias("scenario"), "route", r("cost").alias("cost"))
+
+
 @query()
 def paths_by_preference(net) -> DataFrame:
     edges = scored(net)
@@ -248,7 +291,10 @@ def paths_compared(net) -> DataFrame:
     return found.select(F.split("request_id", ":")[0].cast("long").alias("request_id"), F.split("request_id", ":")[1].alias("scenario"), "route", r("cost").alias("cost"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE st AS MATERIALIZED (SELECT DISTINCT u, v FROM edges WHERE highway <> 'construction'), t AS (SELECT request_id, s AS node FROM requests UNION SELECT request_id, v FROM t JOIN st ON u = node)
+    SELECT r.request_id, t.node IS NOT NULL AS reachable FROM requests r LEFT JOIN t ON t.request_id = r.request_id AND t.node = r.e"""
+)
 def reachable_requests(net) -> DataFrame:
     return paths.reachable(net.requests.select("request_id", "start", "end"), net.edges.where("highway <> 'construction'"))
 
@@ -257,17 +303,41 @@ def _pruned_source(net) -> DataFrame:
     return net.edges.where("highway not in ('motorway', 'construction', 'trunk', 'primary', 'secondary', 'tertiary', 'residential')")
 
 
-@query()
+_QUIET = "src AS MATERIALIZED (SELECT * FROM edges WHERE highway NOT IN ('motorway', 'construction', 'trunk', 'primary', 'secondary', 'tertiary', 'residential'))"
+_PAIRS = "nb AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT u AS a, v AS b FROM src UNION ALL SELECT v, u FROM src) WHERE a <> b)"
+
+
+@query(
+    f"""WITH RECURSIVE {_QUIET}, {_PAIRS}, s AS (SELECT 0 AS k, a, b FROM nb UNION ALL
+    SELECT k + 1, a, b FROM (SELECT *, min(least(da, db)) OVER () AS low FROM (SELECT *, count(*) OVER (PARTITION BY a) AS da, count(*) OVER (PARTITION BY b) AS db FROM s)) WHERE low <= 1 AND da > 1 AND db > 1)
+    SELECT highway, count(*) AS n FROM src JOIN (SELECT a, b FROM s WHERE k = (SELECT max(k) FROM s)) ON a = u AND b = v GROUP BY 1"""
+)
 def dead_ends_removed(net) -> DataFrame:
     return graphs.without_dead_ends(_pruned_source(net)).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+def _capped_sql() -> str:
+    """Three rounds, each with what is left of the number of nodes that may go."""
+    sql, left = f"WITH {_QUIET}, {_PAIRS}", "(SELECT greatest(count(DISTINCT a) // 20, 50) FROM nb)"
+    for k in range(3):
+        own = "nb" if not k else f"nb{k}"
+        sql += f", e{k} AS MATERIALIZED (SELECT a FROM {own} WHERE a <> 0 GROUP BY a HAVING count(*) <= 1 ORDER BY a LIMIT ({left}))"
+        sql += f", nb{k + 1} AS MATERIALIZED (SELECT * FROM {own} WHERE a NOT IN (SELECT a FROM e{k}) AND b NOT IN (SELECT a FROM e{k}))"
+        left = f"{left} - (SELECT count(*) FROM e{k})"
+    return f"{sql} SELECT highway, count(*) AS n FROM src JOIN nb3 ON a = u AND b = v GROUP BY 1"
+
+
+@query(_capped_sql())
 def dead_ends_removed_capped(net) -> DataFrame:
     return graphs.without_dead_ends(_pruned_source(net), start=0, rounds=3).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_QUIET}, {_PAIRS}, mid AS MATERIALIZED (SELECT a AS node FROM nb GROUP BY 1 HAVING count(*) = 2), c AS MATERIALIZED (SELECT u, v, min(length) AS length FROM src WHERE u <> v GROUP BY 1, 2),
+    w AS (SELECT u AS a, u AS before, v AS node, length, 0 AS n FROM c WHERE u NOT IN (SELECT node FROM mid) UNION ALL
+    SELECT w.a, w.node, c.v, w.length + c.length, w.n + 1 FROM w JOIN mid ON mid.node = w.node JOIN c ON c.u = w.node AND c.v <> w.before)
+    SELECT a AS u, node AS v, round(length, 4) AS length, n AS n_inner FROM w WHERE node NOT IN (SELECT node FROM mid)"""
+)
 def contracted_chains(net) -> DataFrame:
     return graphs.chains(_pruned_source(net)).select("u", "v", r("length", 4).alias("length"), F.size("inner").alias("n_inner"))
 

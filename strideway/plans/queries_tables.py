@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -194,7 +195,32 @@ def projected_points(net) -> DataFrame:
     return net.requests.select("request_id", r(a, 8).alias("lat"), r(b, 8).alias("lon"))
 
 
-@query()
+def _grid_sql() -> str:
+    """The inverse series of the national grid and the shift between datums, a column for each step."""
+    a, b, f0 = geo.AIRY_MAJOR, geo.AIRY_MINOR, geo.OSGB_SCALE
+    n, e2 = (a - b) / (a + b), 1 - (b / a) ** 2
+    d = lambda x: f"{x!r}::DOUBLE"
+    lat0 = d(math.radians(49))
+    terms = [(d(1 + n + 1.25 * n * n + 1.25 * n**3), None), (d(3 * n + 3 * n * n + 21 / 8 * n**3), 1), (d(15 / 8 * (n * n + n**3)), 2), (d(35 / 24 * n**3), 3)]
+    arc = lambda p: f"({d(b * f0)} * ({terms[0][0]} * ({p} - {lat0}) - {terms[1][0]} * sin({p} - {lat0}) * cos({p} + {lat0}) + {terms[2][0]} * sin(2 * ({p} - {lat0})) * cos(2 * ({p} + {lat0})) - {terms[3][0]} * sin(3 * ({p} - {lat0})) * cos(3 * ({p} + {lat0}))))"
+    steps = [("p0", f"(north + 100000) / {d(a * f0)} + {lat0}")] + [(f"p{i + 1}", f"p{i} + (north + 100000 - {arc(f'p{i}')}) / {d(a * f0)}") for i in range(4)]
+    steps += [("t", "tan(p4)"), ("nu", f"{d(a * f0)} / sqrt(1 - {d(e2)} * pow(sin(p4), 2))"), ("rho", f"{d(a * f0 * (1 - e2))} / pow(1 - {d(e2)} * pow(sin(p4), 2), 1.5)"), ("k", "east - 400000")]
+    steps += [("phi", "p4 - k*k*t/(2*rho*nu) + pow(k,4)*t/(24*rho*pow(nu,3))*(5 + 3*t*t + (nu/rho-1) - 9*t*t*(nu/rho-1)) - pow(k,6)*t/(720*rho*pow(nu,5))*(61 + 90*t*t + 45*pow(t,4))")]
+    steps += [("lam", f"{d(math.radians(-2))} + (k/nu - pow(k,3)/(6*pow(nu,3))*(nu/rho + 2*t*t) + pow(k,5)/(120*pow(nu,5))*(5 + 28*t*t + 24*pow(t,4))) / cos(p4)")]
+    steps += [("fl", f"{d(a)} / sqrt(1 - {d(e2)} * pow(sin(phi), 2))"), ("x", "fl * cos(phi) * cos(lam)"), ("y", "fl * cos(phi) * sin(lam)"), ("z", f"fl * {d(1 - e2)} * sin(phi)")]
+    # fixed values of the transformation between the two datums: metres, parts per million, seconds of arc
+    tx, ty, tz, ppm, rx, ry, rz = 446.448, -125.157, 542.060, -20.4894, 0.1502, 0.2470, 0.8421
+    rx, ry, rz, m = *(d(math.radians(v / 3600)) for v in (rx, ry, rz)), d(1 + ppm / 1e6)
+    w2 = geo.FLATTENING * (2 - geo.FLATTENING)
+    steps += [("x2", f"x * {m} - y * {rz} + z * {ry} + {d(tx)}"), ("y2", f"x * {rz} + y * {m} - z * {rx} + {d(ty)}"), ("z2", f"y * {rx} - x * {ry} + z * {m} + {d(tz)}"), ("h", "sqrt(x2*x2 + y2*y2)"), ("q0", f"atan2(z2, h * {d(1 - w2)})")]
+    steps += [(f"q{i + 1}", f"atan2(z2 + {d(geo.MAJOR * w2)} / sqrt(1 - {d(w2)} * pow(sin(q{i}), 2)) * sin(q{i}), h)") for i in range(4)]
+    sql = "SELECT o_orderkey AS node_id, 350000.0::DOUBLE + o_orderkey % 997 AS east, 170000.0::DOUBLE + o_orderkey % 1009 AS north FROM orders"
+    for name, formula in steps:
+        sql = f"SELECT *, {formula} AS {name} FROM ({sql})"
+    return f"SELECT node_id, round(degrees(q4), 6) AS lat, round(degrees(atan2(y2, x2)), 6) AS lon FROM ({sql})"
+
+
+@query(_grid_sql())
 def grid_to_degrees(net) -> DataFrame:
     rows = net.nodes.select("node_id", (F.lit(350_000.0) + F.col("node_id") % 997).alias("easting"), (F.lit(170_000.0) + F.col("node_id") % 1009).alias("northing"))
     return geo.osgb_to_wgs84(rows, "easting", "northing").select("node_id", r("lat").alias("lat"), r("lon").alias("lon"))
@@ -406,7 +432,10 @@ def merged_tiles(net) -> DataFrame:
     return tiles.merged(first.unionByName(second), ["u", "v", "key"])
 
 
-@query()
+@query(
+    """SELECT route_id, '<?xml version="1.0" encoding="UTF-8"?><gpx version="1.1" creator="strideway" xmlns="http://www.topografix.com/GPX/1/1"><trk><name>Walk &amp; loop ' || route_id || '</name><trkseg>' ||
+    string_agg(printf('<trkpt lat="%.6f" lon="%.6f"><ele>%.1f</ele></trkpt>', lat, lon, round(elevation, 1)), '' ORDER BY pos) || '</trkseg></trk></gpx>' AS gpx FROM places GROUP BY route_id"""
+)
 def gpx_tracks(net) -> DataFrame:
     from strideway.operators import routes
 
@@ -414,6 +443,36 @@ def gpx_tracks(net) -> DataFrame:
     return tables.gpx(written(rows, "tracks"))
 
 
-@query()
+@query("""SELECT request_id, format('{{"request_id":{},"start":{},"end":{},"is_loop":{},"target_m":{:.1f}}}', request_id, s, e, is_loop, target_m) AS payload FROM requests""")
 def json_payloads(net) -> DataFrame:
     return tables.as_json(net.requests.select("request_id", "start", "end", "is_loop", "target_m"), "request_id")
+
+
+_BOX = "SELECT request_id, least(start_lat, end_lat) - 0.02::DOUBLE AS y1, greatest(start_lat, end_lat) + 0.02::DOUBLE AS y2, least(start_lon, end_lon) - 0.9::DOUBLE AS x1, greatest(start_lon, end_lon) + 1.2::DOUBLE AS x2 FROM requests"
+_HALF = "CASE WHEN {c} < 0 THEN '{minus}' ELSE '{plus}' END || printf('%0{n}d', abs({c}))"
+
+
+@query(
+    f"""WITH b AS ({_BOX}), r AS (SELECT request_id, unnest(range(floor(y1)::BIGINT, floor(y2)::BIGINT + 1)) AS a, x1, x2 FROM b), c AS (SELECT request_id, a, unnest(range(floor(x1)::BIGINT, floor(x2)::BIGINT + 1)) AS o FROM r)
+    SELECT request_id, 'Copernicus_DSM_COG_10_' || {_HALF.format(c='a', minus='S', plus='N', n=2)} || '_00_' || {_HALF.format(c='o', minus='W', plus='E', n=3)} || '_00_DEM' AS tile FROM c"""
+)
+def dem_tiles(net) -> DataFrame:
+    low = lambda c: F.least(f"start_{c}", f"end_{c}")
+    high = lambda c: F.greatest(f"start_{c}", f"end_{c}")
+    covered = tiles.dem_cover(low("lat") - 0.02, low("lon") - 0.9, high("lat") + 0.02, high("lon") + 1.2)
+    return net.requests.select("request_id", F.explode(covered).alias("tile"))
+
+
+@query(
+    """SELECT request_id, left(array_to_string(['from-node-' || s, 'to', 'the-west-end-' || e, printf('%.1fkm', round(target_m / 1000, 1)), strftime(asked_at, '%Y-%m-%d')], '_'), 120) AS name FROM requests"""
+)
+def export_names(net) -> DataFrame:
+    origin, target = F.concat(F.lit(" From node #"), F.col("start").cast("string")), F.concat(F.lit("The West End, "), F.col("end").cast("string"), F.lit("!"))
+    return net.requests.select("request_id", tables.export_name(origin, target, F.col("target_m"), F.col("asked_at")).alias("name"))
+
+
+@query("SELECT request_id, CASE request_id % 5 WHEN 4 THEN NULL WHEN 2 THEN 1704067200 + request_id * 3600 - 5400 ELSE 1704067200 + request_id * 3600 END AS seconds FROM requests")
+def parsed_times(net) -> DataFrame:
+    k, plain = F.col("request_id") % 5, F.date_format("asked_at", "yyyy-MM-dd'T'HH:mm:ss")
+    said = F.when(k == 0, F.concat(plain, F.lit("Z"))).when(k == 1, plain).when(k == 2, F.concat(plain, F.lit("+01:30"))).when(k == 3, F.date_format("asked_at", "yyyy-MM-dd HH:mm:ss.SSS")).otherwise(F.concat(F.lit("at "), plain))
+    return net.requests.select("request_id", F.unix_timestamp(text.timestamp_of(said)).alias("seconds"))
