@@ -15,10 +15,11 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.llm.common import in_groups, text_of, written
+from strideway.llm.common import in_groups, looked_up, marked, sorted_groups, text_of, written
 from strideway.llm.segments import mix, shingles, word_hashes
 
-BITS = 128
+#: Bits of a fingerprint; the radius of near ones; fingerprints of a part of a key.
+BITS, RADIUS, BLOCK = 128, 3, 1024
 #: Text bytes that a task holds at once, and terms whose votes are added at once.
 GROUP, TERMS = 8 << 20, 1 << 17
 EDIT_SCHEMA = "part int, kind string, doc_id long, text string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -93,6 +94,72 @@ def near_fingerprints(marks: DataFrame, radius: int = 3, blocks: int | None = No
     return pairs.where(F.col("distance") <= radius).distinct()
 
 
+def block_edges(radius: int) -> list[int]:
+    """Where the radius + 2 blocks of a fingerprint's hex digits begin, and the end."""
+    count, digits = radius + 2, BITS // 4
+    if count > digits:
+        raise ValueError("the radius needs more blocks than there are digits")
+    return [digits * i // count for i in range(count + 1)]
+
+
+def block_counts(digits: np.ndarray, part: np.ndarray, table: int, radius: int) -> np.ndarray:
+    """For each fingerprint of a block (a row of hex digits) how many others there are within ``radius``.
+
+    Members of one ``part`` are compared only if all are of that part. A pair counts in the first table (choice of two
+    blocks) in which it agrees.
+    """
+    edges = block_edges(radius)
+    choices = [(i, j) for i in range(radius + 2) for j in range(i + 1, radius + 2)]
+    alone = (part == part[0]).all()
+    found = np.zeros(len(digits), np.int64)
+    packed = digits[:, ::2] << 4 | digits[:, 1::2]
+    for i in range(len(digits) - 1):
+        near = np.flatnonzero(np.bitwise_count(packed[i + 1 :] ^ packed[i]).sum(axis=1) <= radius) + i + 1
+        near = near if alone else near[part[near] != part[i]]
+        if not len(near):
+            continue
+        same = digits[near] == digits[i]
+        agree = [same[:, a:b].all(axis=1) for a, b in zip(edges, edges[1:], strict=False)]
+        first = np.argmax(np.stack([agree[x] & agree[y] for x, y in choices]), axis=0)
+        near = near[(first == table) & agree[choices[table][0]] & agree[choices[table][1]]]
+        found[near] += 1
+        found[i] += len(near)
+    return found
+
+
+def near_counts(marks: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fingerprint, n_near): how many other fingerprints are within ``radius``, where there are any.
+
+    ``marks`` (fingerprint) has each fingerprint once. As in :func:`near_fingerprints`, two near ones agree in two blocks,
+    and there is a permuted table for each choice of two. Of the tables' rows only those whose key may occur again are
+    moved; a key with many fingerprints is split into blocks of about 2 * BLOCK, each pair of parts in one of them. Pairs
+    are counted where they are found, and not sent.
+    """
+    edges = block_edges(radius)
+    part = lambda i: F.substring("fingerprint", edges[i] + 1, edges[i + 1] - edges[i])
+    choices = [(i, j) for i in range(radius + 2) for j in range(i + 1, radius + 2)]
+    keys = F.array(*[F.xxhash64(F.lit(k), part(i), part(j)) for k, (i, j) in enumerate(choices)])
+    tables = marks.select("fingerprint", F.posexplode(keys).alias("table", "key"))
+    sizes = written(tables.groupBy("key").agg(F.count(F.lit(1)).alias("group_size")).where("group_size > 1"), "keys")
+    total, count = sizes.agg(F.coalesce(F.sum("group_size"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = looked_up(marked(tables, sizes, count, "key", "maybe").where("maybe").drop("maybe"), sizes, "key", total, "inner")
+    parts = F.ceil(F.col("group_size") / BLOCK).cast("int")
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("fingerprint"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.select("key", "table", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "fingerprint")
+    rows = rows.repartition("key", "table", "low", "high").sortWithinPartitions("key", "table", "low", "high")
+
+    def run(batches):
+        for group in sorted_groups(batches, "key", "table", "low", "high"):
+            if group.num_rows > 1:
+                digits = np.frombuffer(bytes.fromhex("".join(group.column("fingerprint").to_pylist())), np.uint8).reshape(group.num_rows, -1)
+                digits = np.stack([digits >> 4, digits & 15], axis=2).reshape(group.num_rows, -1)
+                found = block_counts(digits, group.column("part").to_numpy(), group.column("table")[0].as_py(), radius)
+                some = pa.array(np.flatnonzero(found))
+                yield from pa.table({"fingerprint": group.column("fingerprint").take(some), "n": pa.array(found[found > 0])}).to_batches()
+
+    return rows.mapInArrow(run, "fingerprint string, n long").groupBy("fingerprint").agg(F.sum("n").alias("n_near"))
+
+
 def _edits(ids, texts: list[str], marks: np.ndarray, nexts: list[str], next_marks: np.ndarray, part: int, kind: str) -> pa.Table:
     sizes = list(map(len, texts))
     edited = [t[: n - n // 2] + u[: n // 2] for t, n, u in zip(texts, sizes, nexts, strict=True)]
@@ -118,7 +185,9 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
 
     The texts are sorted by doc_id in range partitions, each moved once. A partition pairs its rows with their
     followers as they stream by; only its first and last text are kept for the seams, which are joined by number.
-    Rows with one doc_id are in the order of their texts. A single document is its own follower.
+    Rows with one doc_id are in the order of their texts. A single document is its own follower. n_near is how many other
+    fingerprints of the table are within RADIUS bits of the text's, by :func:`near_counts`. Columns but doc_id and text are
+    not read; an empty table gives an empty result; the texts of a group (a very long one alone) are held at once.
     """
 
     def run(batches):
@@ -153,4 +222,10 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     heads = rows.where("kind = 'head'").select(F.col("part").alias("next_part"), F.col("text").alias("next_text"))
     tails = rows.where("kind = 'tail'").select("part", "doc_id", "text").join(after, "part").join(heads, "next_part").select("doc_id", "text", "next_text")
     schema = ", ".join(x for x in EDIT_SCHEMA.split(", ") if x.split()[0] in out)
-    return rows.where("kind = 'inner'").select(out).unionByName(tails.mapInArrow(seams, schema).select(out))
+    found = rows.where("kind = 'inner'").select(out).unionByName(tails.mapInArrow(seams, schema).select(out))
+    marks = written(rows.where("kind in ('inner', 'tail')").groupBy("fingerprint").agg(F.count(F.lit(1)).alias("group_size")), "marks")
+    near = written(near_counts(marks.select("fingerprint")).join(marks, "fingerprint"), "near")
+    total, count = marks.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0], near.count()
+    flagged = marked(found, near, count, "fingerprint", "maybe")
+    hit = looked_up(flagged.where("maybe").drop("maybe"), near, "fingerprint", total).select(*out, F.coalesce("n_near", F.lit(0)).alias("n_near"))
+    return hit.unionByName(flagged.where("not maybe").select(*out, F.lit(0).cast("long").alias("n_near")))

@@ -204,3 +204,35 @@ def test_fingerprints_are_votes_of_weighted_terms():
             bits = np.unpackbits(fingerprints.simhash([pair])[0]).astype(int)
             votes += (2 * bits - 1) * (1 + int(np.log2(pairs.count(pair))))
         assert (np.unpackbits(fingerprints.simhash(["x y", " ".join(text).upper(), "x"])[1]) == (votes > 0)).all()
+
+
+def test_near_fingerprints_are_counted_with_hot_keys(spark, monkeypatch):
+    rng = random.Random(6)
+    whole = (1 << fingerprints.BITS) - 1
+    base = rng.getrandbits(fingerprints.BITS)
+    marks = {base, 0, whole} | {rng.getrandbits(fingerprints.BITS) for _ in range(60)}
+    for _ in range(150):  # one dense group, with hot keys
+        mark = base
+        for _ in range(rng.randrange(1, 5)):
+            mark ^= 1 << rng.randrange(fingerprints.BITS)
+        marks.add(mark)
+    want = {a: sum((a ^ b).bit_count() <= 3 for b in marks if b != a) for a in marks}
+    rows = spark.createDataFrame([(f"{a:032x}",) for a in marks], "fingerprint string")
+    for block in (1024, 17):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        found = {int(r.fingerprint, 16): r.n_near for r in fingerprints.near_counts(rows).collect()}
+        assert found == {a: n for a, n in want.items() if n}
+
+
+def test_edited_fingerprints_tell_near_ones(spark):
+    base = " ".join(f"w{i}" for i in range(400))
+    texts = [base, base + " end", base, "", None, "quite another text with words of its own", base.replace("w7 ", "x7 ")]
+    found = {r.doc_id: r for r in fingerprints.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    marks = {r.fingerprint for r in found.values()}
+    bits = lambda x: int(x, 16)
+    for i, t in enumerate(texts):
+        r = found[i]
+        assert r.n_near == sum((bits(r.fingerprint) ^ bits(m)).bit_count() <= 3 for m in marks if m != r.fingerprint)
+        assert r.near_edited == pytest.approx(1 - (bits(r.fingerprint) ^ bits(r.edited_fingerprint)).bit_count() / 128)
+        assert r.near_next == pytest.approx(1 - (bits(r.fingerprint) ^ bits(found[(i + 1) % len(texts)].fingerprint)).bit_count() / 128)
+        assert t or r.fingerprint == "0" * 32
