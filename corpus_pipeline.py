@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strideway.llm import exact_dedup, language_id, minhash, packing, suffix_dedup
-from strideway.llm.common import made, marked, read_table, release, text_of, unused, written
+from strideway.llm.common import made, marked, read_table, release, small_batches, text_of, unused, written
 
 #: A document goes if its greatest cosine with a language's profile is less than this part of what is usual (the median of
 #: all labelled training documents) at its length. Random letters have about a sixth at 500 characters.
@@ -39,8 +39,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Documents without letters, or like no language, go; a missing lang is filled in.
 
     Where nothing was learned, as no text has a label, no text can be said to be like no language: all with letters stay,
-    with a null lang.
+    with a null lang. As this is the first stage, it also bounds the batches that go to Python, for the whole session.
     """
+    small_batches(spark)
     training = docs.where(~language_id.held_out())
     languages, plain = language_id.profiles(training)
     if not languages:

@@ -78,6 +78,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """From now on the session sends at most ``rows`` rows at once to Python: ten thousand long texts fill memory twice."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_of(name: str = "text") -> Column:
     """A text column with null as the empty string."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
