@@ -40,7 +40,8 @@ BANDS, ROWS = 48, 5
 BINS = BANDS * ROWS
 #: Pairs are verified if their sketches' estimate is at least this; 5 standard deviations below the threshold.
 ESTIMATE = 0.60
-GROUP = 2 << 20
+#: Bytes and rows of texts that a task works on at once; a row has a sketch of 2 KB.
+GROUP, GROUP_ROWS = 2 << 20, 1 << 13
 #: Shingles and members of a part of a group, and shingles that are counted at once.
 PART_SHINGLES, BLOCK, WIDTH = 200_000, 1024, 2048
 UNSET = np.uint64(2**64 - 1)
@@ -87,7 +88,7 @@ def sketch_table(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, key, bands array<long>, brief binary). Map only."""
 
     def run(batches):
-        for rows in in_groups(batches, "text", GROUP):
+        for rows in in_groups(batches, "text", GROUP, GROUP_ROWS):
             texts = [t.encode() for t in rows.column("text").to_pylist()]
             found, sizes = sets_of(texts)
             sketch = sketches(found, sizes)
