@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder below ``spark.checkpoint.dir``. Only a local session may leave that unset; a cluster's machines share no other."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        path = context.getConf().get("spark.checkpoint.dir")
+        if not path and not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
     return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
