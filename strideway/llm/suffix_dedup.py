@@ -18,7 +18,7 @@ null doc_id counts as larger than any. Rows with one doc_id don't touch each oth
 windows are worked on in sections. Columns but doc_id and text are carried along as asked. An empty table stays empty.
 
 Suffix arrays are built for shards of candidate strings, not of documents: whole documents' sorted windows would have to
-be sent at 50 bytes each to be merged, some fifteen times the input.
+be sent at 50 bytes each to be merged: where a fifth of them can repeat, ten times the text.
 """
 
 from __future__ import annotations
