@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideway.functions import cost, text
-from strideway.operators import graphs, loops, paths, routes, spatial
+from strideway.operators import filters, graphs, loops, paths, routes, spatial
 from strideway.operators.materialise import written
 from strideway.plans.net_sql import bearing, hav
-from strideway.plans.queries_edges import scored
+from strideway.plans.queries_edges import _GATES, _WALK, scored
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -144,14 +144,8 @@ def route_there_and_back(net) -> DataFrame:
     return net.walks.select("route_id", F.concat_ws(",", routes.joined_paths(F.col("route"), F.reverse("route")).cast("array<string>")).alias("tour"))
 
 
-@query("SELECT s.route_id, pos::INTEGER AS pos, round(b.length, 2) AS length, b.highway AS highway, round(n.elevation, 1) AS u_elevation FROM steps s JOIN (SELECT u, v, arg_min(struct_pack(length := length, highway := highway), key) AS b FROM edges GROUP BY 1, 2) USING (u, v) JOIN nodes n ON n.node_id = s.u WHERE pos < 8")
-def route_edge_features(net) -> DataFrame:
-    """The first steps only, as its SQL has them."""
-    return routes.edge_features(net.walks, scored(net), net.nodes, 8).select("route_id", "pos", "length", "highway", "u_elevation")
-
-
 @query("SELECT s.route_id, pos::INTEGER AS pos, round(b.length, 2) AS length, b.highway AS highway, round(n.elevation, 1) AS u_elevation FROM steps s JOIN (SELECT u, v, arg_min(struct_pack(length := length, highway := highway), key) AS b FROM edges GROUP BY 1, 2) USING (u, v) JOIN nodes n ON n.node_id = s.u")
-def route_edge_features_all(net) -> DataFrame:
+def route_edge_features(net) -> DataFrame:
     return routes.edge_features(net.walks, scored(net), net.nodes).select("route_id", "pos", "length", "highway", "u_elevation")
 
 
@@ -292,33 +286,29 @@ def paths_compared(net) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE st AS MATERIALIZED (SELECT DISTINCT u, v FROM edges WHERE highway <> 'construction'), t AS (SELECT request_id, s AS node FROM requests UNION SELECT request_id, v FROM t JOIN st ON u = node)
+    f"""WITH RECURSIVE st AS MATERIALIZED (SELECT DISTINCT u, v FROM edges WHERE {_WALK} AND u NOT IN {_GATES} AND v NOT IN {_GATES}), t AS (SELECT request_id, s AS node FROM requests UNION SELECT request_id, v FROM t JOIN st ON u = node)
     SELECT r.request_id, t.node IS NOT NULL AS reachable FROM requests r LEFT JOIN t ON t.request_id = r.request_id AND t.node = r.e"""
 )
 def reachable_requests(net) -> DataFrame:
-    return paths.reachable(net.requests.select("request_id", "start", "end"), net.edges.where("highway <> 'construction'"))
-
-
-def _pruned_source(net) -> DataFrame:
-    return net.edges.where("highway not in ('motorway', 'construction', 'trunk', 'primary', 'secondary', 'tertiary', 'residential')")
+    return paths.reachable(net.requests.select("request_id", "start", "end"), filters.walkable(net.edges, net.nodes))
 
 
-_QUIET = "src AS MATERIALIZED (SELECT * FROM edges WHERE highway NOT IN ('motorway', 'construction', 'trunk', 'primary', 'secondary', 'tertiary', 'residential'))"
+_WALKED = f"src AS MATERIALIZED (SELECT * FROM edges WHERE {_WALK} AND u NOT IN {_GATES} AND v NOT IN {_GATES})"
 _PAIRS = "nb AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT u AS a, v AS b FROM src UNION ALL SELECT v, u FROM src) WHERE a <> b)"
 
 
 @query(
-    f"""WITH RECURSIVE {_QUIET}, {_PAIRS}, s AS (SELECT 0 AS k, a, b FROM nb UNION ALL
+    f"""WITH RECURSIVE {_WALKED}, {_PAIRS}, s AS (SELECT 0 AS k, a, b FROM nb UNION ALL
     SELECT k + 1, a, b FROM (SELECT *, min(least(da, db)) OVER () AS low FROM (SELECT *, count(*) OVER (PARTITION BY a) AS da, count(*) OVER (PARTITION BY b) AS db FROM s)) WHERE low <= 1 AND da > 1 AND db > 1)
     SELECT highway, count(*) AS n FROM src JOIN (SELECT a, b FROM s WHERE k = (SELECT max(k) FROM s)) ON a = u AND b = v GROUP BY 1"""
 )
 def dead_ends_removed(net) -> DataFrame:
-    return graphs.without_dead_ends(_pruned_source(net)).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
+    return graphs.without_dead_ends(filters.walkable(net.edges, net.nodes)).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _capped_sql() -> str:
     """Three rounds, each with what is left of the number of nodes that may go."""
-    sql, left = f"WITH {_QUIET}, {_PAIRS}", "(SELECT greatest(count(DISTINCT a) // 20, 50) FROM nb)"
+    sql, left = f"WITH {_WALKED}, {_PAIRS}", "(SELECT greatest(count(DISTINCT a) // 20, 50) FROM nb)"
     for k in range(3):
         own = "nb" if not k else f"nb{k}"
         sql += f", e{k} AS MATERIALIZED (SELECT a FROM {own} WHERE a <> 0 GROUP BY a HAVING count(*) <= 1 ORDER BY a LIMIT ({left}))"
@@ -329,17 +319,17 @@ def _capped_sql() -> str:
 
 @query(_capped_sql())
 def dead_ends_removed_capped(net) -> DataFrame:
-    return graphs.without_dead_ends(_pruned_source(net), start=0, rounds=3).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
+    return graphs.without_dead_ends(filters.walkable(net.edges, net.nodes), start=0, rounds=3).groupBy("highway").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"""WITH RECURSIVE {_QUIET}, {_PAIRS}, mid AS MATERIALIZED (SELECT a AS node FROM nb GROUP BY 1 HAVING count(*) = 2), c AS MATERIALIZED (SELECT u, v, min(length) AS length FROM src WHERE u <> v GROUP BY 1, 2),
+    f"""WITH RECURSIVE {_WALKED}, {_PAIRS}, mid AS MATERIALIZED (SELECT a AS node FROM nb GROUP BY 1 HAVING count(*) = 2), c AS MATERIALIZED (SELECT u, v, min(length) AS length FROM src WHERE u <> v GROUP BY 1, 2),
     w AS (SELECT u AS a, u AS before, v AS node, length, 0 AS n FROM c WHERE u NOT IN (SELECT node FROM mid) UNION ALL
     SELECT w.a, w.node, c.v, w.length + c.length, w.n + 1 FROM w JOIN mid ON mid.node = w.node JOIN c ON c.u = w.node AND c.v <> w.before)
     SELECT a AS u, node AS v, round(length, 4) AS length, n AS n_inner FROM w WHERE node NOT IN (SELECT node FROM mid)"""
 )
 def contracted_chains(net) -> DataFrame:
-    return graphs.chains(_pruned_source(net)).select("u", "v", r("length", 4).alias("length"), F.size("inner").alias("n_inner"))
+    return graphs.chains(filters.walkable(net.edges, net.nodes)).select("u", "v", r("length", 4).alias("length"), F.size("inner").alias("n_inner"))
 
 
 @query()

@@ -47,3 +47,33 @@ def test_paths_from_parents_and_over_chains(spark):
     walks = spark.createDataFrame([(7, [1, 4, 5])], "route_id long, route array<long>")
     chained = spark.createDataFrame([(1, 4, 3.0, [2, 3]), (1, 4, 9.0, [8])], "u long, v long, length double, inner array<long>")
     assert graphs.expanded(walks, chained).first().route == [1, 2, 3, 4, 5]
+
+
+def _greedy(places, radius, start):
+    """Groups in order of ids, all nodes against all."""
+    kept, taken = {}, set()
+    for n, (x, y) in sorted(places.items()):
+        if n in taken:
+            continue
+        group = [n]
+        for m, (a, b) in sorted(places.items()):
+            if m > n and m not in taken and all((a - places[g][0]) ** 2 + (b - places[g][1]) ** 2 <= radius**2 for g in group):
+                group.append(m)
+        taken |= set(group)
+        cx, cy = (sum(places[g][i] for g in group) / len(group) for i in (0, 1))
+        best = min(group, key=lambda g: (g != start, round((places[g][0] - cx) ** 2 + (places[g][1] - cy) ** 2, 6), g))
+        kept |= dict.fromkeys(group, best)
+    return kept
+
+
+def test_groups_of_close_nodes_in_tasks_and_in_rounds(spark):
+    rows = spark.range(150).select(F.col("id").alias("node_id"), (F.abs(F.xxhash64("id", F.lit(1))) % 9000 / 100).alias("x"), (F.abs(F.xxhash64("id", F.lit(2))) % 9000 / 100).alias("y"))
+    places = {r.node_id: (r.x, r.y) for r in rows.collect()}
+    wanted = _greedy(places, 10.0, 40)
+    for most in (1000, 0):
+        found = {r.node_id: r.kept_id for r in graphs.merge_groups(rows, 10.0, 40, most).collect()}
+        assert {n: found.get(n, n) for n in places} == wanted
+
+
+def test_groups_of_no_nodes(spark):
+    assert graphs.merge_groups(spark.createDataFrame([], "node_id long, x double, y double")).count() == 0

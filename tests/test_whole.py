@@ -10,7 +10,7 @@ from strideway.sources.network import Network
 DATA = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["modifier_context_all", "canonical_preferences_all", "sampled_lines_all"])
+@pytest.mark.parametrize("name", ["modifier_context", "canonical_preferences", "sampled_lines"])
 def test_queries_take_every_edge(spark, name):
     edges = Network(spark, DATA).edges.select("u", "v", "key")
     found = __spark_entry__.queries()[name](spark, DATA).select("u", "v", "key")
@@ -22,7 +22,7 @@ def test_queries_take_every_light_in_bounds(spark):
     ends = net.edges.select(F.explode(F.array("u", "v")).alias("node_id")).distinct().join(net.nodes, "node_id")
     a, b, c, d = ends.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
     inside = {r.light_id for r in net.lights.where(F.col("x").between(a - 15, b + 15) & F.col("y").between(c - 15, d + 15)).collect()}
-    assert {r.light_id for r in queries["lights_in_bounds_all"](spark, DATA).collect()} == inside
+    assert {r.light_id for r in queries["lights_in_bounds"](spark, DATA).collect()} == inside
 
 
 def test_loops_are_asked_for_every_request(spark, monkeypatch):
