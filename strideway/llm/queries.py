@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.llm import bpe, exact_dedup, fingerprints, html_extract, language_id, minhash, packing, suffix_dedup, token_counts, warc
+from strideway.llm import alignment, bpe, decontamination, exact_dedup, fill_in_middle, fingerprints, html_extract, language_id, minhash, packing, suffix_dedup, token_counts, warc
 from strideway.llm.common import read_table, scratch
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,9 +57,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return responses.union(revisits).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.fim_digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    found = [op1_html_extract, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing, op9_minhash, op10_warc]
+    found = [op1_html_extract, op2_language_id, op3_exact_dedup, op4_suffix_dedup, op5_token_counts, op6_fingerprints, op7_bpe, op8_packing, op9_minhash, op10_warc, op11_token_alignment, op12_decontamination, op13_fill_in_middle]
     return {f.__name__: f for f in found}
 
 
-ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_suffix_dedup": suffix_dedup.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op3_exact_dedup": exact_dedup.ORACLE_SQL, "op4_suffix_dedup": suffix_dedup.ORACLE_SQL, "op12_decontamination": decontamination.ORACLE_SQL, "op13_fill_in_middle": fill_in_middle.ORACLE_SQL}
