@@ -8,12 +8,18 @@ article if the page has one, else as its nearest; without a decided neighbour, `
 
 The text is the good blocks in page order, one on a line; references are decoded, white space within a block is one
 blank. Null and empty pages have the empty text. A page that is cut off, or has unclosed tags, is read as far as it goes.
+An article is preferred only if articles hold the larger part of the long text; where they hold the smaller one they are
+teasers, and what is around them is the text. Reader comments go by their names, in articles of their own too.
+
+Pages are independent: repeated rows give repeated results, ties don't occur, and an empty table gives an empty result.
+A very long page is whole, in a task by itself. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -52,14 +58,33 @@ DROPPED_WORDS = re.compile(
     re.I,
 )
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|svg|textarea|xmp)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style|noscript|template|iframe|textarea|xmp)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<svg\b(?![^>]*/>)[^>]*+>.*?(?:</svg\s*>|\Z)"
+    r"|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
-MARKS = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?(?:false|until-found))|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+#: First parts of names of reader comments, and second parts with which such a name is a state instead.
+COMMENTS = re.compile(r"(?:^|\s)(?:comments?|commentlist|disqus|replies|respond)(?:[_-]+(?!(?:open|closed|enabled|disabled|on|off|allowed|none)(?:\s|$))[^\s_-]+)*[_-]*(?=\s|$)", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 WORDS = re.compile(r"[^\W\d_]+")
 
 
+def marks(attributes: str) -> tuple[list[str], bool]:
+    """The class, id and role of a tag, and whether it is hidden."""
+    names, hidden = [], False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            names.append(value)
+        elif name == "hidden":
+            hidden |= value.lower() not in ("false", "until-found")
+        elif name == "aria-hidden":
+            hidden |= value.lower() == "true"
+        elif name == "style":
+            hidden |= bool(NO_DISPLAY.search(value))
+    return names, hidden
+
+
 class Block(NamedTuple):
     text: str
     link_chars: int
@@ -70,7 +95,8 @@ class Block(NamedTuple):
 
 def blocks(page: str) -> Iterator[Block]:
     """The blocks of a page that have text, in order."""
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, article, dropped by more than a name
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, article, dropped with the articles within
+    open_tags: Counter[str] = Counter()
     parts: list[str] = []
     links: list[str] = []
     in_link = 0
@@ -113,29 +139,30 @@ def blocks(page: str) -> Iterator[Block]:
         if done := close():
             yield done
         in_link = 0
-        if tag in VOID_TAGS:
+        if tag in VOID_TAGS or tag == "svg" and not closing and (m[4] or m[7] or "").endswith("/"):
             continue
         if closing:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if open_tags[tag] else ():
                 if stack[k][0] == tag:
+                    open_tags.subtract(x[0] for x in stack[k:])
                     del stack[k:]
                     break
                 if stack[k][0] in ("article", "main", "body") and tag not in ("html", "body"):
                     break
         else:
-            if tag in OPEN_ENDED and stack and (stack[-1][0] == tag or stack[-1][0] == "p"):
-                stack.pop()
-            elif stack and stack[-1][0] == "p":
-                stack.pop()
+            if stack and (stack[-1][0] == "p" or tag in OPEN_ENDED and stack[-1][0] == tag):
+                open_tags[stack.pop()[0]] -= 1
             attributes = m[4] or m[7] or ""
             out, inside, hard = stack[-1][1:] if stack else (False, False, False)
             if tag in ARTICLE_TAGS and not inside:  # names of what is around it say nothing about an article
                 out = hard
-            if attributes and not hard and tag not in ("body", "html", "article", "main"):
-                hard = bool(HIDDEN.search(attributes))
-                out = out or hard or any(DROPPED_WORDS.search(x[0] or x[1] or x[2]) for x in MARKS.findall(attributes))
+            if attributes and not hard and tag not in ("body", "html", "main"):
+                names, hard = marks(attributes)
+                hard |= any(COMMENTS.search(x) for x in names)
+                out = out or hard or tag != "article" and any(DROPPED_WORDS.search(x) for x in names)
             own = tag in DROPPED_TAGS and not (tag == "header" and inside)
             stack.append((tag, out or own, (inside or tag in ARTICLE_TAGS), hard or own))
+            open_tags[tag] += 1
         heading = tag in ("h1", "h2", "h3", "h4", "h5", "h6") and not closing
         dropped, article = (stack[-1][1], stack[-1][2]) if stack else (False, False)
     if position < len(page):
@@ -162,9 +189,12 @@ def first_pass(block: Block) -> str:
 def second_pass(found: list[Block]) -> list[bool]:
     """Which blocks are main text."""
     labels = [first_pass(b) for b in found]
-    has_article = any(b.article and not b.dropped for b in found)
-    if has_article:
-        labels = [x if b.article else "bad" for x, b in zip(labels, found, strict=True)]
+    long = [0, 0]  # characters of long text around articles and in them
+    for x, b in zip(labels, found, strict=True):
+        long[b.article] += len(b.text) if x in ("good", "near", "low") else 0
+    has_article = long[1] >= long[0] and any(b.article and not b.dropped for b in found)
+    if has_article or long[0]:  # the larger part is the text
+        labels = [x if b.article == has_article else "bad" for x, b in zip(labels, found, strict=True)]
     # on a page without a good block, long ones are of a language without a list
     labels = [("bad" if "good" in labels else "good") if x == "low" else x for x in labels]
     decided = ("good", "bad")
