@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideway.functions import geo
 from strideway.functions.area import visible_reach
+from strideway.operators.nearest import NodeGrid, around
 
 EDGE = ["u", "v", "key"]
 
@@ -111,32 +112,9 @@ def snapped(points: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFr
     return points.join(best.select("light_id", *[F.col(f"best.{k}").alias(k) for k in EDGE]), "light_id")
 
 
-def nearest_nodes(points: DataFrame, keys: list[str], nodes: DataFrame, k: int = 1, reach: float = 200.0) -> DataFrame:
-    """(keys, node_id, distance, nth): the ``k`` nearest nodes of each point (lat, lon), in rings that double.
-
-    A point is settled once its k-th node is nearer than the ring's reach; only open points go to the next ring. The
-    last ring is larger than the earth.
-    """
-    order = Window.partitionBy(*keys).orderBy("distance", "node_id")
-    own = nodes.select("node_id", F.col("lat").alias("n_lat"), F.col("lon").alias("n_lon"))
-    far = geo.haversine(F.col("lat"), F.col("lon"), F.col("n_lat"), F.col("n_lon"))
-    found, open_points, metres = None, points.select(*keys, "lat", "lon"), reach
-    while True:
-        last = metres > math.pi * geo.EARTH_RADIUS
-        lat_size = metres / 111_000
-        # a node is put where points of its own parallel band look for it: longitudes are scaled by whole degrees
-        scaled = lambda lat, lon: F.floor(F.col(lon) * F.cos(F.radians(F.round(F.col(lat)))) / lat_size)
-        wide = own.withColumn("cy", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("n_lat") / lat_size) + d)))
-        wide = wide.withColumn("cx", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: scaled("n_lat", "n_lon") + d)))
-        pairs = open_points.withColumns({"cx": scaled("lat", "lon"), "cy": F.floor(F.col("lat") / lat_size)}).join(wide, ["cx", "cy"])
-        ranked = pairs.withColumn("distance", far).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= k).select(*keys, "node_id", "distance", "nth")
-        settled = ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("distance").alias("furthest")).where((F.col("n") >= k) & (F.col("furthest") <= metres * 0.9)).select(*keys)
-        part = ranked if last else ranked.join(settled, keys, "left_semi")
-        found = part if found is None else found.union(part)
-        open_points = open_points.join(settled, keys, "left_anti")
-        if last or open_points.isEmpty():
-            return found
-        metres *= 4
+def nearest_nodes(points: DataFrame, keys: list[str], nodes: DataFrame | NodeGrid, k: int = 1) -> DataFrame:
+    """(keys, node_id, distance, nth): the ``k`` nearest nodes of each point (lat, lon); see :class:`NodeGrid`."""
+    return (nodes if isinstance(nodes, NodeGrid) else NodeGrid(nodes)).nearest(points, keys, k)
 
 
 def raster_values(points: DataFrame, dem: DataFrame) -> DataFrame:
@@ -165,11 +143,9 @@ def containing_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
 
 def sector_weights(starts: DataFrame, features: DataFrame, radius: float) -> DataFrame:
     """(request_id, sector, weight): features (lat, lon, area) in reach, by 12 sectors of bearing, nearer ones more."""
-    size = radius / 111_000
-    wide = spread(features, F.col("lon"), F.col("lat"), F.col("lon"), F.col("lat"), 2 * size, 2 * size)
-    own = starts.select("request_id", "start_lat", "start_lon").withColumns({"cx": cell(F.col("start_lon"), 2 * size), "cy": cell(F.col("start_lat"), 2 * size)})
+    own = starts.select("request_id", "start_lat", "start_lon")
     args = (F.col("start_lat"), F.col("start_lon"), F.col("lat"), F.col("lon"))
-    near = own.join(wide, ["cx", "cy"]).withColumn("far", geo.haversine(*args)).where(F.col("far") <= radius)
+    near = around(own, features.select("lat", "lon", "area"), radius, ("start_lat", "start_lon")).withColumn("far", geo.haversine(*args)).where(F.col("far") <= radius)
     sector = (F.floor(geo.bearing(*args) / 30) % 12).cast("int")
     return near.select("request_id", sector.alias("sector"), (F.col("area") * (1 - F.col("far") / radius)).alias("w")).groupBy("request_id", "sector").agg(F.sum("w").alias("weight"))
 
