@@ -12,6 +12,7 @@ columns are not read, whatever their names. An empty table gives an empty result
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
@@ -37,18 +38,23 @@ TRANSFORMED = f"doc_id long, {FRAMES}, n long, form string, prefix_chars long, m
 DIGESTS = "doc_id long, n long, form string, prefix_chars long, middle_chars long, output_sha256 string, restored_sha256 string"
 
 
+@functools.cache
+def _codec() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Shared by all texts of a process: each holds buffers of its own."""
+    return zstandard.ZstdCompressor(level=LEVEL), zstandard.ZstdDecompressor()
+
+
 class Frames:
     """A text as frames: ``lines``, ``chars`` and ``bytes`` are counts before each frame, and of the whole at the end."""
 
     def __init__(self, frames: list[bytes], lines: list[int], chars: list[int], sizes: list[int]):
         self.frames, self.lines, self.chars, self.bytes = frames, lines, chars, sizes
-        self._reader = zstandard.ZstdDecompressor()
         self._held: tuple[int, bytes] = (-1, b"")
 
     @classmethod
     def of(cls, pieces: Iterable[bytes], size: int = FRAME) -> Frames:
         """Pieces of UTF-8 as frames of at most ``size`` bytes, cut after a line where one ends, else between code points."""
-        writer = zstandard.ZstdCompressor(level=LEVEL)
+        writer = _codec()[0]
         out = cls([], [0], [0], [0])
 
         def add(data: bytes) -> None:
@@ -76,7 +82,7 @@ class Frames:
 
     def read(self, k: int) -> bytes:
         if self._held[0] != k:
-            self._held = (k, self._reader.decompress(self.frames[k], max_output_size=self.bytes[k + 1] - self.bytes[k]))
+            self._held = (k, _codec()[1].decompress(self.frames[k], max_output_size=self.bytes[k + 1] - self.bytes[k]))
         return self._held[1]
 
     def cut(self, units: int) -> tuple[int, int]:
@@ -110,6 +116,7 @@ class Frames:
         return -1
 
     def row(self) -> tuple:
+        self._held = (-1, b"")
         return self.frames, self.lines, self.chars, self.bytes
 
 
