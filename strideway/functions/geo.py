@@ -210,13 +210,18 @@ def disc_ring_area(cx: Column, cy: Column, radius: float, ring: Column) -> Colum
     return F.abs(F.aggregate(F.transform(ring_edges(ring), part), F.lit(0.0), lambda s, x: s + x))
 
 
-def sample_points(line: Column, length: Column, spacing: float, least: int = 2) -> Column:
-    """Evenly spaced points of a straight line {x, y} from its first to its last point, ends included."""
-    n = F.greatest(F.lit(least), (F.floor(length / spacing) + 1).cast("int"))
-    a, b = line[0], F.element_at(line, -1)
-    share = lambda k: k / (n - 1)
-    at = lambda k: F.struct((a["x"] + (b["x"] - a["x"]) * share(k)).alias("x"), (a["y"] + (b["y"] - a["y"]) * share(k)).alias("y"))
-    return F.transform(F.sequence(F.lit(0), n - 1), at)
+def line_lengths(line: Column) -> Column:
+    """The lengths of a line's sides."""
+    return F.transform(line_edges(line), lambda e: F.hypot(e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]))
+
+
+def total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
+
+
+def running_totals(values: Column) -> Column:
+    """0, then the sum of the first value, of the first two, ... of all."""
+    return F.aggregate(values, F.array(F.lit(0.0)), lambda sums, x: F.concat(sums, F.array(F.element_at(sums, -1) + x)))
 
 
 def isovist_samples(length: Column) -> Column:

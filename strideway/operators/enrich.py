@@ -20,6 +20,8 @@ UNBOUNDED = ["noise_factor", "slope_time_cost", "raw_social_cost"]
 
 
 LINE = ["a", "b"]
+#: A line by the nodes at its ends and a hash of its vertices in either direction: equal lines are one, others aren't.
+SHAPE = [*LINE, "shape"]
 
 
 def lines(edges: DataFrame) -> DataFrame:
@@ -29,11 +31,23 @@ def lines(edges: DataFrame) -> DataFrame:
     return edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), *ends, "mx", "my").dropDuplicates(LINE)
 
 
-def _joined(edges: DataFrame, found: DataFrame, column: Column, name: str) -> DataFrame:
+def _either_way(edges: DataFrame) -> Column:
+    """An edge's line in the direction that comes first, so that both directions have the same one."""
+    line = spatial.line_of(edges)
+    return F.least(line, F.reverse(line))
+
+
+def shapes(edges: DataFrame) -> DataFrame:
+    """(a, b, shape, points): one row for each line, however many edges run along it, in either direction."""
+    rows = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), _either_way(edges).alias("points"))
+    return rows.withColumn("shape", F.xxhash64("points")).dropDuplicates(SHAPE)
+
+
+def _joined(edges: DataFrame, found: DataFrame, column: Column, name: str, keys: list[str] = LINE) -> DataFrame:
     """Edges with ``column`` from what was found for their lines."""
-    keyed = edges.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")})
-    drop = [c for c in found.columns if c not in LINE]
-    return keyed.join(found, LINE, "left").withColumn(name, column).drop(*LINE, *drop)
+    keyed = edges.withColumns({"a": F.least("u", "v"), "b": F.greatest("u", "v")} | ({"shape": F.xxhash64(_either_way(edges))} if keys == SHAPE else {}))
+    drop = [c for c in found.columns if c not in keys]
+    return keyed.join(found, keys, "left").withColumn(name, column).drop(*keys, *drop)
 
 
 def add_quietness(edges: DataFrame) -> DataFrame:
@@ -46,42 +60,53 @@ def add_green_fast(edges: DataFrame, green: DataFrame) -> DataFrame:
     return _joined(edges, found, 1 - F.coalesce("share", F.lit(0.0)), "raw_green_cost")
 
 
-def edge_samples(edges: DataFrame, keys: list[str] = EDGE) -> DataFrame:
-    """(keys, sample, mx, my): points each 20 m along a straight line, ends included."""
-    line = F.array(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")), F.struct(F.col("vx").alias("x"), F.col("vy").alias("y")))
-    metres = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
-    return edges.select(*keys, F.posexplode(geo.sample_points(line, metres, SPACING)).alias("sample", "p")).select(*keys, "sample", F.col("p.x").alias("mx"), F.col("p.y").alias("my"))
+def edge_samples(rows: DataFrame, keys: list[str], many: Callable[[Column], Column]) -> DataFrame:
+    """(keys, n, sample, mx, my): ``many(length)`` points along the line ``points`` of each row, evenly by its length, ends
+    included; of a single one, the middle. Each side of a line makes the samples that fall on it."""
+    lengths = geo.line_lengths(F.col("points"))
+    own = rows.select(*keys, geo.line_edges(F.col("points")).alias("sides"), lengths.alias("lengths")).withColumns({"sums": geo.running_totals(F.col("lengths"))})
+    own = own.withColumn("metres", F.element_at("sums", -1)).withColumn("n", F.when(F.col("metres") > 0, many(F.col("metres"))).otherwise(1).cast("int"))
+    parts = own.select(*keys, "n", "metres", F.size("sides").alias("of"), F.posexplode(F.arrays_zip("sides", "lengths", "sums")).alias("side", "p")).where("p.sides is not null")
+    step = F.when(F.col("n") > 1, F.col("metres") / (F.col("n") - 1)).otherwise(0.0)
+    # samples after the side's start up to its end; the first side has the first sample too, the last one all that are left
+    low = F.when(F.col("side") == 0, 0).when(F.col("n") == 1, 1).otherwise(F.floor(F.col("p.sums") / F.col("step")) + 1)
+    high = F.when(F.col("side") == F.col("of") - 1, F.col("n") - 1).when(F.col("n") == 1, -1).otherwise(F.least(F.floor((F.col("p.sums") + F.col("p.lengths")) / F.col("step")), F.col("n") - 1))
+    ranged = parts.withColumn("step", step).withColumns({"low": low.cast("int"), "high": high.cast("int")})
+    middle = F.col("metres") / 2
+    inside = (F.col("p.sums") <= middle) & ((middle < F.col("p.sums") + F.col("p.lengths")) | (F.col("side") == F.col("of") - 1))
+    several = ranged.where("n > 1 and low <= high").select("*", F.explode(F.sequence("low", "high")).alias("sample")).withColumn("at", F.col("sample") * F.col("step"))
+    single = ranged.where("n = 1").where(inside).withColumns({"sample": F.lit(0), "at": middle})
+    share = F.when(F.col("p.lengths") > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("at") - F.col("p.sums")) / F.col("p.lengths")))).otherwise(0.0)
+    on = lambda c: (F.col(f"p.sides.a.{c}") + (F.col(f"p.sides.b.{c}") - F.col(f"p.sides.a.{c}")) * share).alias(f"m{c}")
+    return several.unionByName(single).select(*keys, "n", "sample", on("x"), on("y"))
+
+
+def each_20_metres(metres: Column) -> Column:
+    """How many samples a line of this length gets."""
+    return F.greatest(F.lit(2), F.floor(metres / SPACING) + 1)
 
 
 def add_green_sampled(edges: DataFrame, green: DataFrame) -> DataFrame:
-    """1 less the mean green share of discs around samples of the edge."""
-    own = lines(edges)
-    shares = spatial.disc_share(edge_samples(own, LINE), [*LINE, "sample"], green, GREEN_RADIUS)
-    metres = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
-    count = F.greatest(F.lit(2), F.floor(metres / SPACING) + 1)
-    found = shares.groupBy(*LINE).agg(F.sum("share").alias("total"))
-    return _joined(edges, found, 1 - F.coalesce(F.col("total") / count, F.lit(0.0)), "raw_green_cost")
+    """1 less the mean green share of discs around samples of the edge's line."""
+    keys = [*SHAPE, "n", "sample"]
+    shares = spatial.disc_share(edge_samples(shapes(edges), SHAPE, each_20_metres), keys, green, GREEN_RADIUS)
+    found = shares.groupBy(*SHAPE).agg((F.sum("share") / F.first("n")).alias("mean"))
+    return _joined(edges, found, 1 - F.coalesce("mean", F.lit(0.0)), "raw_green_cost", SHAPE)
 
 
 def add_green_visible(edges: DataFrame, green: DataFrame, buildings: DataFrame) -> DataFrame:
     """1 less the mean share of green in what can be seen from samples each 50 m; a fixed full disc is the whole."""
-    line = F.array(F.struct(F.col("ux").alias("x"), F.col("uy").alias("y")), F.struct(F.col("vx").alias("x"), F.col("vy").alias("y")))
-    metres = F.hypot(F.col("vx") - F.col("ux"), F.col("vy") - F.col("uy"))
-    n = geo.isovist_samples(metres)
-    a, b = line[0], line[1]
-    share = lambda k: F.when(n == 1, 0.5).otherwise(k / (n - 1))
-    at = lambda k: F.struct((a["x"] + (b["x"] - a["x"]) * share(k)).alias("x"), (a["y"] + (b["y"] - a["y"]) * share(k)).alias("y"))
-    samples = lines(edges).where(metres >= 1).select(*LINE, n.alias("n"), F.posexplode(F.transform(F.sequence(F.lit(0), n - 1), at)).alias("sample", "p"))
-    samples = samples.select(*LINE, "n", "sample", F.col("p.x").alias("mx"), F.col("p.y").alias("my"))
-    keys = [*LINE, "sample"]
+    own = shapes(edges).where(geo.total(geo.line_lengths(F.col("points"))) >= 1)
+    keys = [*SHAPE, "sample"]
+    samples = edge_samples(own, SHAPE, geo.isovist_samples)
     near = spatial.candidates(samples, green.select("points"), SIGHT)
     # only where there is green at all it matters what can be seen
     seen = spatial.visible(near.select(*keys, "mx", "my").distinct(), keys, buildings, SIGHT)
     sides = spatial.relative_sides(F.col("points"), F.col("mx"), F.col("my"))
     overlaps = near.select(*keys, "n", sides.alias("sides")).join(seen.select(*keys, "reach"), keys).select(*keys, "n", visible_area("reach", "sides").alias("area"))
-    shares = overlaps.groupBy(*keys, "n").agg(F.least(F.sum("area") / (math.pi * SIGHT * SIGHT), F.lit(1.0)).alias("visible"))
-    found = shares.groupBy(*LINE).agg((F.sum("visible") / F.first("n")).alias("mean"))
-    return _joined(edges, found, 1 - F.coalesce("mean", F.lit(0.0)), "raw_green_cost")
+    covered = overlaps.groupBy(*keys, "n").agg(F.least(F.sum("area") / (math.pi * SIGHT * SIGHT), F.lit(1.0)).alias("visible"))
+    found = covered.groupBy(*SHAPE).agg((F.sum("visible") / F.first("n")).alias("mean"))
+    return _joined(edges, found, 1 - F.coalesce("mean", F.lit(0.0)), "raw_green_cost", SHAPE)
 
 
 GreenProcessor = Callable[..., DataFrame]
@@ -167,13 +192,25 @@ def matching_report(lights: DataFrame, edges: DataFrame, radius: float = 15.0) -
     return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
 
 
+def in_mercator(edges: DataFrame) -> DataFrame:
+    """Edges (with endpoints) whose line ``points`` is in spherical Mercator metres, which are longer than metres away from the equator."""
+    at = lambda lat, lon: F.struct(*[c.alias(n) for n, c in zip("xy", geo.web_mercator(lat, lon), strict=True)])
+    line = F.array(*[at(F.col(f"{e}_lat"), F.col(f"{e}_lon")) for e in "uv"])
+    if "geometry" in edges.columns:
+        line = F.when(F.size("geometry") > 1, F.transform("geometry", lambda p: at(p["lat"], p["lon"]))).otherwise(line)
+    return edges.withColumn("points", line)
+
+
 def merge_overlay(lines: DataFrame, lights: DataFrame, reach: float = 15.0) -> DataFrame:
-    """Lighting rows with the most usual values of all lamps within reach (Mercator metres); ties go to the smallest."""
+    """Lighting rows with the most usual values of all lamps (light_id, lat, lon) within ``reach`` units of spherical
+    Mercator of their line ``points``, see :func:`in_mercator`; ties go to the smallest."""
+    x, y = geo.web_mercator(F.col("lat"), F.col("lon"))
     clean = lights.select(
-        "x", "y", text.lowered_or(F.col("source"), "council").alias("c_source"), text.lowered_or(F.col("lit_tag_type"), "council_point").alias("c_type"),
+        "light_id", x.alias("x"), y.alias("y"), text.lowered_or(F.col("source"), "council").alias("c_source"), text.lowered_or(F.col("lit_tag_type"), "council_point").alias("c_type"),
         text.lowered_or(F.col("lighting_regime"), "unknown").alias("c_regime"), F.coalesce(F.nullif(F.trim("lighting_regime_text"), F.lit("")), text.lowered_or(F.col("lit_tag_type"), "council_point")).alias("c_text"),
     )
-    pairs = spatial.near_edges(clean, lines.select(*EDGE, "ux", "uy", "vx", "vy"), reach)
+    words = ["c_source", "c_type", "c_regime", "c_text"]
+    pairs = spatial.near_edges(clean, ["light_id", *words], lines.select(*EDGE, "points"), reach)
     mode = lambda c: F.mode(F.col(c), True)
     found = pairs.groupBy(*EDGE).agg(F.count(F.lit(1)).alias("m_count"), mode("c_source").alias("m_source"), mode("c_type").alias("m_type"), mode("c_regime").alias("m_regime"), mode("c_text").alias("m_text"))
     hit = F.col("m_count").isNotNull()

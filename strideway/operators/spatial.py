@@ -23,12 +23,35 @@ def cell(c: Column, size: float) -> Column:
 
 
 def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with lat, lon, x, y of both ends (u_lat, ux, ...) and the midpoint mx, my of the projected ends."""
+    """Edges with lat, lon, x, y of both ends (u_lat, ux, ...), the midpoint mx, my of the projected ends, and ``points``,
+    the projected line: of ``geometry`` (an array of {lat, lon} from u to v) where an edge has one, else straight."""
     out = edges
     for end in "uv":
         own = nodes.select(F.col("node_id").alias(end), F.col("lat").alias(f"{end}_lat"), F.col("lon").alias(f"{end}_lon"), F.col("x").alias(f"{end}x"), F.col("y").alias(f"{end}y"))
         out = out.join(own, end)
-    return out.withColumns({"mx": (F.col("ux") + F.col("vx")) / 2, "my": (F.col("uy") + F.col("vy")) / 2})
+    points = _straight()
+    if "geometry" in edges.columns:
+        points = F.when(F.size("geometry") > 1, F.transform("geometry", _projected)).otherwise(points)
+    return out.withColumns({"mx": (F.col("ux") + F.col("vx")) / 2, "my": (F.col("uy") + F.col("vy")) / 2, "points": points})
+
+
+def _straight() -> Column:
+    return F.array(*[F.struct(F.col(f"{e}x").alias("x"), F.col(f"{e}y").alias("y")) for e in "uv"])
+
+
+def _projected(p: Column) -> Column:
+    x, y = geo.utm30(p["lat"], p["lon"])
+    return F.struct(x.alias("x"), y.alias("y"))
+
+
+def line_of(edges: DataFrame) -> Column:
+    """The projected line of each edge; straight between its ends where the table has no lines."""
+    return F.col("points") if "points" in edges.columns else _straight()
+
+
+def sides(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, ax, ay, bx, by): a row for each side of each edge's line."""
+    return edges.select(*keys, F.explode(geo.line_edges(line_of(edges))).alias("e")).select(*keys, *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
 
 
 def bounds(points: str = "points") -> dict[str, Column]:
@@ -94,18 +117,20 @@ def disc_share(points: DataFrame, keys: list[str], areas: DataFrame, radius: flo
     return sides.select(*keys, part.alias("part")).groupBy(*keys).agg(F.greatest(F.least(F.sum("part") / disc, F.lit(1.0)), F.lit(0.0)).alias("share"))
 
 
-def near_edges(points: DataFrame, edges: DataFrame, radius: float, px: str = "x", py: str = "y") -> DataFrame:
-    """Pairs of points and edges (ux, uy, vx, vy) within ``radius``, with their distance."""
+def near_edges(points: DataFrame, keys: list[str], edges: DataFrame, radius: float, px: str = "x", py: str = "y") -> DataFrame:
+    """(keys, u, v, key, distance): points and the edges whose line is within ``radius``, each pair once. A row for each
+    side of a line is put in the cells around it, however long the line."""
     size = max(radius, 50.0)
-    wide = spread(edges, F.least("ux", "vx"), F.least("uy", "vy"), F.greatest("ux", "vx"), F.greatest("uy", "vy"), radius, size)
-    own = points.withColumns({"cx": cell(F.col(px), size), "cy": cell(F.col(py), size)})
-    far = geo.segment_distance(F.col(px), F.col(py), F.col("ux"), F.col("uy"), F.col("vx"), F.col("vy"))
-    return own.join(wide, ["cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= radius).drop("cx", "cy")
+    wide = spread(sides(edges, EDGE), F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), radius, size)
+    own = points.select(*keys, F.col(px).alias("px"), F.col(py).alias("py")).withColumns({"cx": cell(F.col("px"), size), "cy": cell(F.col("py"), size)})
+    far = geo.segment_distance(*(F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")))
+    near = own.join(wide, ["cx", "cy"]).withColumn("distance", far).where(F.col("distance") <= radius)
+    return near.groupBy(*keys, *EDGE).agg(F.min("distance").alias("distance"))
 
 
 def snapped(points: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFrame:
     """Each light with its nearest edge in reach; ties go to the smallest (u, v, key)."""
-    pairs = near_edges(points, edges.select(*EDGE, "ux", "uy", "vx", "vy"), radius)
+    pairs = near_edges(points, ["light_id"], edges, radius)
     # rounded, as both directions of an edge are equally far but for the last bit
     order = F.struct(F.round("distance", 6), *EDGE)
     best = pairs.groupBy("light_id").agg(F.min(order).alias("best"))

@@ -42,22 +42,35 @@ def seg(px: str, py: str, ax: str, ay: str, bx: str, by: str) -> str:
     return f"sqrt(pow({px} - {ax} - {t} * {dx}, 2) + pow({py} - {ay} - {t} * {dy}, 2))"
 
 
-def _utm() -> dict[str, str]:
+def _utm_steps(first: str, columns: str, names: tuple[str, str, str]) -> dict[str, str]:
+    """Three steps from the columns lat and lon of ``first`` to x and y."""
     e, radius, centre, (a1, a2, a3) = geo.krueger_terms()
     k = geo.SCALE * radius
     east = " + ".join(f"{a!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, a in enumerate((a1, a2, a3), 1))
     north = " + ".join(f"{a!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, a in enumerate((a1, a2, a3), 1))
+    return {
+        names[0]: f"SELECT *, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t, radians(lon + 3.0::DOUBLE) AS dl FROM {first}",
+        names[1]: f"SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(t * t + 1)) AS eta FROM {names[0]}",
+        names[2]: f"SELECT {columns}, (eta + {east}) * {k!r}::DOUBLE + {centre!r}::DOUBLE AS x, (xi + {north}) * {k!r}::DOUBLE AS y FROM {names[1]}",
+    }
+
+
+def _utm() -> dict[str, str]:
+    flags = "CASE WHEN node_id % 97 = 0 THEN 'gate' END AS barrier, CASE WHEN node_id % 194 = 0 THEN 'yes' END AS locked, CASE WHEN node_id % 291 = 0 THEN 'private' END AS access"
     return {
         "n0": f"SELECT o_orderkey AS node_id, {lat('o_orderkey')} AS lat, {lon('o_orderkey')} AS lon, o_totalprice % 100 AS elevation FROM orders",
-        "n1": f"SELECT *, sinh(atanh(sin(radians(lat))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians(lat)))) AS t, radians(lon + 3.0::DOUBLE) AS dl FROM n0",
-        "n2": "SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(t * t + 1)) AS eta FROM n1",
-        "nodes": (
-            f"SELECT node_id, lat, lon, elevation, (eta + {east}) * {k!r}::DOUBLE + {centre!r}::DOUBLE AS x, (xi + {north}) * {k!r}::DOUBLE AS y, CASE WHEN node_id % 97 = 0 THEN 'gate' END AS barrier, "
-            "CASE WHEN node_id % 194 = 0 THEN 'yes' END AS locked, CASE WHEN node_id % 291 = 0 THEN 'private' END AS access FROM n2"
-        ),
+        **_utm_steps("n0", f"node_id, lat, lon, elevation, {flags}", ("n1", "n2", "nodes")),
     }
 
 
+def _vertex(of: str, side: str) -> str:
+    f = {"lat": lat, "lon": lon}[of]
+    return f"{f('lo')} + ({f('hi')} - {f('lo')}) * k / m + {side}"
+
+
+_OFF = "CASE WHEN m = 3 AND k = 1 THEN off WHEN m = 3 AND k = 2 THEN -off ELSE 0.0::DOUBLE END"
+
+
 CTES: dict[str, str] = _utm() | {
     "g": "SELECT l_orderkey AS u, l_linenumber AS key, min(l_partkey) AS way, min(l_suppkey) AS supp, min(l_discount) AS slack, min(l_returnflag) AS flag FROM lineitem GROUP BY 1, 2",
     "g2": "SELECT *, CASE WHEN key % 2 = 1 AND u % 100 < 99 THEN u + 1 ELSE u + 100 END AS v FROM g",
@@ -73,6 +86,24 @@ CTES: dict[str, str] = _utm() | {
         "SELECT e.*, a.lat AS u_lat, a.lon AS u_lon, a.x AS ux, a.y AS uy, b.lat AS v_lat, b.lon AS v_lon, b.x AS vx, b.y AS vy, (a.x + b.x) / 2 AS mx, (a.y + b.y) / 2 AS my "
         "FROM edges e JOIN nodes a ON a.node_id = e.u JOIN nodes b ON b.node_id = e.v"
     ),
+    "verts0": (
+        f"SELECT u, v, key, CASE WHEN u < v THEN k ELSE m - k END AS k, {_vertex('lat', _OFF)} AS lat, {_vertex('lon', _OFF)} AS lon "
+        f"FROM (SELECT u, v, key, CASE WHEN way % 3 = 0 THEN 3 ELSE 1 END AS m, (way % 7 - 3) * {net.BEND!r}::DOUBLE AS off, least(u, v) AS lo, greatest(u, v) AS hi FROM edges), range(0, 4) r(k) WHERE k <= m"
+    ),
+    **_utm_steps("verts0", "u, v, key, k, lat, lon", ("verts1", "verts2", "verts")),
+    "segs": (
+        "SELECT a.u, a.v, a.key, a.k AS side, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS \"by\", a.lat AS a_lat, a.lon AS a_lon, b.lat AS b_lat, b.lon AS b_lon "
+        "FROM verts a JOIN verts b ON a.u = b.u AND a.v = b.v AND a.key = b.key AND b.k = a.k + 1"
+    ),
+    "lens": (
+        "SELECT *, sum(len) OVER (PARTITION BY u, v, key ORDER BY side) - len AS s0, sum(len) OVER (PARTITION BY u, v, key) AS metres, max(side) OVER (PARTITION BY u, v, key) AS last "
+        "FROM (SELECT *, sqrt(pow(bx - ax, 2) + pow(\"by\" - ay, 2)) AS len FROM segs)"
+    ),
+    "sampling": (
+        "SELECT *, unnest(range(CASE WHEN side = 0 THEN 0 ELSE floor(s0 / step)::BIGINT + 1 END, CASE WHEN side = last THEN n ELSE least(floor((s0 + len) / step)::BIGINT, n - 1) + 1 END)) AS i_ "
+        "FROM (SELECT *, metres / (n - 1) AS step FROM (SELECT *, greatest(2, floor(metres / 20) + 1)::BIGINT AS n FROM lens))"
+    ),
+    "samples": "SELECT u, v, key, i_, n, ax + (bx - ax) * (i_ * step - s0) / len AS mx, ay + (\"by\" - ay) * (i_ * step - s0) / len AS my FROM sampling",
     "size": "SELECT count(*) AS n FROM orders",
     "shapes": (
         "SELECT p_partkey AS geom_id, CASE WHEN p_type LIKE 'ECONOMY%' OR p_type LIKE 'STANDARD%' THEN 'green' WHEN p_type LIKE 'LARGE%' THEN 'water' WHEN p_type LIKE 'PROMO%' THEN 'water_line' "
@@ -86,7 +117,7 @@ CTES: dict[str, str] = _utm() | {
     ),
     "pois": "SELECT c_custkey AS poi_id, n.x + (c_nationkey - 12) * 2 AS x, n.y AS y, lower(c_mktsegment) AS amenity FROM customer, size JOIN nodes n ON n.node_id = c_custkey * 11 % size.n",
     "lights": (
-        "SELECT event_id AS light_id, n.x AS x, n.y + value % 30 AS y, event_type AS source, CASE event_type WHEN 'view' THEN 'part_night' WHEN 'click' THEN 'all_night' END AS regime, "
+        "SELECT event_id AS light_id, n.lat AS lat, n.lon AS lon, n.x AS x, n.y + value % 30 AS y, event_type AS source, CASE event_type WHEN 'view' THEN 'part_night' WHEN 'click' THEN 'all_night' END AS regime, "
         "CASE WHEN event_type <> 'purchase' THEN event_type || '_point' END AS type, CASE event_type WHEN 'view' THEN 'Sunset - 0000' WHEN 'click' THEN '24 hours' WHEN 'signup' THEN 'solar unit' WHEN 'purchase' THEN '0500-2300' END AS words "
         "FROM events, size JOIN nodes n ON n.node_id = event_id * 13 % size.n"
     ),

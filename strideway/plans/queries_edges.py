@@ -51,11 +51,12 @@ def water(net) -> DataFrame:
     return enrich.add_water(placed(net), build.layers_of(net).water).select(*EDGE, r("raw_water_cost").alias("raw_water_cost"))
 
 
-_NEAR_POIS = """SELECT e.u, e.v, e.key, count(*) AS n FROM geo_edges e JOIN (SELECT *, unnest([-1, 0, 1]) AS i FROM (SELECT *, unnest([-1, 0, 1]) AS j FROM pois)) p
-ON floor(mx / 50) = floor(p.x / 50) + i AND floor(my / 50) = floor(p.y / 50) + j WHERE sqrt(pow(p.x - mx, 2) + pow(p.y - my, 2)) <= 50 GROUP BY 1, 2, 3"""
+_NEAR_POIS = """pc AS MATERIALIZED (SELECT x, y, floor(x / 50)::BIGINT + i AS cx, floor(y / 50)::BIGINT + j AS cy FROM (SELECT *, unnest([-1, 0, 1]) AS i FROM (SELECT *, unnest([-1, 0, 1]) AS j FROM pois))),
+    ec AS MATERIALIZED (SELECT u, v, key, mx, my, floor(mx / 50)::BIGINT AS cx, floor(my / 50)::BIGINT AS cy FROM geo_edges),
+    c AS (SELECT u, v, key, count(*) AS n FROM ec JOIN pc USING (cx, cy) WHERE sqrt(pow(x - mx, 2) + pow(y - my, 2)) <= 50 GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH c AS ({_NEAR_POIS}) SELECT e.u, e.v, e.key, round(length / greatest(0.1::DOUBLE, coalesce(n, 0)), 4) AS raw_social_cost FROM edges e LEFT JOIN c USING (u, v, key)")
+@query(f"WITH {_NEAR_POIS} SELECT e.u, e.v, e.key, round(length / greatest(0.1::DOUBLE, coalesce(n, 0)), 4) AS raw_social_cost FROM edges e LEFT JOIN c USING (u, v, key)")
 def social(net) -> DataFrame:
     return enrich.add_social(placed(net), net.pois).select(*EDGE, r("raw_social_cost", 4).alias("raw_social_cost"))
 
@@ -78,8 +79,7 @@ def green_fast(net) -> DataFrame:
     return enrich.green_processor("fast")(placed(net), build.layers_of(net).green).select(*EDGE, r("raw_green_cost", 4).alias("raw_green_cost"))
 
 
-_SAMPLED = f"""m AS (SELECT u, v, key, ux, uy, vx, vy, greatest(2, floor(sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) / 20) + 1)::BIGINT AS n FROM geo_edges), i AS (SELECT *, unnest(range(0, n)) AS i_ FROM m),
-    samples AS (SELECT u, v, key, i_, n, ux + (vx - ux) * i_ / (n - 1) AS mx, uy + (vy - uy) * i_ / (n - 1) AS my FROM i), {_disc(50.0, 'samples', 'u, v, key, i_, n')}, t AS (SELECT u, v, key, sum(share) / any_value(n) AS share FROM shares GROUP BY 1, 2, 3)"""
+_SAMPLED = f"""samples_ AS MATERIALIZED (SELECT * FROM samples), {_disc(50.0, 'samples_', 'u, v, key, i_, n')}, t AS (SELECT u, v, key, sum(share) / any_value(n) AS share FROM shares GROUP BY 1, 2, 3)"""
 
 
 @query(f"WITH {_SAMPLED} SELECT e.u, e.v, e.key, round(1 - coalesce(share, 0), 4) AS raw_green_cost FROM edges e LEFT JOIN t USING (u, v, key)")
@@ -93,7 +93,7 @@ def green_visible(net) -> DataFrame:
     return enrich.green_processor("novack")(placed(net), layers.green, layers.buildings).select(*EDGE, r("raw_green_cost", 4).alias("raw_green_cost"))
 
 
-_SNAP = f"SELECT light_id, u, v, key, round({seg('l.x', 'l.y', 'ux', 'uy', 'vx', 'vy')}, 6) AS d FROM lights l JOIN geo_edges e ON l.x BETWEEN least(ux, vx) - 15 AND greatest(ux, vx) + 15 AND l.y BETWEEN least(uy, vy) - 15 AND greatest(uy, vy) + 15 WHERE {seg('l.x', 'l.y', 'ux', 'uy', 'vx', 'vy')} <= 15"
+_SNAP = f"SELECT light_id, u, v, key, round(min({seg('l.x', 'l.y', 'ax', 'ay', 'bx', '\"by\"')}), 6) AS d FROM lights l JOIN segs s ON l.x BETWEEN least(ax, bx) - 15 AND greatest(ax, bx) + 15 AND l.y BETWEEN least(ay, \"by\") - 15 AND greatest(ay, \"by\") + 15 WHERE {seg('l.x', 'l.y', 'ax', 'ay', 'bx', '\"by\"')} <= 15 GROUP BY 1, 2, 3, 4"
 
 
 @query(f"WITH p AS ({_SNAP}), b AS (SELECT light_id, min((d, u, v, key)) AS b FROM p GROUP BY 1) SELECT light_id, b[2] AS u, b[3] AS v, b[4] AS key FROM b")
@@ -119,14 +119,18 @@ def street_light_report(net) -> DataFrame:
 
 
 @query(
-    f"""WITH c AS (SELECT x, y, source, coalesce(type, 'n/a') AS type, CASE source WHEN 'view' THEN 'part-night' WHEN 'click' THEN 'all night' WHEN 'signup' THEN 'none' ELSE 'unknown' END AS regime, coalesce(words, coalesce(type, 'n/a')) AS words FROM lights),
-    p AS (SELECT u, v, key, c.* FROM c JOIN geo_edges e ON c.x BETWEEN least(ux, vx) - 15 AND greatest(ux, vx) + 15 AND c.y BETWEEN least(uy, vy) - 15 AND greatest(uy, vy) + 15 WHERE {seg('c.x', 'c.y', 'ux', 'uy', 'vx', 'vy')} <= 15),
+    f"""WITH c AS (SELECT light_id, lat, lon, source, coalesce(type, 'n/a') AS type, CASE source WHEN 'view' THEN 'part-night' WHEN 'click' THEN 'all night' WHEN 'signup' THEN 'none' ELSE 'unknown' END AS regime, coalesce(words, coalesce(type, 'n/a')) AS words FROM lights),
+    l AS MATERIALIZED (SELECT *, radians(lon) * 6378137.0::DOUBLE AS mx, ln(tan(radians(lat + (light_id % 20) * 0.00001::DOUBLE) / 2 + pi() / 4)) * 6378137.0::DOUBLE AS my FROM c),
+    mg AS MATERIALIZED (SELECT u, v, key, radians(a_lon) * 6378137.0::DOUBLE AS ax, ln(tan(radians(a_lat) / 2 + pi() / 4)) * 6378137.0::DOUBLE AS ay, radians(b_lon) * 6378137.0::DOUBLE AS bx, ln(tan(radians(b_lat) / 2 + pi() / 4)) * 6378137.0::DOUBLE AS b_y FROM segs),
+    p AS (SELECT u, v, key, light_id, any_value(source) AS source FROM l JOIN mg ON mx BETWEEN least(ax, bx) - 15 AND greatest(ax, bx) + 15 AND my BETWEEN least(ay, b_y) - 15 AND greatest(ay, b_y) + 15 WHERE {seg('mx', 'my', 'ax', 'ay', 'bx', 'b_y')} <= 15 GROUP BY 1, 2, 3, 4),
     s AS (SELECT u, v, key, source, count(*) AS n FROM p GROUP BY ALL), m AS (SELECT u, v, key, arg_min(source, (-n, source)) AS source, sum(n)::BIGINT AS n FROM s GROUP BY 1, 2, 3)
     SELECT e.u, e.v, e.key, CASE WHEN n IS NOT NULL THEN 'lit' WHEN lit = 'yes' THEN 'lit' WHEN lit = 'no' THEN 'unlit' ELSE 'unknown' END AS lit_status, coalesce(source, 'osm') AS lit_source_detail, coalesce(n, 0) AS council_match_count FROM edges e LEFT JOIN m USING (u, v, key)"""
 )
 def council_overlay(net) -> DataFrame:
-    lines = tables.way_lighting_table(net.edges).join(placed(net).select(*EDGE, "ux", "uy", "vx", "vy"), EDGE)
-    return enrich.merge_overlay(lines, net.lights).select(*EDGE, "lit_status", "lit_source_detail", "council_match_count")
+    """Lamps stand up to 34 units of spherical Mercator, or 21 metres, north of a node."""
+    lines = tables.way_lighting_table(net.edges).join(enrich.in_mercator(placed(net)).select(*EDGE, "points"), EDGE)
+    lights = net.lights.withColumn("lat", F.col("lat") + F.col("light_id") % 20 * 0.00001)
+    return enrich.merge_overlay(lines, lights).select(*EDGE, "lit_status", "lit_source_detail", "council_match_count")
 
 
 _DEM = "dem AS (SELECT floor(lat * 3600) AS a, floor(lon * 3600) AS b, max(elevation) AS value FROM nodes GROUP BY 1, 2), hts AS (SELECT n.node_id, d.value FROM nodes n JOIN dem d ON floor(n.lat * 3600) = a AND floor(n.lon * 3600) = b)"
@@ -391,7 +395,7 @@ def _norm(c: str, invert: bool = False) -> str:
 
 
 @query(
-    f"""WITH {_SAMPLED}, w AS ({_WATER}), c AS ({_NEAR_POIS}), {_DEM}, k AS (SELECT e.u, e.v, e.key, 1 - coalesce(t.share, 0) AS g, least(1.0::DOUBLE, coalesce(w.d / 250, 1.0::DOUBLE)) AS w, length / greatest(0.1::DOUBLE, coalesce(c.n, 0)) AS s,
+    f"""WITH {_SAMPLED}, w AS ({_WATER}), {_NEAR_POIS}, {_DEM}, k AS (SELECT e.u, e.v, e.key, 1 - coalesce(t.share, 0) AS g, least(1.0::DOUBLE, coalesce(w.d / 250, 1.0::DOUBLE)) AS w, length / greatest(0.1::DOUBLE, coalesce(c.n, 0)) AS s,
     {_NOISE} AS q, {_SLOPE.format(g='((hb.value - ha.value) / length)')} AS e FROM edges e LEFT JOIN t USING (u, v, key) LEFT JOIN w USING (u, v, key) LEFT JOIN c USING (u, v, key) LEFT JOIN hts ha ON ha.node_id = e.u LEFT JOIN hts hb ON hb.node_id = e.v
     WHERE {_WALK} AND e.u NOT IN {_GATES} AND e.v NOT IN {_GATES}) SELECT u, v, key, """
     + ", ".join(f"{_norm(c, i)} AS {n}" for n, c, i in _NORMS) + " FROM k"

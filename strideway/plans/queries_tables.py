@@ -227,8 +227,7 @@ def grid_to_degrees(net) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT u, v, key, sqrt(pow(vx - ux, 2) + pow(vy - uy, 2)) AS m, ux, uy, vx, vy FROM geo_edges), n AS (SELECT *, greatest(2, floor(m / 20) + 1)::BIGINT AS n FROM s), p AS (SELECT *, unnest(range(0, n)) AS i FROM n)
-    SELECT u, v, key, count(*) AS n, round(sum(sqrt(pow(ux + (vx - ux) * i / (n - 1) - ux, 2) + pow(uy + (vy - uy) * i / (n - 1) - uy, 2))), 3) AS reach FROM p GROUP BY 1, 2, 3"""
+    """SELECT s.u, s.v, s.key, count(*) AS n, round(sum(sqrt(pow(s.mx - ux, 2) + pow(s.my - uy, 2))), 3) AS reach FROM samples s JOIN geo_edges e ON s.u = e.u AND s.v = e.v AND s.key = e.key GROUP BY 1, 2, 3"""
 )
 def sampled_lines(net) -> DataFrame:
     return _sampled(net, net.edges, ["u", "v", "key"])
@@ -238,7 +237,7 @@ def _sampled(net, edges: DataFrame, keys: list[str]) -> DataFrame:
     from strideway.operators import enrich
 
     edges = spatial.with_endpoints(edges, net.nodes)
-    rows = enrich.edge_samples(edges).join(edges.select("u", "v", "key", "ux", "uy"), ["u", "v", "key"])
+    rows = enrich.edge_samples(edges, keys, enrich.each_20_metres).join(edges.select(*keys, "ux", "uy"), keys)
     return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), r(F.sum(F.hypot(F.col("mx") - F.col("ux"), F.col("my") - F.col("uy"))), 3).alias("reach"))
 
 

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from strideway.functions import geo
 
 COLUMNS, LAT0, LON0, LAT_STEP, LON_STEP = 100, 51.40, -2.65, 0.0005, 0.0008
+#: Degrees that the bends of lines are off, times -3 to 3.
+BEND = 0.00002
 HIGHWAYS = ["motorway", "trunk", "primary", "secondary", "tertiary", "residential", "service", "footway", "path", "cycleway", "pedestrian", "track", "steps", "living_street", "unclassified", "construction"]
 SURFACES = ["asphalt", "gravel", "dirt", None, "paving_stones"]
 FOOT = ["yes", "designated", "no", None, None, "permissive"]
@@ -34,6 +36,13 @@ def place(node: Column) -> tuple[Column, Column]:
     return F.floor(node / COLUMNS) * LAT_STEP + LAT0, node % COLUMNS * LON_STEP + LON0
 
 
+def _bent(u: Column, v: Column, way: Column) -> Column:
+    """The line of every third way's edges in degrees, with a bend to either side; the others are straight (null)."""
+    (lat1, lon1), (lat2, lon2), off = place(u), place(v), (way % 7 - 3) * BEND
+    at = lambda k, side: F.struct((lat1 + (lat2 - lat1) * k / 3 + off * side).alias("lat"), (lon1 + (lon2 - lon1) * k / 3 + off * side).alias("lon"))
+    return F.when(way % 3 == 0, F.array(at(0, 0), at(1, 1), at(2, -1), at(3, 0)))
+
+
 class Network:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
@@ -72,15 +81,16 @@ class Network:
             F.when(F.col("flag") == "A", "yes").when(F.col("flag") == "R", "no").alias("lit"), pick(SURFACES, way % 5).alias("surface"), pick(FOOT, (way + key) % 6).alias("foot"),
             F.when(F.col("supp") % 11 == 0, "private").alias("access"), F.concat(F.lit("W"), (way % 40).cast("string")).alias("name"), pick(["driveway", "alley", None], way % 3).alias("service"),
             F.when(way % 13 == 0, "public_footpath").alias("designation"), F.when(way % 101 == 0, "yes").alias("area"), pick(BICYCLE, (way + key * 2) % 4).alias("bicycle"),
-            pick(SIDEWALK, way % 7).alias("sidewalk"), pick(REGIMES, way % 9).alias("lighting_regime"), way.alias("way"),
+            pick(SIDEWALK, way % 7).alias("sidewalk"), pick(REGIMES, way % 9).alias("lighting_regime"), way.alias("way"), _bent(F.col("u"), F.col("v"), way).alias("geometry"),
         )
 
     @cached_property
     def edges(self) -> DataFrame:
         """Both directions of each edge."""
-        turned = F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v"))))
-        rest = [c for c in self.base_edges.columns if c not in ("u", "v")]
-        return self.base_edges.select(turned.alias("uv"), *rest).select("uv.u", "uv.v", *rest)
+        turned = F.explode(F.array(F.struct("u", "v", F.lit(False).alias("back")), F.struct(F.col("v").alias("u"), F.col("u").alias("v"), F.lit(True).alias("back"))))
+        rest = [c for c in self.base_edges.columns if c not in ("u", "v", "geometry")]
+        line = F.when(F.col("uv.back"), F.reverse("geometry")).otherwise(F.col("geometry")).alias("geometry")
+        return self.base_edges.select(turned.alias("uv"), *rest, "geometry").select("uv.u", "uv.v", *rest, line)
 
     def _at_node(self, rows: DataFrame, node: Column) -> DataFrame:
         """``rows`` with the coordinates of a node."""
