@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -25,3 +26,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Rounds:
+    """A table that grows by a delta in each round, with a column ``open`` of rows that the next round goes on with.
+
+    Each delta is a folder of its own, and a round's rows are counted as they are written.
+    """
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.path, self.many, self.schema = spark, scratch(spark, name), 0, None
+
+    def add(self, rows: DataFrame) -> int:
+        """Write a round's rows; returns how many of them are open."""
+        counted = Observation()
+        rows.observe(counted, F.count_if("open").alias("n")).write.parquet(f"{self.path}/round={self.many}")
+        self.schema = self.schema or rows.schema
+        self.many += 1
+        return counted.get["n"]
+
+    def last(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/round={self.many - 1}")
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(*[f"{self.path}/round={k}" for k in range(self.many)])

@@ -11,7 +11,7 @@ from strideway.functions import cost, text
 from strideway.operators import filters, graphs, loops, paths, routes, spatial
 from strideway.operators.materialise import written
 from strideway.plans.net_sql import bearing, hav
-from strideway.plans.queries_edges import _GATES, _WALK, scored
+from strideway.plans.queries_edges import _GATES, _LENGTH, _WALK, scored
 
 QUERIES: dict[str, tuple[Callable, str | None]] = {}
 
@@ -218,7 +218,7 @@ def nearest_node(net) -> DataFrame:
 
 @query()
 def paths_by_length(net) -> DataFrame:
-    return paths.least_length_paths(net.requests, net.edges).select("request_id", "route", r("cost", 4).alias("metres"))
+    return paths.least_length_paths(net.requests, net.edges, net.nodes).select("request_id", "route", r("cost", 4).alias("metres"))
 
 
 _METRES = f"""WITH RECURSIVE st AS MATERIALIZED (SELECT u, v, min(length) AS c FROM edges GROUP BY 1, 2),
@@ -233,32 +233,70 @@ _METRES = f"""WITH RECURSIVE st AS MATERIALIZED (SELECT u, v, min(length) AS c F
 @query(_METRES)
 def path_metres(net) -> DataFrame:
     """Lengths only, as equally long paths may differ; the SQL follows paths up to three times the distance."""
-    return paths.least_length_paths(net.requests, net.edges).select("request_id", r("cost", 4).alias("metres"))
+    return paths.least_lengths(net.requests, net.edges, net.nodes).select("request_id", r("cost", 4).alias("metres"))
 
 
-@query()
-def paths_by_scenario(net) -> DataFrame:
-    """The baseline, extremist and balanced path of each request."""
+def _by_weights(net, wanted: DataFrame, keep: list) -> tuple:
+    """Requests with weights from their sliders, the edges, and the cost of an edge for a request."""
     edges = scored(net)
     low, high = edges.where("length > 0").agg(F.min("length"), F.max("length")).first()
-    wanted = paths.scenarios(net.requests.withColumn("distance", F.coalesce("distance", F.lit(3.0))))
     weights = cost.slider_weights({k: F.col(k) for k in cost.FEATURES})
-    label = F.concat_ws(":", F.col("request_id").cast("string"), "scenario")
-    asked = written(wanted.select(label.alias("request_id"), "start", "end", *[w.alias(k) for k, w in weights.items()]), "asked")
+    asked = written(wanted.select(*keep, "start", "end", *[w.alias(k) for k, w in weights.items()]), "asked")
     step = lambda: cost.edge_cost(F.lit(low), F.lit(high), {k: F.col(k) for k in cost.FEATURES})
-    found = paths.shortest_paths(asked, written(edges.select("u", "v", "key", "length", *cost.NORMS.values()), "edges"), step)
-    return found.select(F.split("request_id", ":")[0].cast("long").alias("request_id"), F.split("request_id", ":")[1].alias("scenario"), "route", r("cost").alias("cost"))
+    return asked, written(edges.select("u", "v", "length", *cost.NORMS.values()), "edges"), step
+
+
+def _scenarios(net) -> tuple:
+    wanted = paths.scenarios(net.requests.withColumn("distance", F.coalesce("distance", F.lit(3.0))))
+    return _by_weights(net, wanted, [F.concat_ws(":", F.col("request_id").cast("string"), "scenario").alias("request_id")])
+
+
+def _unlabelled(found: DataFrame) -> DataFrame:
+    parts = F.split("request_id", ":")
+    return found.withColumns({"scenario": parts[1], "request_id": parts[0].cast("long")})
+
+
+def _cheapest(asked: str, step: str, edges: str = "SELECT * FROM scored, range_l") -> str:
+    """SQL of the least cost of each row (id, s, e, ...) of ``asked`` over edges with a cost; what can't beat the best known way goes."""
+    return f"""WITH RECURSIVE st AS MATERIALIZED ({edges}), r AS MATERIALIZED ({asked}),
+    t(id, node, g) USING KEY (id, node) AS (
+      SELECT id, s, 0.0::DOUBLE FROM r UNION
+      SELECT n.id, n.v, n.g FROM (SELECT t.id, any_value(r.e) AS e, st.v, min(t.g + {step}) AS g FROM t JOIN st ON st.u = t.node JOIN r ON r.id = t.id GROUP BY t.id, st.v) n
+      LEFT JOIN recurring.t o ON o.id = n.id AND o.node = n.v LEFT JOIN recurring.t b ON b.id = n.id AND b.node = n.e WHERE (o.g IS NULL OR n.g < o.g - 1e-12) AND (b.g IS NULL OR n.g < b.g)
+    ) SELECT r.*, round(g, 6) AS cost FROM t JOIN r ON r.id = t.id AND node = e"""
+
+
+_STEP = f"r.d * {_LENGTH} + r.g_ * norm_green + r.w * norm_water + r.c * norm_social + r.q * coalesce(norm_quiet, 0.5::DOUBLE) + abs(r.h) * CASE WHEN r.h >= 0 THEN norm_slope ELSE 1 - norm_slope END"
+_SHARES = "d / z AS d, g / z AS g_, w / z AS w, c / z AS c, q / z AS q, h / z AS h FROM (SELECT *, d + g + w + c + q + abs(h) AS z FROM"
+_SLIDERS = "SELECT request_id, s, e, greatest(0.1::DOUBLE, coalesce(distance, 3.0::DOUBLE)) AS d, greenness AS g, water AS w, social AS c, quietness AS q, slope AS h FROM requests"
+_TOP = "CASE WHEN g >= greatest(w, q, c, h) OR greatest(g, w, q, c, h) <= 0 THEN 'g' WHEN w >= greatest(q, c, h) THEN 'w' WHEN q >= greatest(c, h) THEN 'q' WHEN c >= h THEN 'c' ELSE 'h' END"
+_SCENARIOS = (
+    f"SELECT request_id, s, e, scenario, CASE scenario WHEN 'baseline' THEN 1.0::DOUBLE WHEN 'extremist' THEN 0.1::DOUBLE ELSE d END AS d, "
+    + ", ".join(f"CASE scenario WHEN 'baseline' THEN 0.0::DOUBLE WHEN 'extremist' THEN CASE WHEN top = '{c}' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ELSE {c} END AS {c}" for c in "gwcqh")
+    + f" FROM (SELECT *, {_TOP} AS top FROM ({_SLIDERS})), (SELECT unnest(['baseline', 'extremist', 'balanced']) AS scenario)"
+)
+
+
+@query(f"SELECT request_id, scenario, cost FROM ({_cheapest(f'SELECT request_id || scenario AS id, request_id, scenario, s, e, {_SHARES} ({_SCENARIOS}))', _STEP)})")
+def path_costs_by_scenario(net) -> DataFrame:
+    """What the baseline, extremist and balanced path of each request costs; equally dear paths may differ."""
+    return _unlabelled(paths.least_costs(*_scenarios(net))).select("request_id", "scenario", r("cost").alias("cost"))
+
+
+@query()
+def paths_by_scenario(net) -> DataFrame:
+    """The baseline, extremist and balanced path of each request."""
+    return _unlabelled(paths.shortest_paths(*_scenarios(net))).select("request_id", "scenario", "route", r("cost").alias("cost"))
+
+
+@query(f"SELECT request_id, cost FROM ({_cheapest(f'SELECT request_id AS id, request_id, s, e, {_SHARES} ({_SLIDERS}))', _STEP)})")
+def path_costs_by_preference(net) -> DataFrame:
+    return paths.least_costs(*_by_weights(net, net.requests, ["request_id"])).select("request_id", r("cost").alias("cost"))
 
 
 @query()
 def paths_by_preference(net) -> DataFrame:
-    edges = scored(net)
-    low, high = edges.where("length > 0").agg(F.min("length"), F.max("length")).first()
-    weights = cost.slider_weights({k: F.col(k) for k in cost.FEATURES})
-    asked = net.requests.select("request_id", "start", "end", *[w.alias(k) for k, w in weights.items()])
-    keep = ["u", "v", "key", "length", *cost.NORMS.values()]
-    step = lambda: cost.edge_cost(F.lit(low), F.lit(high), {k: F.col(k) for k in cost.FEATURES})
-    return paths.shortest_paths(asked, written(edges.select(keep), "edges"), step).select("request_id", "route", r("cost").alias("cost"))
+    return paths.shortest_paths(*_by_weights(net, net.requests, ["request_id"])).select("request_id", "route", r("cost").alias("cost"))
 
 
 @query(
