@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strideway.plans import queries_edges, queries_routes, queries_tables
+from strideway.plans import queries_builds, queries_edges, queries_routes, queries_tables
 from strideway.plans.net_sql import with_ctes
 from strideway.sources.network import Network
 
-MODULES = (queries_tables, queries_edges, queries_routes)
+MODULES = (queries_tables, queries_edges, queries_routes, queries_builds)
 
 
 def _runner(function: Callable[[Network], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
