@@ -163,14 +163,38 @@ def line_edges(line: Column) -> Column:
     return F.slice(ring_edges(line), F.lit(1), F.greatest(F.size(line) - 1, F.lit(0)))
 
 
-def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
-    """Whether a point is inside a ring, by counting crossings."""
+def area_sides(rings: Column, closed: Column) -> Column:
+    """The sides {a, b} of all rings {hole, points} of an area in a row: those of its parts go anticlockwise, those of its
+    holes clockwise, whatever way their points go, so that sums over sides count holes off. Of an open line, its sides."""
+
+    def turned(ring: Column) -> Column:
+        sides = F.when(closed, ring_edges(ring["points"])).otherwise(line_edges(ring["points"]))
+        wrong = closed & ((signed_ring_area(ring["points"]) > 0) == F.coalesce(ring["hole"], F.lit(False)))
+        return F.when(wrong, F.transform(sides, lambda e: F.struct(e["b"].alias("a"), e["a"].alias("b")))).otherwise(sides)
+
+    return F.flatten(F.transform(rings, turned))
+
+
+def inside_sides(px: Column, py: Column, sides: Column) -> Column:
+    """Whether a point is inside an area, by counting crossings with the sides of all its rings."""
 
     def crosses(e: Column) -> Column:
         a, b = e["a"], e["b"]
         return ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / (b["y"] - a["y"]) + a["x"])
 
-    return F.size(F.filter(ring_edges(ring), crosses)) % 2 == 1
+    return F.size(F.filter(sides, crosses)) % 2 == 1
+
+
+def sides_area(sides: Column) -> Column:
+    """The area of an area of :func:`area_sides`, without its holes."""
+    x0, y0 = sides[0]["a"]["x"], sides[0]["a"]["y"]
+    cross = lambda e: (e["a"]["x"] - x0) * (e["b"]["y"] - y0) - (e["b"]["x"] - x0) * (e["a"]["y"] - y0)
+    return total(F.transform(sides, cross)) / 2
+
+
+def point_in_ring(px: Column, py: Column, ring: Column) -> Column:
+    """Whether a point is inside a ring."""
+    return inside_sides(px, py, ring_edges(ring))
 
 
 def signed_ring_area(ring: Column) -> Column:

@@ -99,10 +99,10 @@ def add_green_visible(edges: DataFrame, green: DataFrame, buildings: DataFrame)
     own = shapes(edges).where(geo.total(geo.line_lengths(F.col("points"))) >= 1)
     keys = [*SHAPE, "sample"]
     samples = edge_samples(own, SHAPE, geo.isovist_samples)
-    near = spatial.candidates(samples, green.select("points"), SIGHT)
+    near = spatial.candidates(samples, spatial.outlined(green).select("outline"), SIGHT)
     # only where there is green at all it matters what can be seen
     seen = spatial.visible(near.select(*keys, "mx", "my").distinct(), keys, buildings, SIGHT)
-    sides = spatial.relative_sides(F.col("points"), F.col("mx"), F.col("my"))
+    sides = spatial.relative_sides(F.col("outline"), F.col("mx"), F.col("my"))
     overlaps = near.select(*keys, "n", sides.alias("sides")).join(seen.select(*keys, "reach"), keys).select(*keys, "n", visible_area("reach", "sides").alias("area"))
     covered = overlaps.groupBy(*keys, "n").agg(F.least(F.sum("area") / (math.pi * SIGHT * SIGHT), F.lit(1.0)).alias("visible"))
     found = covered.groupBy(*SHAPE).agg((F.sum("visible") / F.first("n")).alias("mean"))

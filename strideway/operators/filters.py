@@ -62,7 +62,7 @@ def crop(nodes: DataFrame, edges: DataFrame, lat: float, lon: float, kilometres:
     return inside, edges.join(ids.withColumnRenamed("node_id", "u"), "u", "left_semi").join(ids.withColumnRenamed("node_id", "v"), "v", "left_semi")
 
 
-def loop_accepted(kind: Column, distance: Column, target: Column, tolerance: float = 0.2) -> Column:
+def loop_accepted(kind: Column, distance: Column, target: Column, tolerance: float = 0.3) -> Column:
     """Polygons may be 5 % short and 15 % long; out-and-back walks off by a tolerance; none below a kilometre."""
     off = (distance - target) / target
     return (distance >= 1000) & F.when(kind == "out-and-back", F.abs(off) <= tolerance).otherwise(off.between(-0.05, 0.15))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strideway.functions import geo
+from strideway.functions import cost, geo
 
 
 def steps(routes: DataFrame) -> DataFrame:
@@ -38,10 +38,19 @@ def totals(stepped: DataFrame) -> DataFrame:
     return stepped.groupBy("route_id").agg(F.count("length").alias("n_edges"), F.sum("length").alias("length"), F.sum("cost").alias("cost"), F.avg("norm_water").alias("mean_water"))
 
 
-def travel_minutes(stepped: DataFrame, speed_kmh: float, air_m: Column | None = None) -> DataFrame:
-    """(route_id, minutes): each step at the speed, slowed by its slope; a route without edges by its distance."""
-    minutes = F.sum(F.col("length") / (speed_kmh * 1000 / 60) * F.coalesce("slope_time_cost", F.lit(1.0)))
-    return stepped.groupBy("route_id").agg(F.coalesce(minutes, F.lit(0.0)).alias("minutes"))
+def travel_minutes(stepped: DataFrame, speed_kmh: float, distances: DataFrame | None = None, activity: str = "walking") -> DataFrame:
+    """(route_id, minutes): each step at the speed, slowed by its slope: by its gradients where it has any, else by its
+    ``slope_time_cost``. Routes of ``distances`` (route_id, distance) without a step that takes time need their distance's time."""
+    per_minute = speed_kmh * 1000 / 60
+    slope = F.coalesce("slope_time_cost", F.lit(1.0)) if "slope_time_cost" in stepped.columns else F.lit(1.0)
+    if "uphill_gradient" in stepped.columns:
+        known = F.col("uphill_gradient").isNotNull() | F.col("downhill_gradient").isNotNull()
+        slope = F.when(known, cost.tobler(F.coalesce("uphill_gradient", F.lit(0.0)) - F.coalesce("downhill_gradient", F.lit(0.0)), activity)).otherwise(slope)
+    walked = stepped.groupBy("route_id").agg(F.coalesce(F.sum(F.when(F.col("length") > 0, F.col("length") / per_minute * slope)), F.lit(0.0)).alias("minutes"))
+    if distances is None:
+        return walked
+    by_distance = F.greatest(F.col("distance") / per_minute, F.lit(0.0))
+    return distances.join(walked, "route_id", "left").select("route_id", F.when(F.col("minutes") > 0, F.col("minutes")).otherwise(F.coalesce(by_distance, F.lit(0.0))).alias("minutes"))
 
 
 def located(routes: DataFrame, nodes: DataFrame) -> DataFrame:

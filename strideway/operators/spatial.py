@@ -54,9 +54,18 @@ def sides(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.select(*keys, F.explode(geo.line_edges(line_of(edges))).alias("e")).select(*keys, *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
 
 
-def bounds(points: str = "points") -> dict[str, Column]:
-    xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])
-    return {"low_x": F.array_min(xs), "high_x": F.array_max(xs), "low_y": F.array_min(ys), "high_y": F.array_max(ys)}
+def outlined(areas: DataFrame) -> DataFrame:
+    """Areas with ``outline``, the sides of all their rings, see :func:`geo.area_sides`. An area has ``rings`` (an array of
+    {hole, points}), or ``points`` of a single ring; with ``closed`` false it is a line."""
+    rings = F.array(F.struct(F.lit(False).alias("hole"), F.col("points").alias("points"))) if "points" in areas.columns else None
+    if "rings" in areas.columns:
+        rings = F.col("rings") if rings is None else F.coalesce("rings", rings)
+    return areas.withColumn("outline", geo.area_sides(rings, F.col("closed") if "closed" in areas.columns else F.lit(True)))
+
+
+def bounds(outline: str = "outline") -> dict[str, Column]:
+    ends = lambda c: F.flatten(F.transform(outline, lambda e: F.array(e["a"][c], e["b"][c])))
+    return {"low_x": F.array_min(ends("x")), "high_x": F.array_max(ends("x")), "low_y": F.array_min(ends("y")), "high_y": F.array_max(ends("y"))}
 
 
 def spread(rows: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y: Column, reach: float, size: float) -> DataFrame:
@@ -67,7 +76,7 @@ def spread(rows: DataFrame, low_x: Column, low_y: Column, high_x: Column, high_y
 
 
 def candidates(points: DataFrame, geometries: DataFrame, radius: float, size: float | None = None, x: str = "mx", y: str = "my") -> DataFrame:
-    """Pairs of points and geometries whose boxes are within ``radius``; each pair once."""
+    """Pairs of points and outlined geometries whose boxes are within ``radius``; each pair once."""
     size = size or max(radius, 1.0)
     box = bounds()
     wide = spread(geometries.withColumns(box), *(F.col(c) for c in ("low_x", "low_y", "high_x", "high_y")), radius, size)
@@ -84,13 +93,14 @@ def nearest_within(points: DataFrame, keys: list[str], geometries: DataFrame, ra
     """
     own = points.select(*keys, "mx", "my")
     size = radius + 10.0
-    sides = geometries.select("margin", F.explode(F.when(F.col("closed"), geo.ring_edges(F.col("points"))).otherwise(geo.line_edges(F.col("points")))).alias("e"))
+    geometries = outlined(geometries)
+    sides = geometries.select("margin", F.explode("outline").alias("e"))
     sides = sides.select("margin", *[F.col(f"e.{p}.{c}").alias(f"{p}{c}") for p in "ab" for c in "xy"])
     wide = spread(sides, F.least("ax", "bx"), F.least("ay", "by"), F.greatest("ax", "bx"), F.greatest("ay", "by"), size, size)
     pairs = own.withColumns({"cx": cell(F.col("mx"), size), "cy": cell(F.col("my"), size)}).join(wide, ["cx", "cy"])
     far = geo.segment_distance(*(F.col(c) for c in ("mx", "my", "ax", "ay", "bx", "by")))
     near = pairs.select(*keys, F.greatest(far - F.col("margin"), F.lit(0.0)).alias("distance")).where(F.col("distance") <= radius)
-    inside = candidates(own, geometries.where("closed").select("points"), 0.0, size).where(geo.point_in_ring(F.col("mx"), F.col("my"), F.col("points")))
+    inside = candidates(own, geometries.where("closed").select("outline"), 0.0, size).where(geo.inside_sides(F.col("mx"), F.col("my"), F.col("outline")))
     return near.unionByName(inside.select(*keys, F.lit(0.0).alias("distance"))).groupBy(*keys).agg(F.min("distance").alias("distance"))
 
 
@@ -105,14 +115,12 @@ def count_within(points: DataFrame, keys: list[str], others: DataFrame, radius:
 def disc_share(points: DataFrame, keys: list[str], areas: DataFrame, radius: float) -> DataFrame:
     """(keys, share): the part of each point's disc that areas cover, overlaps counted up to the whole disc.
 
-    Rings are turned one way round first, so that the signed parts of all sides of all areas add up in one aggregation of
-    plain column arithmetic.
+    Parts go one way round and holes the other, so that the signed parts of all sides of all areas add up in one
+    aggregation of plain column arithmetic.
     """
-    ring = geo.ring_edges(F.col("points"))
-    turn = F.signum(geo.signed_ring_area(F.col("points")))
-    pairs = candidates(points.select(*keys, "mx", "my"), areas.select("points", ring.alias("ring"), turn.alias("turn")), radius)
-    sides = pairs.select(*keys, "mx", "my", "turn", F.explode("ring").alias("e"))
-    part = F.col("turn") * geo.disc_side_area(F.col("mx"), F.col("my"), radius, *(F.col(f"e.{p}.{c}") for p in "ab" for c in "xy"))
+    pairs = candidates(points.select(*keys, "mx", "my"), outlined(areas).select("outline"), radius)
+    sides = pairs.select(*keys, "mx", "my", F.explode("outline").alias("e"))
+    part = geo.disc_side_area(F.col("mx"), F.col("my"), radius, *(F.col(f"e.{p}.{c}") for p in "ab" for c in "xy"))
     disc = math.pi * radius * radius
     return sides.select(*keys, part.alias("part")).groupBy(*keys).agg(F.greatest(F.least(F.sum("part") / disc, F.lit(1.0)), F.lit(0.0)).alias("share"))
 
@@ -153,14 +161,15 @@ def raster_values(points: DataFrame, dem: DataFrame) -> DataFrame:
 def containing_region(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """(box_id, region): the smallest region around the whole box, else the smallest around its centre, else null.
 
-    ``regions`` (id, ring) are a catalogue; each is compared with the boxes of the degree cells that it meets.
+    ``regions`` (id, and ring or rings) are a catalogue; each is compared with the boxes of the degree cells that it meets.
     """
-    wide = spread(regions.withColumnRenamed("ring", "points").withColumns(bounds()), F.col("low_x"), F.col("low_y"), F.col("high_x"), F.col("high_y"), 0.0, 1.0)
+    own = outlined(regions.withColumnRenamed("ring", "points") if "ring" in regions.columns else regions)
+    wide = spread(own.withColumns(bounds()), F.col("low_x"), F.col("low_y"), F.col("high_x"), F.col("high_y"), 0.0, 1.0)
     x, y = (F.col("min_lon") + F.col("max_lon")) / 2, (F.col("min_lat") + F.col("max_lat")) / 2
     pairs = boxes.withColumns({"x": x, "y": y, "cx": cell(x, 1.0), "cy": cell(y, 1.0)}).join(wide, ["cx", "cy"])
-    inside = lambda a, b: geo.point_in_ring(a, b, F.col("points"))
+    inside = lambda a, b: geo.inside_sides(a, b, F.col("outline"))
     whole = inside(F.col("min_lon"), F.col("min_lat")) & inside(F.col("min_lon"), F.col("max_lat")) & inside(F.col("max_lon"), F.col("min_lat")) & inside(F.col("max_lon"), F.col("max_lat"))
-    pairs = pairs.withColumns({"whole": whole, "centre": inside(F.col("x"), F.col("y")), "area": geo.ring_area(F.col("points"))})
+    pairs = pairs.withColumns({"whole": whole, "centre": inside(F.col("x"), F.col("y")), "area": geo.sides_area(F.col("outline"))})
     least = lambda c: F.min(F.when(c, F.struct("area", "id")))
     best = pairs.groupBy("box_id").agg(F.coalesce(least(F.col("whole")), least(F.col("centre"))).alias("best"))
     return boxes.select("box_id").join(best.select("box_id", F.col("best.id").alias("region")), "box_id", "left")
@@ -175,14 +184,14 @@ def sector_weights(starts: DataFrame, features: DataFrame, radius: float) -> Dat
     return near.select("request_id", sector.alias("sector"), (F.col("area") * (1 - F.col("far") / radius)).alias("w")).groupBy("request_id", "sector").agg(F.sum("w").alias("weight"))
 
 
-def relative_sides(points: Column, x: Column, y: Column) -> Column:
-    """A ring's sides as numbers in a row: ax, ay, bx, by of each, relative to (x, y)."""
+def relative_sides(outline: Column, x: Column, y: Column) -> Column:
+    """An area's sides as numbers in a row: ax, ay, bx, by of each, relative to (x, y)."""
     side = lambda e: F.array(e["a"]["x"] - x, e["a"]["y"] - y, e["b"]["x"] - x, e["b"]["y"] - y)
-    return F.flatten(F.transform(geo.ring_edges(points), side))
+    return F.flatten(F.transform(outline, side))
 
 
 def visible(samples: DataFrame, keys: list[str], buildings: DataFrame, radius: float = 100.0) -> DataFrame:
     """(keys, mx, my, reach): how far 72 rays from each point go until they meet a building, at most ``radius``."""
-    walls = candidates(samples.select(*keys, "mx", "my"), buildings.select("points"), radius)
-    near = walls.groupBy(*keys).agg(F.flatten(F.collect_list(relative_sides(F.col("points"), F.col("mx"), F.col("my")))).alias("sides"))
+    walls = candidates(samples.select(*keys, "mx", "my"), outlined(buildings).select("outline"), radius)
+    near = walls.groupBy(*keys).agg(F.flatten(F.collect_list(relative_sides(F.col("outline"), F.col("mx"), F.col("my")))).alias("sides"))
     return samples.join(near, keys, "left").select(*keys, "mx", "my", visible_reach("sides", F.lit(radius)).alias("reach"))

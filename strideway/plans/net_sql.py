@@ -110,10 +110,18 @@ CTES: dict[str, str] = _utm() | {
         "WHEN p_type LIKE 'MEDIUM%' OR p_type LIKE 'SMALL%' THEN 'building' END AS kind, p_size * 3 + 5 AS radius, n.x AS nx, n.y AS ny, n.lat AS nlat, n.lon AS nlon, "
         "CASE WHEN p_type LIKE 'PROMO%' THEN 2 ELSE p_partkey % 5 + 4 END AS corners FROM part, size JOIN nodes n ON n.node_id = p_partkey * 7 % size.n"
     ),
-    "sides": (
-        "SELECT geom_id, kind, k, nx + radius * cos(k * (2 * pi()) / corners) AS ax, ny + radius * sin(k * (2 * pi()) / corners) AS ay, "
-        "nx + radius * cos(((k + 1) % corners) * (2 * pi()) / corners) AS bx, ny + radius * sin(((k + 1) % corners) * (2 * pi()) / corners) AS \"by\", nx, ny, radius "
-        "FROM shapes, range(0, 8) r(k) WHERE k < corners AND NOT (kind = 'water_line' AND k = 1)"
+    "rings": (
+        "SELECT *, 0 AS ring, radius AS r, nx AS cx FROM shapes UNION ALL "
+        f"SELECT *, 1, radius * {net.HOLE[0]}::DOUBLE, nx FROM shapes WHERE geom_id % 3 = 0 AND kind <> 'water_line' UNION ALL "
+        f"SELECT *, 2, radius * {net.PART[0]}::DOUBLE, nx + radius * {net.PART[1]}::DOUBLE FROM shapes WHERE geom_id % 5 = 0 AND kind <> 'water_line'"
+    ),
+    "sides0": (
+        "SELECT geom_id, kind, ring, k, cx + r * cos(k * (2 * pi()) / corners) AS px, ny + r * sin(k * (2 * pi()) / corners) AS py, "
+        "cx + r * cos(((k + 1) % corners) * (2 * pi()) / corners) AS qx, ny + r * sin(((k + 1) % corners) * (2 * pi()) / corners) AS qy, nx, ny, radius "
+        "FROM rings, range(0, 8) r(k) WHERE k < corners AND NOT (kind = 'water_line' AND k = 1)"
+    ),
+    "sides": (  # holes go the other way
+        "SELECT geom_id, kind, k, CASE WHEN ring = 1 THEN qx ELSE px END AS ax, CASE WHEN ring = 1 THEN qy ELSE py END AS ay, CASE WHEN ring = 1 THEN px ELSE qx END AS bx, CASE WHEN ring = 1 THEN py ELSE qy END AS \"by\", nx, ny, radius FROM sides0"
     ),
     "pois": "SELECT c_custkey AS poi_id, n.x + (c_nationkey - 12) * 2 AS x, n.y AS y, lower(c_mktsegment) AS amenity FROM customer, size JOIN nodes n ON n.node_id = c_custkey * 11 % size.n",
     "lights": (

@@ -43,7 +43,7 @@ def quietness(net) -> DataFrame:
 
 _INSIDE = "SELECT geom_id, u, v, key, count(*) FILTER ((ay > my) <> (\"by\" > my) AND mx < (bx - ax) * (my - ay) / (\"by\" - ay) + ax) % 2 = 1 AND any_value(kind) <> 'water_line' AS inside"
 _WATER = f"""SELECT p.u, p.v, p.key, min(d) AS d FROM ({_INSIDE}, greatest(min({seg('mx', 'my', 'ax', 'ay', 'bx', '"by"')}) - CASE WHEN any_value(kind) = 'water_line' THEN 10 ELSE 0 END, 0) AS far,
-CASE WHEN inside THEN 0 ELSE far END AS d FROM geo_edges e JOIN sides s ON kind IN ('water', 'water_line') AND abs(s.nx - e.mx) < 420 AND abs(s.ny - e.my) < 420 GROUP BY geom_id, u, v, key) p GROUP BY 1, 2, 3"""
+CASE WHEN inside THEN 0 ELSE far END AS d FROM geo_edges e JOIN sides s ON kind IN ('water', 'water_line') AND abs(s.nx - e.mx) < 590 AND abs(s.ny - e.my) < 420 GROUP BY geom_id, u, v, key) p GROUP BY 1, 2, 3"""
 
 
 @query(f"WITH w AS ({_WATER}) SELECT e.u, e.v, e.key, round(least(1.0::DOUBLE, coalesce(d / 250, 1.0::DOUBLE)), 6) AS raw_water_cost FROM edges e LEFT JOIN w USING (u, v, key)")
@@ -66,7 +66,7 @@ def _disc(radius: float, points: str, keys: str) -> str:
     r2 = radius * radius
     sector = lambda ux, uy, vx, vy: f"({r2 / 2}::DOUBLE * atan2({ux} * {vy} - {uy} * {vx}, {ux} * {vx} + {uy} * {vy}))"
     return (
-        f"j AS (SELECT {keys}, geom_id, ax - mx AS ax, ay - my AS ay, bx - mx AS bx, \"by\" - my AS b_y, bx - ax AS dx, \"by\" - ay AS dy FROM {points} p JOIN sides s ON kind = 'green' AND abs(s.nx - p.mx) < {radius + 160} AND abs(s.ny - p.my) < {radius + 160}), "
+        f"j AS (SELECT {keys}, geom_id, ax - mx AS ax, ay - my AS ay, bx - mx AS bx, \"by\" - my AS b_y, bx - ax AS dx, \"by\" - ay AS dy FROM {points} p JOIN sides s ON kind = 'green' AND abs(s.nx - p.mx) < {radius + 330} AND abs(s.ny - p.my) < {radius + 160}), "
         f"q AS (SELECT *, dx * dx + dy * dy AS sq, ax * dx + ay * dy AS al, al * al - sq * (ax * ax + ay * ay - {r2}::DOUBLE) AS root, greatest(0::DOUBLE, least(1::DOUBLE, (-al - sqrt(greatest(root, 0))) / sq)) AS t1, greatest(0::DOUBLE, least(1::DOUBLE, (sqrt(greatest(root, 0)) - al) / sq)) AS t2, "
         f"ax + t1 * dx AS px, ay + t1 * dy AS py, ax + t2 * dx AS qx, ay + t2 * dy AS qy FROM j), "
         f"areas AS (SELECT {keys}, geom_id, abs(sum(CASE WHEN root <= 0 OR t1 >= t2 THEN {sector('ax', 'ay', 'bx', 'b_y')} ELSE {sector('ax', 'ay', 'px', 'py')} + (px * qy - py * qx) / 2 + {sector('qx', 'qy', 'bx', 'b_y')} END)) AS area FROM q GROUP BY ALL), "

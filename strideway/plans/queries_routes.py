@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strideway.functions import cost, text
+from strideway.functions import cost, geo, text
 from strideway.operators import filters, graphs, loops, paths, routes, spatial
 from strideway.operators.materialise import written
 from strideway.plans.net_sql import bearing, hav
@@ -43,10 +43,20 @@ def route_totals(net) -> DataFrame:
     return out.select("route_id", "n_edges", r("length", 4).alias("length"), r("cost", 4).alias("cost"), r("mean_water").alias("mean_water"))
 
 
-@query("SELECT route_id, round(coalesce(sum(length / (5000 / 60.0::DOUBLE) * coalesce(CASE WHEN way % 2 = 0 THEN 1.2::DOUBLE END, 1)), 0), 6) AS minutes FROM walked GROUP BY 1")
+_AIR = hav("arg_min(lat, pos)", "arg_min(lon, pos)", "arg_max(lat, pos)", "arg_max(lon, pos)")
+
+
+@query(
+    f"""WITH m AS (SELECT route_id, sum(CASE WHEN length > 0 AND pos > 2 THEN length / (5000 / 60.0::DOUBLE) * CASE WHEN way % 2 = 0 THEN 1.2::DOUBLE ELSE 1 END END) AS t FROM walked GROUP BY 1), a AS (SELECT route_id, {_AIR} AS air FROM places GROUP BY 1)
+    SELECT route_id, round(CASE WHEN t > 0 THEN t ELSE coalesce(air, 0) / (5000 / 60.0::DOUBLE) END, 6) AS minutes FROM walks LEFT JOIN m USING (route_id) LEFT JOIN a USING (route_id)"""
+)
 def route_minutes(net) -> DataFrame:
-    slope = F.when(F.col("way") % 2 == 0, 1.2)
-    return routes.travel_minutes(stepped(net).withColumn("slope_time_cost", slope), 5.0).select("route_id", r("minutes").alias("minutes"))
+    """The way in, up to the third step, takes no time; what is left without a step counts by its distance."""
+    rows = stepped(net).where("pos > 2").withColumn("slope_time_cost", F.when(F.col("way") % 2 == 0, 1.2))
+    ends = routes.located(net.walks, net.nodes).groupBy("route_id").agg(*[f(c, "pos").alias(f"{n}_{c}") for n, f in (("a", F.min_by), ("b", F.max_by)) for c in ("lat", "lon")])
+    air = geo.haversine(*(F.col(c) for c in ("a_lat", "a_lon", "b_lat", "b_lon")))
+    distances = net.walks.select("route_id").join(ends, "route_id", "left").select("route_id", air.alias("distance"))
+    return routes.travel_minutes(rows, 5.0, distances).select("route_id", r("minutes").alias("minutes"))
 
 
 @query("SELECT route_id, pos::INTEGER AS pos, round(sum(length) OVER (PARTITION BY route_id ORDER BY pos), 4) AS walked FROM walked")
@@ -392,8 +402,6 @@ def loops_geometric(net) -> DataFrame:
 @query()
 def loops_random_walk(net) -> DataFrame:
     placed = spatial.with_endpoints(net.edges, net.nodes)
-    from strideway.functions import geo
-
     course = geo.bearing(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
     edges = written(placed.select("u", "v", "length", (F.col("way") % 101 / 100.0).alias("cost"), course.alias("course")), "edges")
     asked = net.requests.select("request_id", "start", F.lit(800.0).alias("target_m"), (F.col("request_id") * 40 % 360).cast("double").alias("bearing"))

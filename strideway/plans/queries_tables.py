@@ -40,13 +40,13 @@ def scan_network_box(net) -> DataFrame:
 
 FEATURES = """WITH f AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 23 = 0 THEN NULL ELSE ['Polygon', 'MultiPolygon', 'LineString', 'Point'][p_partkey % 4 + 1] END AS geom_type,
 ['grass', 'forest', 'reservoir', NULL, NULL, 'residential', 'meadow'][p_partkey % 7 + 1] AS landuse, ['wood', NULL, 'water', NULL, 'scrub', 'wetland', NULL, NULL, 'cliff'][p_partkey % 9 + 1] AS nat,
-['park', NULL, NULL, 'garden', NULL, 'pitch', NULL, NULL][p_partkey % 8 + 1] AS leisure, CASE WHEN p_partkey % 10 = 0 THEN 'river' WHEN p_partkey % 10 = 5 THEN 'drain' END AS waterway,
+['park', NULL, NULL, 'garden', NULL, 'pitch', NULL, NULL][p_partkey % 8 + 1] AS leisure, CASE WHEN p_partkey % 10 = 0 THEN 'river' WHEN p_partkey % 10 = 5 THEN 'drain' WHEN p_partkey % 10 = 3 THEN 'weir' END AS waterway,
 ['cafe', NULL, NULL, 'bench', NULL, 'pub'][p_partkey % 6 + 1] AS amenity, p_partkey % 11 = 0 AS shop, [NULL, NULL, 'museum', NULL, 'hotel'][p_partkey % 5 + 1] AS tourism, p_partkey % 14 = 0 AS castle FROM part) """
 _GREEN = "(coalesce(landuse IN ('grass', 'forest', 'meadow'), false) OR coalesce(nat IN ('wood', 'scrub'), false) OR coalesce(leisure IN ('park', 'garden'), false))"
 _WATER = "(coalesce(nat IN ('water', 'wetland'), false) OR coalesce(landuse = 'reservoir', false) OR waterway IS NOT NULL)"
 
 
-@query(FEATURES + f"SELECT CASE WHEN {_WATER} THEN 'water' WHEN {_GREEN} THEN 'green' ELSE 'poi' END AS feature_group, count(*) AS n, sum(k)::BIGINT AS ids FROM f WHERE geom_type IS NOT NULL AND ({_WATER} OR {_GREEN} OR amenity IS NOT NULL OR shop OR tourism IS NOT NULL) GROUP BY 1")
+@query(FEATURES + f"SELECT CASE WHEN {_WATER} THEN 'water' WHEN {_GREEN} THEN 'green' ELSE 'poi' END AS feature_group, count(*) AS n, sum(k)::BIGINT AS ids FROM f WHERE geom_type IS NOT NULL AND ({_WATER} AND coalesce(waterway, '') <> 'weir' OR coalesce(nat IN ('water', 'wetland'), false) OR coalesce(landuse = 'reservoir', false) OR {_GREEN} OR amenity IS NOT NULL OR shop OR tourism IS NOT NULL) GROUP BY 1")
 def scan_feature_groups(net) -> DataFrame:
     return tables.grouped_features(net.features).groupBy("feature_group").agg(F.count(F.lit(1)).alias("n"), F.sum("geom_id").alias("ids"))
 
@@ -91,20 +91,29 @@ def council_feeds_combined(net) -> DataFrame:
     return tables.combined_lights(north.dropDuplicates(["lat", "lon", "lighting_regime"]).withColumn("lit", F.col("lighting_regime")), south).groupBy("source", "lighting_regime").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _hole(a: str, b: str) -> str:
+    """Whether a point is in the hole of a region."""
+    return f"({a} > x + 0.4::DOUBLE * w AND {a} < x + 0.6::DOUBLE * w AND {b} > y + 0.4::DOUBLE * w AND {b} < y + 0.6::DOUBLE * w)"
+
+
 @query(
     """WITH c AS (SELECT r_regionkey AS id, -2.66::DOUBLE + 0.02 * r_regionkey AS x, 51.39::DOUBLE AS y, 0.05::DOUBLE + 0.01 * r_regionkey AS w FROM region),
     b AS (SELECT s_suppkey AS box_id, n.lat AS y1, n.lon AS x1, n.lat + 0.004::DOUBLE AS y2, n.lon + 0.004::DOUBLE AS x2 FROM supplier, size JOIN nodes n ON n.node_id = s_suppkey * 149 % size.n)
-    SELECT b.box_id, coalesce(arg_min(id, (w, id)) FILTER (x1 > x AND x2 < x + w AND y1 > y AND y2 < y + w), arg_min(id, (w, id)) FILTER ((x1 + x2) / 2 > x AND (x1 + x2) / 2 < x + w AND (y1 + y2) / 2 > y AND (y1 + y2) / 2 < y + w)) AS region FROM b, c GROUP BY 1"""
+    SELECT b.box_id, coalesce(arg_min(id, (w, id)) FILTER (x1 > x AND x2 < x + w AND y1 > y AND y2 < y + w AND NOT (h(x1, y1, x, y, w) OR h(x2, y1, x, y, w) OR h(x1, y2, x, y, w) OR h(x2, y2, x, y, w))),
+    arg_min(id, (w, id)) FILTER ((x1 + x2) / 2 > x AND (x1 + x2) / 2 < x + w AND (y1 + y2) / 2 > y AND (y1 + y2) / 2 < y + w AND NOT h((x1 + x2) / 2, (y1 + y2) / 2, x, y, w))) AS region FROM b, c GROUP BY 1""".replace(
+        "NOT (h(x1, y1, x, y, w) OR h(x2, y1, x, y, w) OR h(x1, y2, x, y, w) OR h(x2, y2, x, y, w))", "NOT (" + " OR ".join(_hole(a, b) for a in ("x1", "x2") for b in ("y1", "y2")) + ")"
+    ).replace("h((x1 + x2) / 2, (y1 + y2) / 2, x, y, w)", _hole("(x1 + x2) / 2", "(y1 + y2) / 2"))
 )
 def smallest_region(net) -> DataFrame:
+    """Regions are squares with a square hole."""
     key = F.col("r_regionkey")
     x, w = key * 0.02 - 2.66, key * 0.01 + 0.05
     corner = lambda dx, dy: F.array(x + w * dx, w * dy + 51.39)
-    feature = F.struct(F.struct(key.alias("id"), F.concat(F.lit("/"), "r_name").alias("url")).alias("properties"), F.struct(F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("coordinates")).alias("geometry"))
+    feature = F.struct(F.struct(key.alias("id"), F.concat(F.lit("/"), "r_name").alias("url")).alias("properties"), F.struct(F.array(*[F.array(*[corner(x, y) for x, y in ((a, a), (b, a), (b, b), (a, b))]) for a, b in ((0.0, 1.0), (0.4, 0.6))]).alias("coordinates")).alias("geometry"))
     path = scratch(net.spark, "catalogue")
     net.table("region").select(F.array(feature).alias("features")).write.json(path)
-    schema = "features array<struct<properties: struct<id: long, url: string>, geometry: struct<coordinates: array<array<double>>>>>"
-    regions = tables.region_catalogue(net.spark.read.schema(schema).json(path)).select("id", "ring")
+    schema = "features array<struct<properties: struct<id: long, url: string>, geometry: struct<coordinates: array<array<array<double>>>>>>"
+    regions = tables.region_catalogue(net.spark.read.schema(schema).json(path)).select("id", "rings")
     start = net.requests.join(net.nodes, F.col("start") == F.col("node_id"))
     boxes = start.select(F.col("request_id").alias("box_id"), F.col("lat").alias("min_lat"), F.col("lon").alias("min_lon"), (F.col("lat") + 0.004).alias("max_lat"), (F.col("lon") + 0.004).alias("max_lon"))
     return spatial.containing_region(boxes, regions)
@@ -243,8 +252,8 @@ def _sampled(net, edges: DataFrame, keys: list[str]) -> DataFrame:
 
 @query("SELECT geom_id, round(abs(sum((ax - nx) * (\"by\" - ny) - (bx - nx) * (ay - ny))) / 2, 2) AS area FROM sides WHERE kind = 'green' GROUP BY 1")
 def polygon_areas(net) -> DataFrame:
-    points = F.transform("points", lambda p: F.struct((p["x"] - F.col("points")[0]["x"]).alias("x"), (p["y"] - F.col("points")[0]["y"]).alias("y")))
-    return net.polygons.where("kind = 'green'").select("geom_id", r(geo.ring_area(points), 2).alias("area"))
+    areas = spatial.outlined(net.polygons.where("kind = 'green'"))
+    return areas.select("geom_id", r(geo.sides_area(F.col("outline")), 2).alias("area"))
 
 
 _WALK = """NOT (highway IN ('motorway', 'construction') OR coalesce(area = 'yes', false)) AND NOT (highway IN ('cycleway', 'trunk') AND NOT (coalesce(foot IN ('yes', 'designated', 'permissive'), false) OR coalesce(designation = 'public_footpath', false)))

@@ -24,6 +24,8 @@ BICYCLE = ["designated", "yes", None, "no"]
 SIDEWALK = ["both", "no", None, "right", None, "none", "separate"]
 REGIMES = [None, "Dusk to dawn", "Part night", None, "switch off at midnight", "solar", None, "24/7", None]
 KINDS = {"ECONOMY": "green", "STANDARD": "green", "LARGE": "water", "MEDIUM": "building", "SMALL": "building", "PROMO": "water_line"}
+#: A hole's and a second part's size and shift to the east, in radii of an area.
+HOLE, PART = (0.4, 0.0), (0.5, 1.6)
 EDGE_KEY = ["u", "v", "key"]
 
 
@@ -99,7 +101,7 @@ class Network:
 
     @cached_property
     def polygons(self) -> DataFrame:
-        """geom_id, kind (green, water, water_line, building), closed, points"""
+        """geom_id, kind (green, water, water_line, building), closed, rings: every third area has a hole, every fifth a part beside it; points: the first ring"""
         size = (F.col("p_partkey") % 5 + 4).cast("int")
         kind = F.lit(None).cast("string")
         for word, name in KINDS.items():
@@ -108,11 +110,16 @@ class Network:
         radius = F.col("p_size") * 3 + 5
         corners = F.when(F.col("kind") == "water_line", 2).otherwise(size)
         turn = lambda k: k * (2 * math.pi) / corners
-        at = lambda k: F.struct((F.col("nx") + radius * F.cos(turn(k))).alias("x"), (F.col("ny") + radius * F.sin(turn(k))).alias("y"))
-        return rows.select(
-            F.col("p_partkey").alias("geom_id"), "kind", (F.col("kind") != "water_line").alias("closed"), F.transform(F.sequence(F.lit(0), corners - 1), at).alias("points"),
-            F.col("nlat").alias("lat"), F.col("nlon").alias("lon"),
-        )
+
+        def ring(scale: float, shift: float) -> Column:
+            """The corners at ``scale`` times the radius, ``shift`` times the radius to the east."""
+            at = lambda k: F.struct((F.col("nx") + radius * shift + radius * scale * F.cos(turn(k))).alias("x"), (F.col("ny") + radius * scale * F.sin(turn(k))).alias("y"))
+            return F.transform(F.sequence(F.lit(0), corners - 1), at)
+
+        closed, k = F.col("kind") != "water_line", F.col("p_partkey")
+        made = lambda when, hole, *at: F.when(when, F.struct(F.lit(hole).alias("hole"), ring(*at).alias("points")))
+        rings = F.array_compact(F.array(made(F.lit(True), False, 1.0, 0.0), made(closed & (k % 3 == 0), True, *HOLE), made(closed & (k % 5 == 0), False, *PART)))
+        return rows.select(F.col("p_partkey").alias("geom_id"), "kind", closed.alias("closed"), rings[0]["points"].alias("points"), rings.alias("rings"), F.col("nlat").alias("lat"), F.col("nlon").alias("lon"))
 
     @cached_property
     def features(self) -> DataFrame:
@@ -121,7 +128,7 @@ class Network:
         return self.table("part").select(
             k.alias("geom_id"), F.when(k % 23 == 0, None).otherwise(pick(["Polygon", "MultiPolygon", "LineString", "Point"], k % 4)).alias("geom_type"),
             pick(["grass", "forest", "reservoir", None, None, "residential", "meadow"], k % 7).alias("landuse"), pick(["wood", None, "water", None, "scrub", "wetland", None, None, "cliff"], k % 9).alias("natural"),
-            pick(["park", None, None, "garden", None, "pitch", None, None], k % 8).alias("leisure"), F.when(k % 10 == 0, "river").when(k % 10 == 5, "drain").alias("waterway"),
+            pick(["park", None, None, "garden", None, "pitch", None, None], k % 8).alias("leisure"), F.when(k % 10 == 0, "river").when(k % 10 == 5, "drain").when(k % 10 == 3, "weir").alias("waterway"),
             pick(["cafe", None, None, "bench", None, "pub"], k % 6).alias("amenity"), F.when(k % 11 == 0, "bakery").alias("shop"), pick([None, None, "museum", None, "hotel"], k % 5).alias("tourism"),
             F.when(k % 14 == 0, "castle").alias("historic"),
         )

@@ -16,7 +16,7 @@ POIS = {
     "historic": ["castle", "monument", "memorial", "ruins", "archaeological_site", "church", "manor", "fort"],
     "amenity": ["cafe", "restaurant", "pub", "bar", "theatre", "cinema", "arts_centre", "library"],
 }
-LAMP_ALIASES = {"lat": ["latitude", "lat", "y"], "lon": ["longitude", "lon", "long", "x"], "lit": ["lit"], "source": ["source", "council"], "regime": ["lighting_regime", "burning hours", "regime"]}
+LAMP_ALIASES = {"lat": ["latitude", "lat", "y"], "lon": ["longitude", "lon", "long", "x"], "lit": ["lit"], "east": ["easting", "eastings"], "north": ["northing", "northings"], "source": ["source", "council"], "regime": ["lighting_regime", "burning hours", "regime"]}
 #: Half a river's width in metres: lines are that much nearer.
 RIVER_HALF_WIDTH = 10.0
 
@@ -42,7 +42,8 @@ def grouped_features(features: DataFrame) -> DataFrame:
     poi = F.col("amenity").isNotNull() | F.col("shop").isNotNull() | F.col("tourism").isNotNull()
     water = has_any({k: v for k, v in WATER.items() if k != "waterway"}) | F.coalesce(F.col("waterway").isin(WATERWAYS_SCANNED), F.lit(False))
     green = has_any(GREEN)
-    group = F.when(water, "water").when(green, "green").when(poi, "poi").otherwise("other")
+    # scanned for six kinds of waterway, but grouped as water with any
+    group = F.when(water | F.col("waterway").isNotNull(), "water").when(green, "green").when(poi, "poi").otherwise("other")
     return features.where((poi | water | green) & F.col("geom_type").isNotNull()).withColumn("feature_group", group)
 
 
@@ -68,12 +69,18 @@ def street_lights(rows: DataFrame) -> DataFrame:
 def canonical_lights(feed: DataFrame, source: str) -> DataFrame:
     """A council's feed in canonical columns, found by their aliases; rows without a numeric place go."""
     name = {k: text.resolve_column(feed.columns, aliases) for k, aliases in LAMP_ALIASES.items()}
-    if name["lat"] is None or name["lon"] is None:
+    number = lambda k: F.col(f"`{name[k]}`").cast("string").try_cast("double")
+    if name["lat"] is not None and name["lon"] is not None:
+        rows = feed.withColumns({"_lat": number("lat"), "_lon": number("lon")}).where("_lat is not null and _lon is not null")
+        place = [F.col("_lat").alias("lat"), F.col("_lon").alias("lon")]
+    elif name["east"] is not None and name["north"] is not None:  # metres of the British national grid
+        metres = feed.drop("lat", "lon").withColumns({"east_m": number("east"), "north_m": number("north")}).where("east_m is not null and north_m is not null")
+        # no condition on the result: it would be computed once more for each time that its steps refer to one another
+        rows, place = geo.osgb_to_wgs84(metres, "east_m", "north_m"), [F.col("lat"), F.col("lon")]
+    else:
         raise ValueError(f"no coordinates among {feed.columns}")
     column = lambda k, default: F.coalesce(text.cleaned(F.col(f"`{name[k]}`").cast("string")), F.lit(default)) if name[k] else F.lit(default)
-    number = lambda k: F.col(f"`{name[k]}`").cast("string").try_cast("double")
-    rows = feed.select(number("lat").alias("lat"), number("lon").alias("lon"), F.lit(source).alias("source"), column("lit", "yes").alias("lit"), text.schedule_class(column("regime", "unknown")).alias("lighting_regime"))
-    return rows.where("lat is not null and lon is not null")
+    return rows.select(*place, F.lit(source).alias("source"), column("lit", "yes").alias("lit"), text.schedule_class(column("regime", "unknown")).alias("lighting_regime"))
 
 
 def combined_lights(*feeds: DataFrame) -> DataFrame:
@@ -86,9 +93,11 @@ def combined_lights(*feeds: DataFrame) -> DataFrame:
 
 
 def region_catalogue(index: DataFrame) -> DataFrame:
-    """Regions of a feature collection: id, url and ring of each."""
+    """Regions of a feature collection: id, url and rings of each polygon; all rings but the first are holes."""
     rows = index.select(F.explode("features").alias("f"))
-    return rows.select("f.properties.id", "f.properties.url", F.transform("f.geometry.coordinates", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("ring"))
+    corners = lambda ring: F.transform(ring, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    rings = F.transform("f.geometry.coordinates", lambda ring, i: F.struct((i > 0).alias("hole"), corners(ring).alias("points")))
+    return rows.select("f.properties.id", "f.properties.url", rings.alias("rings"))
 
 
 def write_tiles(rows: DataFrame, path: str) -> None:
