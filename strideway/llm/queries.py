@@ -29,7 +29,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.token_counts(read_table(spark, sf_dir, "documents"))
+    return token_counts.token_report(read_table(spark, sf_dir, "documents"))
 
 
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
