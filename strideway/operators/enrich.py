@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strideway.functions import cost, geo, tags, text
-from strideway.functions.area import visible_area
-from strideway.operators import spatial
+from strideway.operators import sight, spatial
 
 EDGE = ["u", "v", "key"]
 GREEN_RADIUS, WATER_REACH, POI_RADIUS, SIGHT, SPACING = 50.0, 250.0, 50.0, 100.0, 20.0
@@ -99,12 +98,8 @@ def add_green_visible(edges: DataFrame, green: DataFrame, buildings: DataFrame)
     own = shapes(edges).where(geo.total(geo.line_lengths(F.col("points"))) >= 1)
     keys = [*SHAPE, "sample"]
     samples = edge_samples(own, SHAPE, geo.isovist_samples)
-    near = spatial.candidates(samples, spatial.outlined(green).select("outline"), SIGHT)
-    # only where there is green at all it matters what can be seen
-    seen = spatial.visible(near.select(*keys, "mx", "my").distinct(), keys, buildings, SIGHT)
-    sides = spatial.relative_sides(F.col("outline"), F.col("mx"), F.col("my"))
-    overlaps = near.select(*keys, "n", sides.alias("sides")).join(seen.select(*keys, "reach"), keys).select(*keys, "n", visible_area("reach", "sides").alias("area"))
-    covered = overlaps.groupBy(*keys, "n").agg(F.least(F.sum("area") / (math.pi * SIGHT * SIGHT), F.lit(1.0)).alias("visible"))
+    seen = sight.seen_area(samples, keys, green, buildings, SIGHT).join(samples.select(*keys, "n"), keys)
+    covered = seen.select(*keys, "n", F.least(F.col("seen") / (math.pi * SIGHT * SIGHT), F.lit(1.0)).alias("visible"))
     found = covered.groupBy(*SHAPE).agg((F.sum("visible") / F.first("n")).alias("mean"))
     return _joined(edges, found, 1 - F.coalesce("mean", F.lit(0.0)), "raw_green_cost", SHAPE)
 

@@ -18,7 +18,32 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not path and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(path or tempfile.mkdtemp(prefix="spark-"))
-    return f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{context.getCheckpointDir().rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+#: Folders that :func:`scratch` has named and :func:`release` has not removed, oldest first.
+_made: list[str] = []
+
+
+def made() -> int:
+    """How many folders there are: what :func:`release` takes as the beginning of what came later."""
+    return len(_made)
+
+
+def release(since: int, *keep: DataFrame) -> None:
+    """Remove the folders from number ``since`` on, but for those that ``keep`` reads. Results are lazy: what others read
+    must be written elsewhere by now."""
+    plain = lambda path: path.rpartition(":")[2].lstrip("/")
+    read = [plain(f) for df in keep for f in df.inputFiles()]
+    for path in _made[since:]:
+        if any(f.startswith(plain(path) + "/") for f in read):
+            continue
+        spark = SparkSession.getActiveSession()
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        _made.remove(path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

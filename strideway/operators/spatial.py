@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strideway.functions import geo
-from strideway.functions.area import visible_reach
 from strideway.operators.nearest import NodeGrid, around
 
 EDGE = ["u", "v", "key"]
@@ -182,16 +181,3 @@ def sector_weights(starts: DataFrame, features: DataFrame, radius: float) -> Dat
     near = around(own, features.select("lat", "lon", "area"), radius, ("start_lat", "start_lon")).withColumn("far", geo.haversine(*args)).where(F.col("far") <= radius)
     sector = (F.floor(geo.bearing(*args) / 30) % 12).cast("int")
     return near.select("request_id", sector.alias("sector"), (F.col("area") * (1 - F.col("far") / radius)).alias("w")).groupBy("request_id", "sector").agg(F.sum("w").alias("weight"))
-
-
-def relative_sides(outline: Column, x: Column, y: Column) -> Column:
-    """An area's sides as numbers in a row: ax, ay, bx, by of each, relative to (x, y)."""
-    side = lambda e: F.array(e["a"]["x"] - x, e["a"]["y"] - y, e["b"]["x"] - x, e["b"]["y"] - y)
-    return F.flatten(F.transform(outline, side))
-
-
-def visible(samples: DataFrame, keys: list[str], buildings: DataFrame, radius: float = 100.0) -> DataFrame:
-    """(keys, mx, my, reach): how far 72 rays from each point go until they meet a building, at most ``radius``."""
-    walls = candidates(samples.select(*keys, "mx", "my"), outlined(buildings).select("outline"), radius)
-    near = walls.groupBy(*keys).agg(F.flatten(F.collect_list(relative_sides(F.col("outline"), F.col("mx"), F.col("my")))).alias("sides"))
-    return samples.join(near, keys, "left").select(*keys, "mx", "my", visible_reach("sides", F.lit(radius)).alias("reach"))

@@ -404,7 +404,7 @@ def loops_random_walk(net) -> DataFrame:
     placed = spatial.with_endpoints(net.edges, net.nodes)
     course = geo.bearing(F.col("u_lat"), F.col("u_lon"), F.col("v_lat"), F.col("v_lon"))
     edges = written(placed.select("u", "v", "length", (F.col("way") % 101 / 100.0).alias("cost"), course.alias("course")), "edges")
-    asked = net.requests.select("request_id", "start", F.lit(800.0).alias("target_m"), (F.col("request_id") * 40 % 360).cast("double").alias("bearing"))
+    asked = net.requests.select("request_id", "start", F.lit(1200.0).alias("target_m"), (F.col("request_id") * 40 % 360).cast("double").alias("bearing"))
     walks = loops.random_walks(asked, edges)
     return loops.closed_walks(walks, edges).select("request_id", "attempt", r("length", 3).alias("length"), "route")
 

@@ -1,17 +1,12 @@
-"""What is seen from a point: distances along rays, and the area of polygons within the visible region, in batches."""
+"""What is seen from a point, with arrays: what the tests hold the columns of strideway.operators.sight against."""
 
 from __future__ import annotations
 
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 RAYS = 72
-#: Wall sides, or polygon sides, that are worked on at once.
-AT_ONCE = 8192
 
 
 def ray_directions(rays: int = RAYS) -> tuple[np.ndarray, np.ndarray]:
@@ -71,37 +66,3 @@ def star_overlaps(reach: np.ndarray, ax: np.ndarray, ay: np.ndarray, bx: np.ndar
     plain = tri(ux * su, uy * su, vx * sv, vy * sv)
     bent = tri(ux * su, uy * su, mx, my) + tri(mx, my, vx * sv, vy * sv)
     return sign * np.where(open_, np.maximum(np.where(crossed, bent, plain), 0.0), 0.0).sum(axis=1)
-
-
-def _flat(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    counts = np.fromiter((0 if r is None else len(r) for r in rows), np.int64, len(rows))
-    return (np.concatenate([r for r in rows if r is not None and len(r)]) if counts.sum() else np.zeros(0)), counts
-
-
-@F.pandas_udf(ArrayType(DoubleType()))
-def visible_reach(sides: pd.Series, radius: pd.Series) -> pd.Series:
-    """Per point how far each ray goes. ``sides``: ax, ay, bx, by of walls around it (relative), in a row."""
-    flat, counts = _flat(sides)
-    flat, counts = flat.reshape(-1, 4), counts // 4
-    reach = np.repeat(radius.to_numpy(float)[:, None], RAYS, axis=1)
-    owner = np.repeat(np.arange(len(counts)), counts)
-    for k in range(0, len(flat), AT_ONCE):
-        own = owner[k : k + AT_ONCE]
-        hits = wall_hits(*flat[k : k + AT_ONCE].T)
-        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        reach[own[starts]] = np.minimum(reach[own[starts]], np.minimum.reduceat(hits, starts, axis=0))
-    return pd.Series(list(reach))
-
-
-@F.pandas_udf(DoubleType())
-def visible_area(reach: pd.Series, sides: pd.Series) -> pd.Series:
-    """Area of a polygon (ax, ay, bx, by of its sides, relative to the point, in a row) within the visible region."""
-    flat, counts = _flat(sides)
-    flat, counts = flat.reshape(-1, 4), counts // 4
-    reaches = np.stack(reach.to_list()) if len(reach) else np.zeros((0, RAYS))
-    owner = np.repeat(np.arange(len(counts)), counts)
-    total = np.zeros(len(counts))
-    for k in range(0, len(flat), AT_ONCE):
-        own = owner[k : k + AT_ONCE]
-        np.add.at(total, own, star_overlaps(reaches[own], *flat[k : k + AT_ONCE].T))
-    return pd.Series(np.abs(total))

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strideway.functions import area, cost, geo, tags, text
+import brute_sight as area
+from strideway.functions import cost, geo, tags, text
 from strideway.operators import enrich, filters, graphs, loops, paths, routes, spatial, tiles
 
 
