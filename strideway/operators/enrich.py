@@ -178,13 +178,28 @@ def add_lights(edges: DataFrame, lights: DataFrame, radius: float = 15.0) -> Dat
 
 
 def matching_report(lights: DataFrame, edges: DataFrame, radius: float = 15.0) -> DataFrame:
-    """(n_lights, n_matched, n_touched, n_propagated): lights, those matched, edges touched, lights that went further."""
-    told = way_matches(lights, edges, radius)
-    per_light = told.groupBy("light_id").agg(F.count(F.lit(1)).alias("n"))
-    a = lights.agg(F.count(F.lit(1)).alias("n_lights"))
-    b = per_light.agg(F.count(F.lit(1)).alias("n_matched"), F.count_if(F.col("n") > 1).alias("n_propagated"))
-    c = told.select(*EDGE).distinct().agg(F.count(F.lit(1)).alias("n_touched"))
-    return a.crossJoin(F.broadcast(b)).crossJoin(F.broadcast(c))
+    """(n_lights, n_matched, n_touched, n_propagated): lights, those matched, edges touched, lights that went further.
+
+    Lights are counted by their edge, and edges by their way: no light meets the edges of its way.
+    """
+    hit = spatial.snapped(lights, edges, radius).groupBy(*EDGE).agg(F.count(F.lit(1)).alias("n"))
+    ways = edges.select(*EDGE, F.explode("way_ids").alias("way")).select(*EDGE, text.canonical_id(F.col("way")).alias("way")).where("way is not null").distinct()
+    sizes = ways.groupBy("way").agg(F.count(F.lit(1)).alias("size"))
+    own = hit.join(ways, EDGE, "left").join(sizes, "way", "left").groupBy(*EDGE).agg(F.first("n").alias("n"), F.max("size").alias("size"), F.collect_set("way").alias("ways"))
+    told = own.select(F.explode("ways").alias("way")).distinct()
+    touched = ways.join(told, "way", "left_semi").select(*EDGE).union(hit.select(*EDGE)).distinct().agg(F.count(F.lit(1)).alias("n_touched"))
+    matched = own.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_matched"), F.coalesce(F.sum(F.when(F.col("size") > 1, F.col("n"))), F.lit(0)).alias("n_propagated"))
+    return lights.agg(F.count(F.lit(1)).alias("n_lights")).crossJoin(F.broadcast(matched)).crossJoin(F.broadcast(touched))
+
+
+def line_bands(edges: DataFrame, reference: DataFrame, value: Column, near: float = 80.0, far: float = 400.0) -> DataFrame:
+    """(band, n, mean): edges by the distance of their midpoint to reference lines: near, between, or beyond ``far``, where
+    no distance is taken."""
+    reference = reference.withColumns({"margin": F.lit(0.0), "closed": F.lit(False)})
+    found = spatial.nearest_within(lines(edges), LINE, reference, far)
+    keyed = edges.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"), value.alias("value")).join(found, LINE, "left")
+    band = F.when(F.col("distance") <= near, "near").when(F.col("distance") <= far, "between").otherwise("beyond")
+    return keyed.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"))
 
 
 def in_mercator(edges: DataFrame) -> DataFrame:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strideway.functions import geo, tags
@@ -28,10 +30,30 @@ def walkable(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return kept if nodes is None else without_gates(kept, restricted_nodes(nodes)).select(edges.columns)
 
 
-def filter_report(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(n_edges, n_kept, n_removed)"""
-    kept = walkable(edges, nodes).agg(F.count(F.lit(1)).alias("n_kept"))
-    return edges.agg(F.count(F.lit(1)).alias("n_edges")).crossJoin(F.broadcast(kept)).withColumn("n_removed", F.col("n_edges") - F.col("n_kept"))
+#: Kinds of ways on which nobody walks.
+FORBIDDEN = ["motorway", "motorway_link", "trunk", "trunk_link"]
+
+
+def counted_walkable(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, Callable[[], dict[str, int]]]:
+    """The edges that :func:`walkable` keeps, and a function that says how many there were, were kept and removed, once a
+    job has read them: they are counted in the same pass."""
+    before, after = Observation(), Observation()
+    kept = walkable(edges.observe(before, F.count(F.lit(1)).alias("n")), nodes).observe(after, F.count(F.lit(1)).alias("n"))
+
+    def report() -> dict[str, int]:
+        n_edges, n_kept = before.get["n"], after.get["n"]
+        return {"n_edges": n_edges, "n_kept": n_kept, "n_removed": n_edges - n_kept}
+
+    return kept, report
+
+
+def ways_to_look_at(edges: DataFrame, forbidden: list[str] = FORBIDDEN) -> DataFrame:
+    """(n_ways, n_forbidden, n_private): distinct ways by their first edge; those of forbidden kinds, and private ones
+    without a permission for walkers."""
+    first = F.min_by(F.struct("highway", "access", "foot"), F.struct("u", "v", "key")).alias("w")
+    ways = edges.groupBy("way_ids").agg(first).select("w.*")
+    allowed = F.coalesce(F.col("foot").isin("yes", "designated", "permissive"), F.lit(False))
+    return ways.agg(F.count(F.lit(1)).alias("n_ways"), F.count_if(F.col("highway").isin(forbidden)).alias("n_forbidden"), F.count_if((F.col("access") == "private") & ~allowed).alias("n_private"))
 
 
 def in_padded_bounds(points: DataFrame, edges: DataFrame, margin: float) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strideway.functions import cost, tags
-from strideway.operators import enrich, graphs, routes, spatial
+from strideway.operators import enrich, filters, graphs, routes, spatial
 from strideway.plans import build
 from strideway.plans.net_sql import seg
 from strideway.sources import tables
@@ -205,6 +205,26 @@ def attribute_coverage(net) -> DataFrame:
     )
 
 
+@query(f"WITH {_RAW} SELECT least(floor(w / 0.1::DOUBLE), 9)::INTEGER AS bin, count(*) AS n FROM raw GROUP BY 1")
+def water_histogram(net) -> DataFrame:
+    """In tenths."""
+    return raw(net).groupBy(F.least(F.floor(F.col("raw_water_cost") / 0.1), F.lit(9)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"""WITH d AS (SELECT u, v, key, min({seg('mx', 'my', 'ax', 'ay', 'bx', '"by"')}) AS d FROM geo_edges e JOIN sides s ON kind = 'water_line' AND abs(s.nx - e.mx) < 560 AND abs(s.ny - e.my) < 560 GROUP BY 1, 2, 3)
+    SELECT CASE WHEN d <= 80 THEN 'near' WHEN d <= 400 THEN 'between' ELSE 'beyond' END AS band, count(*) AS n, round(avg((way % 101) / 80.0::DOUBLE), 6) AS mean FROM edges LEFT JOIN d USING (u, v, key) GROUP BY 1"""
+)
+def water_line_bands(net) -> DataFrame:
+    rows = enrich.line_bands(placed(net), net.polygons.where("kind = 'water_line'"), F.col("way") % 101 / 80.0)
+    return rows.select("band", "n", r("mean").alias("mean"))
+
+
+@query("WITH w AS (SELECT way, arg_min(struct_pack(h := highway, a := access, f := foot), (u, v, key)) AS w FROM edges GROUP BY 1) SELECT count(*) AS n_ways, count(*) FILTER (w.h IN ('motorway', 'trunk')) AS n_forbidden, count(*) FILTER (w.a = 'private' AND coalesce(w.f, '') NOT IN ('yes', 'designated', 'permissive')) AS n_private FROM w")
+def ways_to_look_at(net) -> DataFrame:
+    return filters.ways_to_look_at(net.edges)
+
+
 @query("WITH w AS (SELECT way, arg_min(highway, (u, v, key)) AS highway FROM edges GROUP BY 1) SELECT highway, count(*) AS n FROM w GROUP BY 1 ORDER BY n DESC, highway LIMIT 15")
 def way_highway_counts(net) -> DataFrame:
     ways = net.edges.groupBy("way").agg(F.min_by("highway", F.struct(*EDGE)).alias("highway"))

@@ -162,7 +162,9 @@ _MERC = "(radians({lon}) * 6378137.0::DOUBLE)", "(ln(tan(radians({lat}) / 2 + pi
 def overlay_rows(net) -> DataFrame:
     lines = spatial.with_endpoints(net.edges, net.nodes)
     table = tables.overlay_filter(tables.way_lighting_table(net.edges), "osm").where("lit_status <> 'unlit'").select("u", "v", "key")
-    return tables.overlay_tiles(lines.join(table, ["u", "v", "key"]).select("u_lat", "u_lon", "v_lat", "v_lon"), 15).groupBy("z", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
+    path = scratch(net.spark, "overlay")
+    tables.write_map_tiles(tables.overlay_tiles(lines.join(table, ["u", "v", "key"]).select("u", "v", "key", "u_lat", "u_lon", "v_lat", "v_lon"), 15), path)
+    return net.spark.read.parquet(path).groupBy("z", "tile_x", "tile_y").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT request_id, coalesce(distance, 0) AS distance, greenness, slope FROM requests")
@@ -268,7 +270,10 @@ def walking_filter(net) -> DataFrame:
 
 @query(f"SELECT count(*) AS n_edges, count(*) FILTER ({_WALK} AND u NOT IN ({_GATES}) AND v NOT IN ({_GATES})) AS n_kept, count(*) FILTER (NOT ({_WALK} AND u NOT IN ({_GATES}) AND v NOT IN ({_GATES}))) AS n_removed FROM edges")
 def walking_filter_report(net) -> DataFrame:
-    return filters.filter_report(net.edges, net.nodes)
+    """Counted while the walkable edges are written."""
+    kept, report = filters.counted_walkable(net.edges, net.nodes)
+    written(kept, "walkable")
+    return net.spark.createDataFrame([report()], "n_edges long, n_kept long, n_removed long")
 
 
 @query(_GATES)
@@ -429,12 +434,16 @@ def gpx_tracks(net) -> DataFrame:
     from strideway.operators import routes
 
     rows = routes.coordinates(net.walks, net.nodes).withColumn("name", F.concat(F.lit("Walk & loop "), F.col("route_id").cast("string")))
-    return tables.gpx(written(rows, "tracks"))
+    path = scratch(net.spark, "gpx")
+    tables.write_documents(tables.gpx(written(rows, "tracks")), path, ["route_id"], "gpx")
+    return tables.read_documents(net.spark, path, {"route_id": "long"}, "gpx")
 
 
 @query("""SELECT request_id, format('{{"request_id":{},"start":{},"end":{},"is_loop":{},"target_m":{:.1f}}}', request_id, s, e, is_loop, target_m) AS payload FROM requests""")
 def json_payloads(net) -> DataFrame:
-    return tables.as_json(net.requests.select("request_id", "start", "end", "is_loop", "target_m"), "request_id")
+    path = scratch(net.spark, "json")
+    tables.write_documents(tables.as_json(net.requests.select("request_id", "start", "end", "is_loop", "target_m"), "request_id"), path, ["request_id"], "payload")
+    return tables.read_documents(net.spark, path, {"request_id": "long"}, "payload")
 
 
 _BOX = "SELECT request_id, least(start_lat, end_lat) - 0.02::DOUBLE AS y1, greatest(start_lat, end_lat) + 0.02::DOUBLE AS y2, least(start_lon, end_lon) - 0.9::DOUBLE AS x1, greatest(start_lon, end_lon) + 1.2::DOUBLE AS x2 FROM requests"

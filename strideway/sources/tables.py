@@ -180,3 +180,29 @@ def saved_requests(rows: DataFrame) -> DataFrame:
     """Saved queries with their weights (a JSON object) as six columns."""
     weights = F.from_json("weights_json", "map<string,double>")
     return rows.select("request_id", *[F.coalesce(F.element_at(weights, k), F.lit(0.0)).alias(k) for k in ("distance", "greenness", "water", "social", "quietness", "slope")])
+
+
+def write_documents(rows: DataFrame, path: str, keys: list[str], content: str) -> None:
+    """A text file for each row, in a folder of its keys. Files appear when the job commits; what is written again replaces
+    the folder of its keys and no other, so a job can be repeated. Rows of the same keys share a folder."""
+    own = rows.select(*keys, F.col(content).alias("value"))
+    own.repartition(*keys).write.option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", 1).mode("overwrite").partitionBy(*keys).text(path)
+
+
+def read_documents(spark: SparkSession, path: str, keys: dict[str, str], content: str) -> DataFrame:
+    """What :func:`write_documents` wrote; ``keys`` with their types."""
+    schema = ", ".join(["value string", *(f"{k} {t}" for k, t in keys.items())])
+    rows = spark.read.schema(schema).text(path, wholetext=True)
+    return rows.select(*keys, F.regexp_replace("value", r"\n\z", "").alias(content))
+
+
+def write_map_tiles(rows: DataFrame, path: str) -> None:
+    """Overlay rows in a folder for each map tile (z, tile_x, tile_y), so that a tile is read alone; tiles that are written
+    again are replaced. A tile with many rows is written by several tasks."""
+    tile = ["z", "tile_x", "tile_y"]
+    spread = F.pmod(F.xxhash64(*[c for c in rows.columns if c not in tile]), F.lit(4)) if len(rows.columns) > len(tile) else F.lit(0)
+    rows.repartition(*tile, spread).write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy(*tile).parquet(path)
+
+
+def read_map_tile(spark: SparkSession, path: str, z: int, x: int, y: int) -> DataFrame:
+    return spark.read.parquet(path).where((F.col("z") == z) & (F.col("tile_x") == x) & (F.col("tile_y") == y))
